@@ -55,22 +55,37 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words that lie in a three-word window found twice or more. Windows are compared by their 64-bit hash;
-    sorting (hash, place) puts equal ones side by side, so the work is n log n for any text."""
-    windows = F.transform(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
-    repeated = let(
-        F.sort_array(windows),
-        lambda s: F.filter(
-            F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"])),
-            lambda i: i.isNotNull(),
-        ),
-    )
+    """Words that lie in a three-word window found twice or more.
+
+    Each window becomes one long: the upper bits of its hash, then its place in as many bits as the text needs. Sorting
+    these puts equal windows side by side (n log n for any text); neighbours are compared word by word."""
+    places = F.size(words)
+    bits = F.ceil(F.log2(places + 1)).cast("int")
+
+    def window(w: Column, i: Column) -> Column:
+        return F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long"))
+
+    packed = F.transform(F.slice(words, F.lit(1), F.greatest(places - 2, F.lit(0))), window)
+    low = F.call_function("shiftleft", F.lit(1), bits) - 1
+
+    def same(i: Column, j: Column) -> Column:
+        match = F.get(words, i) == F.get(words, j)
+        for k in (1, 2):
+            match = match & (F.get(words, i + k) == F.get(words, j + k))
+        return match
+
+    def repeated(s: Column) -> Column:
+        def beside(x: Column, k: Column) -> Column:
+            y = F.get(s, k)
+            near = F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0
+            return near & same(x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int"))
+
+        marked = F.transform(s, lambda x, k: F.when(beside(x, k - 1) | beside(x, k + 1), x.bitwiseAND(low).cast("int")))
+        return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
+
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(
-        F.sort_array(repeated),
+        let(F.sort_array(packed), repeated),
         start,
         lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["end"])).alias("n"), (i + 3).alias("end")),
         lambda a: a["n"],
@@ -90,7 +105,7 @@ def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
         lambda w: F.struct(
             F.size(w).cast("long").alias("n"),
             _repeat_words(w).alias("repeat"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("stop"),
+            F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("stop"),
         ),
     )
     characters = F.length(text)
