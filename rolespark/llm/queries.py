@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolespark.llm import decontaminate, packing, quality, secrets, tokens
+from rolespark.llm import decontaminate, ngram_join, packing, quality, secrets, tokens
 from rolespark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality.apply_rules(table(spark, sf_dir, "documents"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -33,4 +37,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op6_secret_scans, op9_token_output, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op6_secret_scans, op9_token_output, op10_decontamination)}
