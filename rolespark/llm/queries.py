@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolespark.llm import decontaminate, ngram_join, packing, quality, secrets, tokens
+from rolespark.llm import decontaminate, langid, ngram_join, packing, quality, secrets, tokens
 from rolespark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,13 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out("doc_id", 4, 2)
+    model = langid.learn(docs.filter(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
@@ -37,4 +44,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op6_secret_scans, op9_token_output, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op6_secret_scans, op8_language_id, op9_token_output, op10_decontamination)}
