@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolespark.llm import decontaminate, langid, ngram_join, packing, quality, secrets, tokens
+from rolespark.llm import decontaminate, kneser_ney, langid, ngram_join, packing, quality, secrets, tokens
 from rolespark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out"))
+    return kneser_ney.score(docs, kneser_ney.train(docs.filter("not held_out")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
 
@@ -44,4 +49,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op6_secret_scans, op8_language_id, op9_token_output, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op6_secret_scans, op8_language_id, op9_token_output, op10_decontamination)}
