@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR = 0.1
+ERROR = 0.08
 #: Characters of benchmark text that go to the workers at once; a larger benchmark is matched in blocks.
 BLOCK_CHARS = 4_000_000
 
@@ -53,6 +53,35 @@ def myers(pattern_masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+class Node:
+    """Pattern characters a to b, which p pieces make up, and the p - 1 edits they may have."""
+
+    __slots__ = ("a", "b", "budget", "masks")
+
+    def __init__(self, pattern: str, a: int, b: int, budget: int):
+        self.a, self.b, self.budget, self.masks = a, b, budget, masks(pattern[a:b])
+
+
+def chains(pattern: str, pieces: int) -> list[list[Node]]:
+    """For each piece the nodes above it, from its parent to the whole pattern. If a node is within its budget, so is one
+    of its two halves; hence an occurrence shows a piece that is intact with all nodes above it within their budgets."""
+    at = [len(pattern) * i // pieces for i in range(pieces + 1)]
+    out: list[list[Node]] = [[] for _ in range(pieces)]
+
+    def halve(first: int, last: int) -> None:
+        if last - first < 2:
+            return
+        node = Node(pattern, at[first], at[last], last - first - 1)
+        middle = (first + last) // 2
+        halve(first, middle)
+        halve(middle, last)
+        for k in range(first, last):
+            out[k].append(node)
+
+    halve(0, pieces)
+    return out
+
+
 class Matcher:
     """Finds every item within its error budget in a text; one is built in each worker."""
 
@@ -60,35 +89,48 @@ class Matcher:
         import ahocorasick
 
         self.items = []
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, list[Node]]]] = {}
         for item_id, text in items:
             text = normalized(text)
             if not text:
                 continue
-            k = int(error * len(text))
-            at = [len(text) * i // (k + 1) for i in range(k + 2)]
-            for a, b in zip(at, at[1:], strict=False):
-                places.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, k, masks(text), masks(text[::-1])))
+            pieces = int(error * len(text)) + 1
+            at = [len(text) * i // pieces for i in range(pieces + 1)]
+            for k, chain in enumerate(chains(text, pieces)):
+                places.setdefault(text[at[k] : at[k + 1]], []).append((len(self.items), at[k], chain))
+            self.items.append((item_id, text, pieces - 1, masks(text), masks(text[::-1])))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
 
+    def _candidates(self, text: str) -> dict[int, set[int]]:
+        """For each item the beginnings that an intact piece suggests and all nodes above it but the last confirm."""
+        found: dict[int, set[int]] = {}
+        for last, (n, where) in self.automaton.iter(text):
+            for item, offset, chain in where:
+                begin = last - n + 1 - offset
+                if begin in found.get(item, ()):
+                    continue
+                for node in chain[:-1]:
+                    e = node.budget
+                    window = text[max(0, begin + node.a - e) : begin + node.b + e]
+                    if myers(node.masks, node.b - node.a, window)[0] > e:
+                        break
+                else:
+                    found.setdefault(item, set()).add(begin)
+        return found
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) for the best occurrence of each item, in the normalized text."""
         if not self.items:
             return []
         text = normalized(text)
-        tried: dict[int, set[int]] = {}
-        for last, (n, where) in self.automaton.iter(text):
-            for item, offset in where:
-                tried.setdefault(item, set()).add(last - n + 1 - offset)
         out = []
-        for item, begins in tried.items():
+        for item, begins in self._candidates(text).items():
             item_id, pattern, k, forward, backward = self.items[item]
-            m, best, high = len(pattern), None, -1
+            m, best, high = len(pattern), None, -len(text) - len(pattern)
             exact = text.find(pattern)
             if exact >= 0:
                 out.append((item_id, 0, exact, exact + m))
@@ -99,8 +141,6 @@ class Matcher:
                 high = begin + k  # one window serves the next k beginnings
                 low = max(0, begin - k)
                 window = text[low : begin + m + 2 * k]
-                if len(window) < m - k:
-                    continue
                 distance, end = myers(forward, m, window)
                 if distance <= k and (best is None or distance < best[0]):
                     _, back = myers(backward, m, window[:end][::-1])
