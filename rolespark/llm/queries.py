@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolespark.llm import decontaminate, kneser_ney, langid, ngram_join, packing, quality, secrets, tokens
+from rolespark.llm import decontaminate, html_extract, kneser_ney, langid, ngram_join, packing, quality, secrets, tokens
 from rolespark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -49,4 +53,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op6_secret_scans, op8_language_id, op9_token_output, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op8_language_id, op9_token_output, op10_decontamination)}
