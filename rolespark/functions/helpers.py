@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BREAKS = frozenset("p div li br h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,12 +48,12 @@ def text_of(fragment: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(parser.parts))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(fragments: pd.Series) -> pd.Series:
     return fragments.map(text_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t else t)
 
@@ -89,7 +90,7 @@ def years_of(text: str | None) -> int | None:
     return min(found, default=None)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def min_years_required(texts: pd.Series) -> pd.Series:
     return texts.map(years_of).astype("Int32")
 
@@ -110,7 +111,7 @@ def sorted_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - rows.bit_count()) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sorted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -206,6 +207,6 @@ def job_posting(page: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def jsonld_job(pages: pd.Series) -> pd.Series:
     return pages.map(job_posting)
