@@ -24,7 +24,7 @@ def age_days(posted_at: Column, as_of: Column) -> Column:
 def recency_points(posted_at: Column, as_of: Column, config: Config = DEFAULT) -> Column:
     """Full points for a posting of just now, none at the age cap, half-even rounded; 0 without a date."""
     share = F.greatest(1 - F.greatest(age_days(posted_at, as_of), F.lit(0.0)) / config.max_age_days, F.lit(0.0))
-    return F.coalesce(F.rint(config.recency_points * share).cast("int"), F.lit(0))
+    return F.when(posted_at.isNull(), 0).otherwise(F.rint(config.recency_points * share).cast("int"))
 
 
 def rank_score(posted_at: Column, fit: Column, config: Config = DEFAULT) -> Column:
