@@ -95,11 +95,10 @@ ADAPTERS = {
 
 def expand(sql: str) -> str:
     """Adapters in a text replaced by their SQL, tables by their names."""
-    while True:
-        out = re.sub(r"@(\w+)", lambda m: f"({ADAPTERS[m[1]]})" if m[1] in ADAPTERS else f"\x00{m[1]}", sql)
-        if out == sql:
-            return out.replace("\x00", "")
-        sql = out
+    names = re.compile(rf"@({'|'.join([*ADAPTERS, *TABLES])})\b")
+    while names.search(sql):
+        sql = names.sub(lambda m: f"({ADAPTERS[m[1]]})" if m[1] in ADAPTERS else m[1], sql)
+    return sql
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
