@@ -59,3 +59,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op7_license_scans, op8_language_id, op9_token_output, op10_decontamination)}
+
+#: SQL for the queries that it can express.
+ORACLES: dict[str, str] = {}
