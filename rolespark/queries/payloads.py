@@ -11,7 +11,14 @@ from rolespark.queries import register
 from rolespark.queries.adapters import AS_OF, LOCATIONS, SINCE, TITLES, days_back, frame, pick
 from rolespark.sources import payloads as P
 
-as_of, since = F.expr(AS_OF), F.expr(SINCE)
+
+
+def as_of():
+    return F.expr(AS_OF)
+
+
+def since():
+    return F.expr(SINCE)
 _ID = "CAST(o_orderkey AS STRING)"
 _TITLE, _PLACE = pick("o_orderkey", *TITLES), pick("o_custkey", *LOCATIONS)
 _POSTED = days_back("o_orderkey", 19)
@@ -44,7 +51,7 @@ _SHOWN = ["company", "ats_job_id", "title", "location", "is_remote", "url", "pos
 
 
 def _mapped(mapper, spark, sf_dir, *landed):
-    return mapper(frame(spark, sf_dir, " UNION ALL ".join(landed)), since).select(_SHOWN)
+    return mapper(frame(spark, sf_dir, " UNION ALL ".join(landed)), since()).select(_SHOWN)
 
 
 @register(_expected(posted="CASE WHEN k % 5 <> 1 THEN posted END"))
@@ -137,7 +144,7 @@ _SCRAPED = f"""SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'nan' ELSE {_ID} END AS
  coalesce(least(CAST(date_posted AS TIMESTAMP) + INTERVAL 23 HOUR + INTERVAL 59 MINUTE, {AS_OF}), {AS_OF}) AS posted_at FROM ({_SCRAPED})) WHERE company <> ' '"""
 )
 def map_jobspy(spark, sf_dir):
-    return P.map_jobspy(frame(spark, sf_dir, _SCRAPED), as_of).select("source", "ats_job_id", "company", "title", "location", "is_remote", "url", "posted_at")
+    return P.map_jobspy(frame(spark, sf_dir, _SCRAPED), as_of()).select("source", "ats_job_id", "company", "title", "location", "is_remote", "url", "posted_at")
 
 
 _SITEMAP = f"'<urlset><url><loc> https://j.example/' || {_ID} || ' </loc><lastmod>' || {_DAY} || '</lastmod></url><url><lastmod>2001-01-01</lastmod></url></urlset>'"

@@ -15,7 +15,14 @@ from rolespark.sources import tables
 
 _ATS = "(" + ", ".join(f"'{s}'" for s in ATS_SOURCES) + ")"
 _PRIORITY = f"CASE WHEN source IN {_ATS} THEN 1 ELSE 0 END"
-as_of, since = F.expr(AS_OF), F.expr(SINCE)
+
+
+def as_of():
+    return F.expr(AS_OF)
+
+
+def since():
+    return F.expr(SINCE)
 
 
 def raw(spark, sf_dir) -> DataFrame:
@@ -83,7 +90,7 @@ def _excluded(spark) -> DataFrame:
 
 
 def filtered(spark, sf_dir) -> DataFrame:
-    return jobs.prefilter(jobs.normalize_jobs(raw(spark, sf_dir)), since, frame(spark, sf_dir, "SELECT * FROM @history"), _excluded(spark))
+    return jobs.prefilter(jobs.normalize_jobs(raw(spark, sf_dir)), since(), frame(spark, sf_dir, "SELECT * FROM @history"), _excluded(spark))
 
 
 @register(f"SELECT seq, reason IS NULL AS keep, reason FROM ({_FILTERED})")
@@ -151,7 +158,7 @@ def upsert_jobs(spark, sf_dir):
     b = batch(spark, sf_dir)
     none = {"lca_filings": "int", "lca_relevant_soc": "int", "lca_match_name": "string", "lca_match_score": "double"}
     b = b.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
-    return jobs.upsert_jobs(b, stored(b), as_of)[1].select("id", "source", "url", "description")
+    return jobs.upsert_jobs(b, stored(b), as_of())[1].select("id", "source", "url", "description")
 
 
 @register(
@@ -181,7 +188,7 @@ _UNDATED = "SELECT seq, source, company, ats_job_id, seq % 2 = 0 AS undated, CAS
 )
 def resolve_undated(spark, sf_dir):
     rows = frame(spark, sf_dir, _UNDATED)
-    return jobs.resolve_undated(rows, rows.filter("seq % 3 = 0"), as_of).select("seq", "posted_at")
+    return jobs.resolve_undated(rows, rows.filter("seq % 3 = 0"), as_of()).select("seq", "posted_at")
 
 
 @register("SELECT id, company_norm IN (SELECT lower(replace(c_name, '#', ' ')) FROM customer WHERE c_custkey % 4 = 0) AS cap_exempt, cap_exempt <> (company_norm IN (SELECT lower(replace(c_name, '#', ' ')) FROM customer WHERE c_custkey % 4 = 0)) AS changed FROM @store")
@@ -195,7 +202,7 @@ _OLD = f"status IN ('new', 'shortlisted') AND (posted_at IS NULL OR posted_at <
 
 @register(f"SELECT id, CASE WHEN {_OLD} THEN 'excluded' ELSE status END AS status, CASE WHEN {_OLD} THEN 'stale' ELSE exclude_reason END AS exclude_reason, CASE WHEN {_OLD} THEN NULL ELSE description END AS description FROM @store")
 def expire_stale(spark, sf_dir):
-    return jobs.expire_stale(frame(spark, sf_dir, "SELECT * FROM @store"), as_of).select("id", "status", "exclude_reason", "description")
+    return jobs.expire_stale(frame(spark, sf_dir, "SELECT * FROM @store"), as_of()).select("id", "status", "exclude_reason", "description")
 
 
 @register("SELECT 'jobs' AS table_name, count(*) AS n_rows FROM @store UNION ALL SELECT 'applied_history' AS table_name, count(*) AS n_rows FROM @history")

@@ -12,7 +12,10 @@ from rolespark.operators import digest, review, scoring
 from rolespark.queries import register
 from rolespark.queries.adapters import AS_OF, expand, frame, pick
 
-as_of = F.expr(AS_OF)
+
+
+def as_of():
+    return F.expr(AS_OF)
 _QUERY = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 _DUCK_QUERY = "[" + ", ".join(map(str, _QUERY)) + "]::DOUBLE[]"
 _VECTORS = f"SELECT 'v' || CAST(vec_id AS STRING) AS id, embedding, label % 3 = 0 AS is_nyc_metro, CASE WHEN vec_id % 9 = 0 THEN 'scored' ELSE 'new' END AS status FROM @embeddings"
@@ -55,7 +58,7 @@ _FLIGHT = "sha1('j' || CAST(o_orderkey AS STRING))"
 def load_shortlisted(spark, sf_dir):
     store = table(spark, sf_dir, "store")
     batches = store.filter("k % 5 in (1, 2)").groupBy(F.when(F.col("k") % 5 == 1, "in_progress").otherwise("ended").alias("status")).agg(F.collect_list("id").alias("job_ids"))
-    return scoring.load_shortlisted(store, batches, as_of, 100).select("id", "similarity")
+    return scoring.load_shortlisted(store, batches, as_of(), 100).select("id", "similarity")
 
 
 @register("SELECT id, similarity, is_nyc_metro, company, title FROM @store WHERE status = 'shortlisted' ORDER BY similarity DESC NULLS LAST, id LIMIT 10")
@@ -138,7 +141,7 @@ def rank_update(spark, sf_dir):
 
 @register("SELECT k, CASE WHEN posted_at IS NULL THEN 0 ELSE round_even(15 * greatest(1 - (k % 21 + 0.5) / 14, 0), 0)::BIGINT END AS recency, fit_score + CASE WHEN posted_at IS NULL THEN 0 ELSE round_even(15 * greatest(1 - (k % 21 + 0.5) / 14, 0), 0)::BIGINT END AS total FROM @store")
 def recency_points(spark, sf_dir):
-    fit = dates.display_fit(F.col("fit_score"), F.col("posted_at"), as_of)
+    fit = dates.display_fit(F.col("fit_score"), F.col("posted_at"), as_of())
     return table(spark, sf_dir, "store").select("k", fit["recency"].cast("long").alias("recency"), fit["total"].cast("long").alias("total"))
 
 
@@ -196,7 +199,7 @@ _NAMES = "CASE grp " + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(dig
 
 def selected(spark, sf_dir) -> DataFrame:
     # companies that share a city become one, so that roles repeat
-    return digest.select_digest(table(spark, sf_dir, "ranked"), as_of)
+    return digest.select_digest(table(spark, sf_dir, "ranked"), as_of())
 
 
 @register(f"SELECT id, round(rank_score, 6) AS rank_score FROM ({_SELECTED})")
@@ -233,7 +236,7 @@ _LABELS = f"""company || ' - ' || title || CASE WHEN cap_exempt THEN ' [Cap-exem
 
 @register(f"SELECT id, grp AS group_number, row_number() OVER (PARTITION BY grp ORDER BY position) AS number, coalesce({_PLACE}, 'Not stated') || ' (' || {_AGE} || ')' AS place, {_LABELS} FROM ({_COLLAPSED})")
 def digest_lines(spark, sf_dir):
-    lines = digest.digest_lines(collapsed(spark, sf_dir), as_of)
+    lines = digest.digest_lines(collapsed(spark, sf_dir), as_of())
     return lines.select("id", "group_number", "number", "place", "role", "fit", "years", "sponsorship", "history")
 
 
@@ -241,7 +244,7 @@ def digest_lines(spark, sf_dir):
 def labels_of_jobs(spark, sf_dir):
     c = F.col
     return table(spark, sf_dir, "store").filter("posted_at is not null").select(
-        "id", labels.posted_age(c("posted_at"), as_of).alias("age"), labels.title_line(c("company"), c("title"), c("cap_exempt")).alias("role"), labels.fit_label(c("fit_score"), c("posted_at"), as_of).alias("fit"),
+        "id", labels.posted_age(c("posted_at"), as_of()).alias("age"), labels.title_line(c("company"), c("title"), c("cap_exempt")).alias("role"), labels.fit_label(c("fit_score"), c("posted_at"), as_of()).alias("fit"),
         labels.yoe_label(c("yoe_min"), c("yoe_text")).alias("years"), labels.sponsorship_label(c("sponsorship_jd"), c("sponsorship_evidence")).alias("sponsorship"), labels.lca_label(c("lca_filings"), c("lca_relevant_soc")).alias("history"),
     )
 
@@ -249,7 +252,7 @@ def labels_of_jobs(spark, sf_dir):
 @register(f"SELECT id, CASE WHEN id IN (SELECT id FROM ({_SELECTED})) THEN 'digested' ELSE status END AS status, CASE WHEN id IN (SELECT id FROM ({_SELECTED})) THEN {AS_OF} END AS digested_at FROM @ranked")
 def mark_digested(spark, sf_dir):
     store = table(spark, sf_dir, "ranked").withColumn("digested_at", F.lit(None).cast("timestamp"))
-    return digest.mark_digested(store, digest.select_digest(store, as_of), as_of).select("id", "status", "digested_at")
+    return digest.mark_digested(store, digest.select_digest(store, as_of()), as_of()).select("id", "status", "digested_at")
 
 
 _SHOWN = "id, round(rank_score, 6) AS rank_score, fit_score, company, title, location, is_nyc_metro, is_remote, posted_at, yoe_min, sponsorship_jd, sponsorship_evidence, lca_filings, lca_relevant_soc, summary, url, status, cap_exempt"
