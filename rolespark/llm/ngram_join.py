@@ -163,7 +163,7 @@ def compare(sets: list[np.ndarray], leaves: list[list[int]], copies: np.ndarray,
         shared += part @ part.T
         at = end
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    linked = shared * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+    linked = shared.astype(np.float64) * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
