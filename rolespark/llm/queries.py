@@ -60,5 +60,66 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op7_license_scans, op8_language_id, op9_token_output, op10_decontamination)}
 
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _count(characters: str) -> str:
+    return f"(length(t) - length(translate(t, {_quote(characters)}, '')))"
+
+
+_LISTED = "[" + ", ".join(map(_quote, quality.STOP_WORDS)) + "]"
+_RULED = {r.name: " OR ".join(x for x in ("" if r.low is None else f"{r.measure} < {r.low}", "" if r.high is None else f"{r.measure} > {r.high}") if x) for r in quality.RULES}
+_FAILED = "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _RULED.items()) + "], lambda x: x IS NOT NULL)"
+
+_QUALITY = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(words) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars, {_count(quality.SYMBOLS)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(len(words), 1) AS n, len(lines) AS n_lines, {_count("!")} AS marks, {_count(quality.CAPITALS)} AS capitals,
+  len(list_filter(words, lambda x: list_contains({_LISTED}, x))) AS stops FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, 100.0 * n_repeat_words / n AS repeat_percent, word_chars / n AS mean_word_chars, n_symbols / n AS symbols_per_word, marks / n AS exclamations_per_word, capitals / greatest(word_chars, 1) AS capital_ratio,
+  stops / n AS stop_word_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio FROM m),
+v AS (SELECT *, {_FAILED} AS failed_rules FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, len(failed_rules) = 0 AS kept, failed_rules FROM v"""
+
+
+def _places(pattern: str, kind: str, keep: str = "true") -> str:
+    """The spans of one kind: places are sums of the lengths of matches and of the parts between them."""
+    p = _quote(pattern)
+    start = "list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {start} AS s, {secrets.KINDS.index(kind)} AS kind, {start} + length(hits[k]) AS e, hits[k] AS v FROM (SELECT doc_id, hits, string_split_regex(t, {p}) AS parts, unnest(range(1, len(hits) + 1)) AS k
+ FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS hits FROM t) WHERE len(hits) > 0) WHERE {keep}"""
+
+
+_ALLOWED = " OR ".join(f"regexp_matches(v, {_quote(p)})" for p in secrets.ALLOW if "\\1" not in p)
+_PEAK = f"list_max(list_transform(range(1, length(v) - {secrets.WINDOW - 2}), lambda i: list_entropy(string_split(substr(v, i, {secrets.WINDOW}), ''))))"
+_LEAST = f"CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['base64']} END"
+_NAMED = "['" + "', '".join(secrets.KINDS) + "'][kind + 1] || ':' || s || ':' || e"
+_SECRETS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_places(secrets.ASSIGN, "assign", f"length(regexp_extract(hits[k], {_quote(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LEAST}")} UNION ALL {_places(secrets.ACCESS, "access")} UNION ALL {_places(secrets.HEX, "hex")}),
+c AS ({_places("[A-Za-z0-9+/_=-]{20,}", "entropy")}),
+n AS (SELECT * FROM c WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT ({_ALLOWED}) AND {_PEAK} >= {_LEAST} AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM n)
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg({_NAMED}, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+ coalesce(string_agg({_NAMED}, ',' ORDER BY s, kind), '') AS spans FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id"""
+
+_JACCARD = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d WHERE len(w) > 0),
+g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, k = nx AND k = ny AS same FROM p WHERE 9 * k >= 4 * (nx + ny)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n, count(*) FILTER (same) AS same, min(y) FILTER (same) AS copy FROM l GROUP BY x)
+SELECT doc_id, least(doc_id, c.y) AS class_id, least(doc_id, n.copy) AS copy_id, 1 + coalesce(n.same, 0) AS n_copies, coalesce(n.n, 0) AS n_links FROM documents LEFT JOIN c ON doc_id = c.x LEFT JOIN n ON doc_id = n.x"""
+
 #: SQL for the queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _JACCARD, "op4_quality_rules": _QUALITY, "op6_secret_scans": _SECRETS}
