@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,6 +199,3 @@ def skill_keys(skills: Column) -> Column:
     """Distinct non-blank skills, lower-cased, white space squeezed."""
     return F.array_distinct(F.filter(F.transform(skills, squash), lambda s: s != ""))
 
-
-def quoted(words: tuple[str, ...]) -> str:
-    return "|".join(map(re.escape, words))

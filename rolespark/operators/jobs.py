@@ -37,8 +37,11 @@ def normalize_jobs(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
     ).drop("_place", "description_text", "description_html", "undated")
 
 
-def blocked_company(company: Column, excluded: list[str]) -> Column:
-    return T.normalize_excluded(company).isin(*excluded) if excluded else F.lit(False)
+def is_excluded_company(jobs: DataFrame, excluded: DataFrame, out: str = "is_excluded") -> DataFrame:
+    """jobs with whether the normalized company is one of the excluded names (column name); whole names only."""
+    names = excluded.select(F.col("name").alias("_name"), F.lit(True).alias("_hit")).distinct()
+    found = jobs.withColumn("_name", T.normalize_excluded(F.col("company"))).join(names, "_name", "left")
+    return found.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_name", "_hit")
 
 
 def prefilter(jobs: DataFrame, since: Column, history: DataFrame | None = None, excluded: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -48,8 +51,7 @@ def prefilter(jobs: DataFrame, since: Column, history: DataFrame | None = None,
     body = F.coalesce("description", F.lit(""))
     out = jobs
     if excluded is not None:
-        out = out.withColumn("_name", T.normalize_excluded(F.col("company")))
-        out = out.join(excluded.select(F.col("name").alias("_name"), F.lit(True).alias("_excluded")).distinct(), "_name", "left").drop("_name")
+        out = is_excluded_company(out, excluded, "_excluded")
     else:
         out = out.withColumn("_excluded", F.lit(None).cast("boolean"))
     if history is not None:

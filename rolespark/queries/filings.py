@@ -79,8 +79,6 @@ _WANTED = """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'supplier ' || substr(s_name,
  ELSE 'nobody ' || CAST(s_suppkey * 7919 AS STRING) END AS company_norm FROM @supplier"""
 _ALIAS = """SELECT 'alias ' || CAST(s_suppkey AS STRING) AS alias_norm, 'supplier ' || lpad(CAST(s_suppkey + p AS STRING), 9, '0') AS target_norm, p AS pos
  FROM @supplier JOIN (SELECT 1 AS p UNION ALL SELECT 2 AS p UNION ALL SELECT 3 AS p) AS ps ON true WHERE s_suppkey % 4 = 1"""
-# deleting characters leaves the shorter name as the common subsequence; other pairs of these names differ in digits that sort apart
-_SCORE = "200.0 * least(length(w), length(employer_norm)) / (length(w) + length(employer_norm))"
 
 
 @register(

@@ -10,7 +10,7 @@ from rolespark.functions import dates, labels, places
 from rolespark.functions import text as T
 from rolespark.operators import digest, review, scoring
 from rolespark.queries import register
-from rolespark.queries.adapters import AS_OF, expand, frame, pick
+from rolespark.queries.adapters import AS_OF, frame
 
 
 
@@ -37,8 +37,6 @@ def l2_normalize(spark, sf_dir):
     return frame(spark, sf_dir, "SELECT vec_id, embedding FROM @embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-_SIMS = f"SELECT * EXCLUDE (embedding), list_cosine_similarity(embedding::DOUBLE[], embedding_0) AS similarity FROM ({_VECTORS}), (SELECT embedding::DOUBLE[] AS embedding_0 FROM embeddings WHERE vec_id = 0)"
-
 
 @register(
     f"""WITH s AS (SELECT * EXCLUDE (embedding), list_cosine_similarity(embedding::DOUBLE[], {_DUCK_QUERY}) + 0.6 AS similarity FROM ({_VECTORS})),
@@ -51,7 +49,6 @@ def select_shortlist(spark, sf_dir):
 
 
 _FRESH = f"posted_at >= {AS_OF} - INTERVAL '14' DAY"
-_FLIGHT = "sha1('j' || CAST(o_orderkey AS STRING))"
 
 
 @register(f"SELECT id, similarity FROM (SELECT * FROM @store WHERE status = 'shortlisted' AND {_FRESH} AND k % 5 <> 1 ORDER BY is_nyc_metro DESC, similarity DESC NULLS LAST, id LIMIT 100) WHERE length(trim(description)) >= 200")
@@ -198,7 +195,6 @@ _NAMES = "CASE grp " + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(dig
 
 
 def selected(spark, sf_dir) -> DataFrame:
-    # companies that share a city become one, so that roles repeat
     return digest.select_digest(table(spark, sf_dir, "ranked"), as_of())
 
 
