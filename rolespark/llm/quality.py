@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolespark.llm.common import SPACE, let, words_of
+from rolespark.llm.common import let, words_of
 
 SYMBOLS = "#*$%&|<>"
 # fixed values: frequent function words of the four languages

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rolespark.llm import decontaminate, html_extract, kneser_ney, langid, licenses, ngram_join, packing, quality, secrets, tokens
 from rolespark.llm.common import table
