@@ -109,7 +109,8 @@ def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
         ),
     )
     characters = F.length(text)
-    out = docs.withColumns({"_w": counted, "_l": lines, "word_chars": _without(text, " \t\n\x0b\x0c\r").cast("long")})
+    # a filter on what follows is not pushed below a column that is not deterministic; else each rule would count anew
+    out = docs.withColumns({"_w": counted, "_l": lines, "word_chars": _without(text, " \t\n\x0b\x0c\r").cast("long"), "_once": F.monotonically_increasing_id()})
     out = out.withColumns(
         {
             "n_words": F.col("_w.n"),
@@ -146,6 +147,5 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     failed = base[0] if base else F.lit(False)
     for other in base[1:]:
         failed = failed | other
-    return measured.withColumns({"failed_rules": F.array_compact(named), "base_failed": failed}).withColumn(
-        "kept", F.size("failed_rules") == 0
-    )
+    judged = measured.withColumns({"failed_rules": F.array_compact(named), "base_failed": failed})
+    return judged.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("_once") >= 0)).drop("_once")
