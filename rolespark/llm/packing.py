@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolespark.llm.common import materialize
-from rolespark.llm.tokens import ID_BYTES, WordEncoder
+from rolespark.llm.tokens import ID_BYTES, encoder_for
 
 CAPACITY = 2048
 GROUPS = 512
@@ -33,12 +33,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = encoder_for(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), capacity * ID_BYTES)):
                     piece = ids[at : at + capacity * ID_BYTES]
                     n = len(piece) // ID_BYTES

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,34 +23,67 @@ ID_BYTES = 4
 
 
 class WordEncoder:
-    """Encodes texts word by word with a bounded cache. The tokenizer drops white space and never joins across it, so
-    the ids of a text are those of its words, one after the other (tests compare with whole-text encoding)."""
+    """Encodes texts word by word, each word once as long as it is in a bounded cache. The tokenizer drops white space and
+    never joins across it, so the ids of a text are those of its words, one after the other (tests compare with
+    whole-text encoding). Arrow finds the distinct words of a batch; the ids are gathered as arrays."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._bound = cache_words
-        self._cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.encode().split() if text else []
-        cache = self._cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(cache) > self._bound:
-            cache.clear()
-        missing = list({w for w in words if w not in cache})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            encoded = self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, encoded, strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        self._clear()
+
+    def _clear(self) -> None:
+        self._number: dict[str, int] = {}
+        self._ids = np.empty(0, dtype="<u4")
+        self._starts = np.zeros(1, dtype=np.int64)  # of each word's ids; the last is the end
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self._number) > self._bound:
+            self._clear()
+        known = self._number
+        if missing := [w for w in words if w not in known]:
+            found = []
+            for at in range(0, len(missing), 4096):
+                found += [e.ids for e in self._tokenizer.encode_batch_fast(missing[at : at + 4096], add_special_tokens=False)]
+            known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            fresh = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum()))
+            self._ids = np.concatenate([self._ids, fresh])
+            self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        each = words.flatten().dictionary_encode()
+        number = self._numbers(each.dictionary.to_pylist())[each.indices.to_numpy()] if len(each) else np.empty(0, dtype=np.int64)
+        starts, sizes = self._starts[number], self._starts[number + 1] - self._starts[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[words.offsets.to_numpy()]
+
+    def __call__(self, texts: pa.Array, characters: int = 6_000_000) -> Iterator[bytes]:
+        """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())])
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, size[at] + characters, side="right")) - 1)
+            ids, bounds = self._encode(texts.slice(at, end - at))
+            for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield ids[first:last].tobytes()
+            at = end
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each worker process, so its cache outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def to_planes(ids: bytes) -> list[bytes]:
@@ -78,7 +113,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         buffer, buffered = [], 0
         written = number = doc = first_doc = 0
@@ -93,8 +128,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
+                ids += end
                 starts.append((doc_id, written + buffered // ID_BYTES, len(ids) // ID_BYTES))
                 doc += 1
                 buffer.append(ids)
