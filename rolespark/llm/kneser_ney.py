@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolespark.llm.common import materialize, scratch
@@ -123,7 +123,8 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 @dataclass
 class Model:
     folder: str
-    shards: int
+    shards: int  # of words and of pairs
+    stat_shards: int
     tokens: int
     vocabulary: int
     types: int  # distinct bigrams
@@ -145,7 +146,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all texts of docs (null: empty) and stores the model in the shared folder."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, folder = 4 * parts, scratch(spark, "kneser-ney")
+    shards, stat_shards, folder = 2 * parts, max(4, parts // 8), scratch(spark, "kneser-ney")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {START: xxhash.xxh64_intdigest(START)}
@@ -195,11 +196,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
                 continue
             before, after = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
             zero = np.zeros(len(keys), dtype=np.int64)
-            parts = sum_by_key(
+            sums = sum_by_key(
                 np.concatenate([before, after]), *(np.concatenate([v, zero]) for v in (n, n == 1, n == 2, n > 2)), np.concatenate([zero, zero + 1])
             )
             rows = [("pair", shard, 0, None, [*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(keys)])]
-            yield _rows(rows + [("stats", s, m, blob, None) for s, m, blob in split(parts[0], parts[1:], parts_stats)])
+            yield _rows(rows + [("stats", s, m, blob, None) for s, m, blob in split(sums[0], sums[1:], stat_shards)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, shard, blobs in _by_shard(batches, len(STATS)):
@@ -209,7 +210,6 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             preceding = columns[-1]
             yield _rows([("stats", shard, 0, None, [*(int((preceding == k).sum()) for k in (1, 2, 3, 4)), int((preceding > 2).sum())])])
 
-    parts_stats = shards
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, PACKED)
     dealt = counted.repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard")
     added = materialize(dealt.mapInArrow(add, PACKED), "kn-counts")
@@ -221,7 +221,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     word, pair, low = found.get("word", [0] * 5), found.get("pair", [0] * 5), found.get("stats", [0] * 5)
     d = discounts(low[:4])
     rest = (d[0] * low[0] + d[1] * low[1] + d[2] * low[4]) / pair[4] if pair[4] else 1.0
-    return Model(folder, shards, word[1], word[0], pair[4], discounts(pair[:4]), d, rest)
+    return Model(folder, shards, stat_shards, word[1], word[0], pair[4], discounts(pair[:4]), d, rest)
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[tuple[str, int, list[list[np.ndarray]]]]:
@@ -255,9 +255,10 @@ class Scorer:
 
     def _find(self, kind: str, keys: np.ndarray, value: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places in keys, rows in the shard, the shard's values) for the keys that are there; keys ascending."""
-        place = shard_of(keys, self.model.shards)
+        shards = self.model.stat_shards if kind == "stats" else self.model.shards
+        place = shard_of(keys, shards)
         order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(self.model.shards + 1))
+        bounds = np.searchsorted(place[order], np.arange(shards + 1))
         for s in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
             mine = order[bounds[s] : bounds[s + 1]]
             stored = load(self.model.folder, f"{kind}-{s}-keys")
