@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR = 0.08
+ERROR = 0.1
 #: Characters of benchmark text that go to the workers at once; a larger benchmark is matched in blocks.
 BLOCK_CHARS = 4_000_000
 

@@ -115,3 +115,18 @@ def test_matches_are_brute_force(spark):
     dirty = {(i, t) for i, t in rows if any(decontaminate.Matcher(items[:8] + items[10:], decontaminate.ERROR).find(t or ""))}
     assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(r for r in rows if r not in dirty)
     assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_default_budget_is_a_tenth(spark):
+    rng = random.Random(9)
+    item = "".join(rng.choices("abcdefghijklmnopqrst", k=250))
+    rows = []
+    for edits in (0, 21, 25, 26):
+        text = list(item)
+        for k in range(edits):
+            text[k * 250 // edits + 3] = "z"
+        rows.append((edits, "before " + "".join(text) + " after"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.distance) for r in decontaminate.matches(docs, bench).collect()) == [(0, 0), (21, 21), (25, 25)]
+    assert [r.doc_id for r in decontaminate.remove_leaks(docs, bench).collect()] == [26]
