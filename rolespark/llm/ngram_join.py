@@ -30,13 +30,13 @@ BLOCK = 2048
 BLOCK_SHINGLES = 4_000_000
 
 
-def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
-    """Runs until two sets of just the threshold's similarity have met with probability recall. The sampled shingles
-    they share number 2 / (1 + threshold) a level on average; a path must survive every level."""
-    mean = 2 / (1 + threshold)
+def runs_for(recall: float, depth: int) -> int:
+    """Runs until two sets of at least the threshold's similarity have met with probability recall on the last of depth
+    levels. The sampled shingles they share number (size of the union) / (size of the larger) a level on average: 1 at
+    least, if one set contains the other and they are just at the threshold; a path must survive every level."""
     survive = 1.0
     for _ in range(depth):
-        survive = 1 - math.exp(-mean * survive)
+        survive = 1 - math.exp(-survive)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive)))
 
 
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Null, blank or otherwise wordless texts link to nothing: class_id and copy_id are their own id. Repeated rows and
     repeated ids are rows of their own; a class whose ids are all null has a null id. Other columns are not read."""
-    rows = sketch(docs, threshold, runs_for(recall, threshold), depth, words)
+    rows = sketch(docs, threshold, runs_for(recall, depth), depth, words)
     groups = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     classes = materialize(groups, "classes")
     found = materialize(links(docs, classes, threshold, small, depth, words, block), "links")

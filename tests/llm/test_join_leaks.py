@@ -61,6 +61,20 @@ def test_join_is_brute_force(spark, options):
     assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
 
 
+def test_recall_of_crowded_pairs(spark):
+    """Default recall and depth: a text that others contain, just at the threshold, and nodes too large to be compared
+    before the last level."""
+    assert [ngram_join.runs_for(ngram_join.RECALL, depth) for depth in (1, 2, 3)] == [5, 8, 10]
+    texts, groups = [], 600
+    for g in range(groups):
+        inner = [f"g{g}i{k}" for k in range(84)]  # 80 shingles
+        texts += [" ".join(inner)] + [" ".join(inner + [f"g{g}t{b}e{k}" for k in range(20)]) for b in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = ngram_join.near_duplicates(docs, small=2).collect()
+    assert len(rows) == len(texts) and max(r.n_links for r in rows) == 2
+    assert sum(r.n_links for r in rows) >= 0.98 * 4 * groups
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
