@@ -76,7 +76,7 @@ _ANSWER = """'{"years_required_min": ' || CASE WHEN o_orderkey % 5 = 0 THEN 'nul
  CASE WHEN o_orderkey % 23 = 0 THEN ', "Cobol"' ELSE '' END || '], "experience_fit": ' || CAST(o_orderkey % 21 + CASE WHEN o_orderkey % 29 = 0 THEN 40 ELSE 0 END AS STRING) || ', "domain_fit": ' || CAST(o_orderkey % 16 AS STRING) ||
  CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE ', "one_line_summary": "s"' END || ', "red_flags": []}'"""
 _RESULTS = f"""SELECT sha1('j' || CAST(o_orderkey AS STRING)) AS custom_id, o_orderkey AS k, CASE WHEN o_orderkey % 37 = 0 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
- CASE WHEN o_orderkey % 41 = 0 THEN 'not json' ELSE {_ANSWER} END AS text FROM @orders WHERE o_orderkey % 2 = 0"""
+ CASE WHEN o_orderkey % 41 = 0 THEN 'not json' ELSE {_ANSWER} END AS text FROM @orders"""
 _INVALID = """CASE WHEN k % 37 = 0 THEN 'stopped' WHEN k % 41 = 0 OR k % 31 = 0 THEN 'fields' WHEN k % 19 = 0 THEN 'value' WHEN k % 29 = 0 THEN 'range' WHEN k % 23 = 0 THEN 'skills' END"""
 _YEARS = "CASE WHEN k % 5 <> 0 THEN k % 8 END"
 _SKILLS = "round_even(40.0 * CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END / CASE WHEN k % 3 = 0 THEN 4 ELSE 3 END, 0)"
@@ -261,7 +261,7 @@ def v_daily_digest(spark, sf_dir):
 
 _REFS = f"""SELECT CASE o_orderkey % 8 WHEN 0 THEN sha1('j' || CAST(o_orderkey AS STRING)) WHEN 2 THEN ' ' || substr(sha1('j' || CAST(o_orderkey AS STRING)), 1, 12) WHEN 4 THEN
  CASE WHEN o_orderkey % 6 = 0 THEN 'https://x.example/jobs/view/some-name-' || CAST(4000000 + o_orderkey AS STRING) || '?track=9' ELSE 'https://b.example/' || CAST(1000000 + o_orderkey AS STRING) END
- ELSE 'nothing ' || CAST(o_orderkey AS STRING) END AS ref FROM @orders WHERE o_orderkey % 2 = 0"""
+ ELSE 'nothing ' || CAST(o_orderkey AS STRING) END AS ref FROM @orders"""
 
 
 @register(
