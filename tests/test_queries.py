@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from rolespark.queries import adapters, payloads, scoring
+from rolespark.queries import adapters, filings, payloads, scoring
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +22,14 @@ def test_all_orders_are_read(spark, small):
     texts = ["SELECT k FROM @store", "SELECT k FROM @ranked", f"SELECT o_orderkey AS k {payloads._ORDERS}", f"SELECT k FROM ({scoring._RESULTS})", f"SELECT ref AS k FROM ({scoring._REFS})"]
     assert [adapters.frame(spark, small, text).distinct().count() for text in texts] == [24] * 5
     assert payloads.sitemap_urls(spark, small).count() == 24
+
+
+def test_match_employer_has_every_step(spark, small):
+    found = {r.company_norm: r for r in filings.match_employer(spark, small).collect()}
+    steps = {r.match_source: 0 for r in found.values()}
+    for r in found.values():
+        steps[r.match_source] += 1
+    assert steps == {"alias": 12, "exact": 12, "fuzzy": 12}
+    for k in range(2, 49, 4):  # the own employer is the least of the partners with one edit in 17 + 18 characters
+        r = found[f"{k:08d} supplier"]
+        assert (r.lca_match_name, r.lca_match_score) == (f"Supplier#{k:09d}", pytest.approx(3400 / 35))
