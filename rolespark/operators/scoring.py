@@ -43,7 +43,8 @@ def select_shortlist(jobs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def in_flight(batches: DataFrame) -> DataFrame:
-    return batches.filter("status = 'in_progress'").select(F.explode("job_ids").alias("id")).distinct()
+    """batches: batch_id, status, custom_id, ...; a row each member, so that no batch is ever held in one place."""
+    return batches.filter("status = 'in_progress' and custom_id is not null").select(F.col("custom_id").alias("id")).distinct()
 
 
 def load_shortlisted(store: DataFrame, batches: DataFrame, as_of: Column, limit: int, config: Config = DEFAULT) -> DataFrame:
@@ -152,11 +153,12 @@ def score_tally(results: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def collect_batches(batches: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(answers of ended batches with their batch, the batches with those marked as ended). answers: batch_id, custom_id,
-    ended, ...; a batch that still runs keeps its ids in flight."""
+    """(answers of ended batches with their batch, the batches with those marked as ended). batches: batch_id, status,
+    custom_id, ..., a row each member; answers: batch_id, custom_id, ended, ...; a batch that still runs keeps its ids in
+    flight."""
     done = answers.filter("ended").select("batch_id").distinct()
-    wanted = batches.filter("status = 'in_progress'").select("batch_id", F.explode("job_ids").alias("custom_id"))
-    found = answers.filter("ended").join(wanted, ["batch_id", "custom_id"])
+    wanted = batches.filter("status = 'in_progress'").select("batch_id", "custom_id")
+    found = answers.filter("ended").join(wanted, ["batch_id", "custom_id"], "left_semi")
     marked = batches.join(done.withColumn("_done", F.lit(True)), "batch_id", "left")
     status = F.when(F.col("_done") & (F.col("status") == "in_progress"), "ended").otherwise(F.col("status"))
     return found, marked.withColumn("status", status).select(*batches.columns)

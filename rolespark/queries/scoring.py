@@ -54,7 +54,7 @@ _FRESH = f"posted_at >= {AS_OF} - INTERVAL '14' DAY"
 @register(f"SELECT id, similarity FROM (SELECT * FROM @store WHERE status = 'shortlisted' AND {_FRESH} AND k % 5 <> 1 ORDER BY is_nyc_metro DESC, similarity DESC NULLS LAST, id LIMIT 100) WHERE length(trim(description)) >= 200")
 def load_shortlisted(spark, sf_dir):
     store = table(spark, sf_dir, "store")
-    batches = store.filter("k % 5 in (1, 2)").groupBy(F.when(F.col("k") % 5 == 1, "in_progress").otherwise("ended").alias("status")).agg(F.collect_list("id").alias("job_ids"))
+    batches = store.filter("k % 5 in (1, 2)").select(F.when(F.col("k") % 5 == 1, "in_progress").otherwise("ended").alias("status"), F.col("id").alias("custom_id"))
     return scoring.load_shortlisted(store, batches, as_of(), 100).select("id", "similarity")
 
 
@@ -125,7 +125,7 @@ def score_tally(spark, sf_dir):
 def collect_batches(spark, sf_dir):
     """Batches 0 to 8 in progress, of which the answers of 2 and 6 have ended; half of their ids were asked for."""
     store = table(spark, sf_dir, "store").withColumn("batch_id", F.concat(F.lit("b"), (F.col("k") % 10).cast("string")))
-    batches = store.filter("k % 20 < 10").groupBy("batch_id").agg(F.collect_list("id").alias("job_ids")).withColumn("status", F.lit("in_progress"))
+    batches = store.filter("k % 20 < 10").select("batch_id", F.lit("in_progress").alias("status"), F.col("id").alias("custom_id"))
     answers = store.select("batch_id", F.col("id").alias("custom_id"), (F.col("k") % 10).isin(2, 6).alias("ended"))
     return scoring.collect_batches(batches, answers)[0].select("batch_id", "custom_id")
 

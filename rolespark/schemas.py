@@ -34,7 +34,7 @@ EMPLOYERS = (
     "median_wage_relevant double, last_decision_date date, source_files array<string>"
 )
 APPLIED_HISTORY = "company_norm string, title_norm string, applied_at date, source string"
-SCORE_BATCHES = "batch_id string, created_at timestamp, status string, job_ids array<string>"
+SCORE_BATCHES = "batch_id string, created_at timestamp, status string, custom_id string"
 RUNS = "started_at timestamp, finished_at timestamp, sources array<string>, window string, counts map<string,long>, status string, error string"
 
 

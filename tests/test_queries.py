@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+from rolespark.operators import scoring as operators
 from rolespark.queries import adapters, filings, payloads, scoring
+from rolespark.schemas import SCORE_BATCHES
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +35,15 @@ def test_match_employer_has_every_step(spark, small):
     for k in range(2, 49, 4):  # the own employer is the least of the partners with one edit in 17 + 18 characters
         r = found[f"{k:08d} supplier"]
         assert (r.lca_match_name, r.lca_match_score) == (f"Supplier#{k:09d}", pytest.approx(3400 / 35))
+
+
+def test_batches_are_rows(spark, small):
+    members = [("a", None, "in_progress", "x"), ("a", None, "in_progress", "y"), ("b", None, "in_progress", "z"), ("b", None, "in_progress", None), ("c", None, "ended", "w")]
+    batches = spark.createDataFrame(members, SCORE_BATCHES)
+    assert sorted(r.id for r in operators.in_flight(batches).collect()) == ["x", "y", "z"]
+    answers = spark.createDataFrame([("a", "x", True), ("a", "other", True), ("b", "z", False), ("c", "w", True)], "batch_id string, custom_id string, ended boolean")
+    found, marked = operators.collect_batches(batches, answers)
+    assert [(r.batch_id, r.custom_id) for r in found.collect()] == [("a", "x")]
+    assert sorted((r.custom_id or "", r.status) for r in marked.collect()) == [("", "in_progress"), ("w", "ended"), ("x", "ended"), ("y", "ended"), ("z", "in_progress")]
+    for query in (scoring.load_shortlisted, scoring.collect_batches):
+        assert "collect_list" not in query(spark, small)._jdf.queryExecution().toString()
