@@ -3,9 +3,15 @@
 Documents with equal sets of word shingles form a class; the join runs on one set for each class. In every run a set
 samples each of its shingles with probability 1 / (threshold * size), so sets as similar as the threshold share a
 sampled shingle with good odds; sets that do, meet in a node. A node with more members than `small` is split again by
-the members' next sampled shingles, down to `depth`; small nodes, and in blocks the nodes that stay large (dense groups),
-are compared in full. Runs with new seeds repeat until the target recall. A pair that meets in several nodes counts in
-the first of them only, so links are counted without listing them: what leaves a node is a row for each member."""
+the members' next sampled shingles, down to `depth`; small nodes are compared in full. Runs with new seeds repeat until
+the target recall. A pair that meets in several nodes counts in the first of them only, so links are counted without
+listing them: what leaves a node is a row for each member.
+
+Two things keep crowds linear. Shingles that very many documents have (a passage, a line) split nothing: where enough of
+a set is left, only its rarer shingles are sampled, so much oftener that the expected number of shared samples is no
+smaller. And in a node that stays large the shingles that most members have are its centre; members within half the
+allowed distance of one centre are a ball, all of whose pairs are links by the triangle inequality, counted without a
+comparison. The other members of the node are compared with all, in blocks of even size."""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolespark.llm.common import materialize
@@ -23,11 +29,18 @@ from rolespark.llm.common import materialize
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99
-SMALL = 1024
+SMALL = 512
 DEPTH = 3
-BLOCK = 2048
+BLOCK = 512
 #: Shingles of a block at most, unless one document has more.
 BLOCK_SHINGLES = 4_000_000
+#: A shingle is common if more than `small` documents and this share of all have it. So common shingles number at most
+#: 2 / COMMON_SHARE times the mean size of a set, whatever the number of documents.
+COMMON_SHARE = 1 / 256
+#: Shingles that are counted together when common ones are looked for.
+COUNTED = 4_000_000
+#: Members of a large node from which its centre is taken. The centre decides only which pairs need no comparison.
+CENTRE_OF = 128
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -78,17 +91,37 @@ def _seeds(run: int) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(b"run", seed=run) | 1, xxhash.xxh64_intdigest(b"node", seed=run) | 1
 
 
-def paths(shingles: np.ndarray, threshold: float, runs: int, depth: int) -> list[list[tuple[int, int]]]:
+def sampling(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The probability, as a share of 2^64, with which each shingle is sampled.
+
+    Of a set of n shingles, c of them common, x shares at least threshold * n - c rarer ones with a partner; sampled with
+    probability 1 / (threshold * n - c) one is expected. Sets with a small share of common shingles sample the rarer ones
+    only, sets with a large share all as if none were common, those between in both ways. Two linked sets cannot be one
+    of the first kind and one of the second: their shares differ by less than 1 - threshold."""
+    n = len(shingles)
+    rate = np.full(n, 1 / (threshold * max(1, n)))
+    if len(common):
+        place = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        is_common = common[place] == shingles
+        share = is_common.mean() if n else 0.0
+        high = threshold - 0.2
+        if 0 < share < high:
+            rate[~is_common] = 1 / (threshold * n - is_common.sum())
+            if share <= high - (1 - threshold):
+                rate[is_common] = 0
+    return np.minimum(rate * 2.0**64, np.nextafter(2.0**64, 0)).astype(np.uint64)
+
+
+def paths(shingles: np.ndarray, bound: np.ndarray, runs: int, depth: int) -> list[list[tuple[int, int]]]:
     """For each level the (parent node, node) pairs of all runs."""
     levels: list[list[tuple[int, int]]] = [[] for _ in range(depth)]
-    bound = np.uint64(min(2**64 - 1, int(2**64 / (threshold * max(1, len(shingles))))))
     for run in range(runs):
         odd, mark = _seeds(run)
         parents = [(0, odd)]
         for level in range(depth):
             below = []
             for parent, factor in parents:
-                picked = shingles[shingles * np.uint64(factor) <= bound]
+                picked = shingles[shingles * np.uint64(factor) < bound]
                 for s in picked.tolist():
                     node = xxhash.xxh64_intdigest((s ^ parent).to_bytes(8, "little"), seed=mark & 0xFFFFFFFF)
                     levels[level].append((parent, node))
@@ -101,52 +134,179 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def sketch(docs: DataFrame, threshold: float, runs: int, depth: int, words: int) -> DataFrame:
-    """doc_id, sig (null without words), size, and the paths; one narrow pass over the texts, written to the shared folder."""
+def common_shingles(docs: DataFrame, small: int, words: int) -> np.ndarray:
+    """Sorted shingles that more than `small` documents and COMMON_SHARE of all have, counted over all documents: a
+    shingle that reaches this share of all reaches it among the documents of some task, and only there it is passed on
+    to be added up. Half the share is enough at the end, since the rest of its documents may not have been passed on."""
+    n = docs.count()
+    if n <= small:
+        return np.empty(0, dtype=np.uint64)
+    share = max(small / n, COMMON_SHARE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, size = Shingler(words), [], 0
+
+        def often() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            keep = times >= max(2.0, share * len(held))
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], names=["shingle", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(shingler(text))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield often()
+                    held, size = [], 0
+        if held:
+            yield often()
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= share * n / 2).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def sketch(docs: DataFrame, common: np.ndarray, threshold: float, runs: int, depth: int, words: int) -> DataFrame:
+    """doc_id, text_hash, sig (null without words), size, and the paths; one narrow pass over the texts, written to the
+    shared folder."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            ids, sigs, sizes, found = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
+            sigs, sizes, found = [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingler(text)
                 sigs.append(signature(s))
                 sizes.append(len(s))
-                found.append([{"level": k, "parent": _signed(p), "node": _signed(n)} for k, level in enumerate(paths(s, threshold, runs, depth)) for p, n in level] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sigs, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(found, type=kind)], names=["doc_id", "sig", "size", "paths"])
+                levels = paths(s, sampling(s, sent.value, threshold), runs, depth) if len(s) else []
+                found.append([{"level": k, "parent": _signed(p), "node": _signed(n)} for k, level in enumerate(levels) for p, n in level])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sigs, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(found, type=kind)], names=["doc_id", "text_hash", "sig", "size", "paths"]
+            )
 
     kind = pa.list_(pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("node", pa.int64())]))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return materialize(rows.mapInArrow(make, "doc_id long, sig binary, size long, paths array<struct<level:int,parent:long,node:long>>"), "sketch")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return materialize(rows.mapInArrow(make, "doc_id long, text_hash long, sig binary, size long, paths array<struct<level:int,parent:long,node:long>>"), "sketch")
+
+
+#: A document's place: its id, which may be null or used twice, and the hash of its text.
+PLACE = ("rep", "text_hash")
+
 
+def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, which name documents by PLACE, with their texts. Only copies of a text can share a place."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    return texts.join(rows, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_hash") == F.col("text_hash"))).drop("_id", "_hash")
 
-def _leaves(classes: DataFrame, small: int, depth: int) -> DataFrame:
-    """leaf, sig, rep, n_copies, n_members, shingles: the members of every node that is compared. Level by level: a node
-    is compared if it has at most `small` members or is on the last level; below it nothing is followed. Nodes with the
-    same members are one leaf."""
-    steps = classes.select("sig", "rep", "n_copies", "size", F.explode("paths").alias("p")).select("sig", "rep", "n_copies", "size", "p.level", "p.parent", "p.node")
-    leaves, large = None, None
+
+def balls(docs: DataFrame, crowd: DataFrame, threshold: float, words: int) -> DataFrame:
+    """sig, ball: sets within half the allowed distance of a centre; of several the one with the most sets.
+
+    crowd: node, n_members, sig, rep, text_hash, size of the members of large nodes. A node's centre is the set of
+    shingles that most of about CENTRE_OF members have, those with the least hashes, so that nodes of one dense group
+    have the same centre as a rule."""
+    at_least = (1 + threshold) / 2
+    some = crowd.filter(F.pmod(F.xxhash64("sig"), F.col("n_members")) < CENTRE_OF)
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+
+        def finish(node: int, sets: list[np.ndarray]) -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(sets), return_counts=True)
+            found = found[times * 2 > len(sets)]
+            return pa.RecordBatch.from_arrays([pa.array([node], type=pa.int64()), pa.array([found.tobytes()], type=pa.binary()), pa.array([len(found)], type=pa.int64())], names=["node", "centre", "n"])
+
+        node, sets = None, []
+        for batch in batches:
+            for now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != node and sets:
+                    yield finish(node, sets)
+                    sets = []
+                node = now
+                sets.append(shingler(text))
+        if sets:
+            yield finish(node, sets)
+
+    dealt = with_text(docs, some).select("node", "text").repartition("node").sortWithinPartitions("node")
+    centres = materialize(dealt.mapInArrow(centre, "node long, centre binary, n long").filter("n > 0").withColumn("ball", F.xxhash64("centre")), "centres")
+    near = (
+        crowd.join(centres.select("node", "ball", "n"), "node")
+        .filter((F.col("size") >= at_least * F.col("n")) & (F.col("n") >= at_least * F.col("size")))
+        .select("ball", "sig", *PLACE)
+        .distinct()
+    )
+    near = materialize(near, "near")
+    parts = near.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    members = with_text(docs, near.join(parts, "ball")).select("ball", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), "sig", F.col("text").cast("binary").alias("content"))
+    heads = centres.select("ball", "centre").dropDuplicates(["ball"]).join(parts, "ball")
+    heads = heads.select("ball", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("sig"), F.col("centre").alias("content"))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, ball, middle = Shingler(words), None, None
+        for batch in batches:
+            out = []
+            for now, sig, content in zip(*(batch.column(c).to_pylist() for c in ("ball", "sig", "content")), strict=True):
+                if sig is None:
+                    ball, middle = now, np.frombuffer(content, dtype=np.uint64)
+                    continue
+                s = shingler(content.decode())
+                shared = len(np.intersect1d(s, middle, assume_unique=True))
+                if now == ball and shared >= at_least * (len(s) + len(middle) - shared) + 1e-9 and signature(s) == sig:
+                    out.append((sig, now))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.binary()), pa.array([x[1] for x in out], type=pa.int64())], names=["sig", "ball"])
+
+    dealt = heads.unionByName(members).repartition("ball", "part").sortWithinPartitions("ball", "part", F.col("sig").asc_nulls_first())
+    held = materialize(dealt.mapInArrow(hold, "sig binary, ball long").distinct(), "held")
+    tally = held.groupBy("ball").agg(F.count("*").alias("n"))
+    return materialize(held.join(tally.filter("n > 1"), "ball").groupBy("sig").agg(F.min_by("ball", F.struct(-F.col("n"), "ball")).alias("ball")), "balls")
+
+
+def _leaves(docs: DataFrame, classes: DataFrame, threshold: float, small: int, depth: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The members of every node that is compared (leaf, sig, rep, text_hash, n_copies, ball, inner: in the node's main
+    ball, n_outer, n_inner, shingles), and the balls.
+
+    Level by level: a node is compared if at most `small` members are outside its main ball, or on the last level; below
+    it nothing is followed. Nodes with the same members are one leaf."""
+    own = ("sig", *PLACE, "n_copies", "size")
+    steps = classes.select(*own, F.explode("paths").alias("p")).select(*own, "p.level", "p.parent", "p.node")
+    spread = docs.sparkSession.createDataFrame([], "sig binary, ball long")
+    leaves, above = None, None
     for level in range(depth):
         here = steps.filter(F.col("level") == level)
-        if large is not None:
-            here = here.join(large, here["parent"] == large["large"], "left_semi")
+        if above is not None:
+            here = here.join(above, here["parent"] == above["large"], "left_semi")
         sizes = here.groupBy("node").agg(
             F.count("*").alias("n_members"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("sig").bitwiseAND(0xFFFFFFFF)).alias("a"), F.sum(F.shiftrightunsigned(F.xxhash64("sig"), 32)).alias("b")
         )
         sizes = materialize(sizes.filter("n_members > 1"), "nodes")
-        done = sizes if level == depth - 1 else sizes.filter(F.col("n_members") <= small)
-        one = done.groupBy("n_members", "shingles", "a", "b").agg(F.min("node").alias("node"))
-        found = here.join(one.select("node", "n_members", "shingles"), "node").select(F.col("node").alias("leaf"), "sig", "rep", "n_copies", "n_members", "shingles")
+        large = sizes.filter(F.col("n_members") > small)
+        crowded = not large.isEmpty()
+        facts = sizes.filter(F.col("n_members") <= small).select("node", "n_members", "shingles", "a", "b", F.lit(None).cast("long").alias("main"), F.lit(0).cast("long").alias("n_inner"))
+        if crowded:
+            crowd = here.join(large, "node")
+            if level == 0:
+                spread = balls(docs, crowd, threshold, words)
+            inside = crowd.join(spread, "sig").groupBy("node", "ball").agg(F.count("*").alias("k"))
+            inside = inside.groupBy("node").agg(F.max_by("ball", F.struct("k", "ball")).alias("main"), F.max("k").alias("n_inner"))
+            ruled = large.join(inside, "node", "left").withColumn("n_inner", F.coalesce("n_inner", F.lit(0).cast("long")))
+            ruled = materialize(ruled, "ruled")
+            ends = F.lit(level == depth - 1) | (F.col("n_members") - F.col("n_inner") <= small)
+            facts = facts.unionByName(ruled.filter(ends))
+            above = ruled.filter(~ends).select(F.col("node").alias("large"))
+        one = facts.groupBy("n_members", "shingles", "a", "b").agg(F.min(F.struct("node", "main", "n_inner")).alias("x")).select("x.*", "n_members", "shingles")
+        found = here.join(one.filter("n_inner < n_members"), "node").select(F.col("node").alias("leaf"), *own, "main", "n_inner", (F.col("n_members") - F.col("n_inner")).alias("n_outer"), "shingles")
         leaves = found if leaves is None else leaves.unionByName(found)
-        large = sizes.filter(F.col("n_members") > small).select(F.col("node").alias("large"))
-        if large.isEmpty():
+        if not crowded:
             break
-    return leaves
+    leaves = leaves.join(spread, "sig", "left").withColumn("inner", F.coalesce(F.col("ball") == F.col("main"), F.lit(False))).drop("main", "size")
+    return leaves, spread
 
 
-def compare(sets: list[np.ndarray], leaves: list[list[int]], copies: np.ndarray, side: np.ndarray | None, leaf: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members that have a link, the root of each (least member of its connected part), and the links to count for it.
-    side: 0 or 1 for the two blocks of a pair of blocks, whose inner pairs are compared elsewhere."""
+def compare(sets: list[np.ndarray], leaves: list[list[int]], copies: np.ndarray, ball: np.ndarray, side: np.ndarray | None, leaf: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members that have a link, the root of each (least member of its connected part), and the links to count for it:
+    not those in one ball (0: none), and not those of an earlier leaf. side: 0 or 1 for the two blocks of a pair of
+    blocks, whose inner pairs are compared elsewhere."""
     m = len(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -183,23 +343,36 @@ def compare(sets: list[np.ndarray], leaves: list[list[int]], copies: np.ndarray,
     met = np.zeros((len(have), max(1, len(before))), dtype=np.float32)
     for row, i in enumerate(have):
         met[row, [number[x] for x in leaves[i] if x < leaf]] = 1
-    counted = linked & ((met @ met.T) == 0)
+    own = ball[have]
+    counted = linked & ((met @ met.T) == 0) & ((own[:, None] != own[None, :]) | (own[:, None] == 0))
     return have, have[label], counted @ copies[have]
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, depth: int, words: int, block: int = BLOCK) -> DataFrame:
-    """sig, root, n: the compared nodes' members that have links, each with the root of its part and the copies it links to."""
-    leaves = materialize(_leaves(classes, small, depth), "leaves")
-    members = leaves.groupBy("sig", "rep", "n_copies").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"), F.collect_set(F.struct("leaf", "n_members", "shingles")).alias("nodes"))
-    blocks = F.greatest(F.ceil(F.col("node.n_members") / block), F.ceil(F.col("node.shingles") / BLOCK_SHINGLES)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    """sig, root, n: the compared nodes' members that have links, each with the root of its part and the copies it links
+    to; and the members of balls, with the copies in their ball.
+
+    A leaf's outer members stand in blocks of their own, its inner ones (of its main ball) in others. Every outer block
+    is compared with itself and all other blocks; two inner blocks never meet, so a member of a ball is sent to a leaf
+    as often as the leaf has outer blocks."""
+    leaves, spread = _leaves(docs, classes, threshold, small, depth, words)
+    leaves = materialize(leaves, "leaves")
+    members = leaves.groupBy("sig", *PLACE, "n_copies", "ball").agg(
+        F.sort_array(F.collect_set("leaf")).alias("leaves"), F.collect_set(F.struct("leaf", "inner", "n_outer", "n_inner", "shingles")).alias("nodes")
+    )
+
+    def blocks(n: Column) -> Column:
+        return F.greatest(F.ceil(n / block), F.ceil(F.col("node.shingles") * n / (F.col("node.n_outer") + F.col("node.n_inner")) / BLOCK_SHINGLES)).cast("int")
+
+    place = F.xxhash64("sig")
+    inner = F.col("node.inner")
     dealt = (
-        texts.join(members, F.col("rep_id").eqNullSafe(F.col("rep")))
-        .select("sig", "text", "n_copies", "leaves", F.explode("nodes").alias("node"))
-        .withColumn("blocks", blocks)
-        .withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.col("node.leaf").alias("leaf"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sig", "text", "n_copies", "leaves")
+        with_text(docs, members)
+        .select("sig", "text", "n_copies", "ball", "leaves", F.explode("nodes").alias("node"))
+        .withColumns({"outer": blocks(F.col("node.n_outer")), "more": blocks(F.col("node.n_inner"))})
+        .withColumn("mine", F.when(inner, F.col("outer") + F.pmod(place, F.col("more"))).otherwise(F.pmod(place, F.col("outer"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("outer")).otherwise(F.col("outer") + F.col("more")) - 1)))
+        .select(F.col("node.leaf").alias("leaf"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sig", "text", "n_copies", F.coalesce("ball", F.lit(0).cast("long")).alias("ball"), "leaves")
     )
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +382,14 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, dep
             sigs = list(held)
             have = roots = n = np.empty(0, dtype=np.int64)
             if len(sigs) > 1:
-                rows = list(held.values())
-                side = np.array([r[3] for r in rows]) if key[1] != key[2] else None
-                have, roots, n = compare([r[0] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), side, key[0], threshold)
+                sets, copies, own, mine, ball = zip(*held.values(), strict=True)
+                side = np.array(mine) if key[1] != key[2] else None
+                have, roots, n = compare(list(sets), list(own), np.array(copies, dtype=np.float64), np.array(ball, dtype=np.int64), side, key[0], threshold)
             return pa.RecordBatch.from_arrays([pa.array([sigs[i] for i in have], type=pa.binary()), pa.array([sigs[i] for i in roots], type=pa.binary()), pa.array(n.astype(np.int64))], names=["sig", "root", "n"])
 
         key, held = None, {}
         for batch in batches:
-            leaf, i, j, mine, sig, text, n_copies, own = (batch.column(c).to_pylist() for c in ("leaf", "i", "j", "mine", "sig", "text", "n_copies", "leaves"))
+            leaf, i, j, mine, sig, text, n_copies, ball, own = (batch.column(c).to_pylist() for c in ("leaf", "i", "j", "mine", "sig", "text", "n_copies", "ball", "leaves"))
             for k in range(len(leaf)):
                 if (now := (leaf[k], i[k], j[k])) != key:
                     if held:
@@ -224,13 +397,16 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, dep
                     key, held = now, {}
                 if sig[k] not in held:
                     s = shingler(text[k])
-                    if signature(s) == sig[k]:  # another row may have the same id
-                        held[sig[k]] = (s, n_copies[k], own[k], mine[k])
+                    if signature(s) == sig[k]:  # another text may have the same hash
+                        held[sig[k]] = (s, n_copies[k], own[k], mine[k], ball[k])
         if held:
             yield finish(key, held)
 
     dealt = dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
-    return dealt.mapInArrow(brute, "sig binary, root binary, n long")
+    compared = dealt.mapInArrow(brute, "sig binary, root binary, n long")
+    held = spread.join(classes.select("sig", "n_copies"), "sig")
+    whole = held.groupBy("ball").agg(F.min("sig").alias("root"), F.sum("n_copies").alias("copies"))
+    return compared.unionByName(held.join(whole, "ball").select("sig", "root", (F.col("copies") - F.col("n_copies")).alias("n")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,9 +442,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Null, blank or otherwise wordless texts link to nothing: class_id and copy_id are their own id. Repeated rows and
     repeated ids are rows of their own; a class whose ids are all null has a null id. Other columns are not read."""
-    rows = sketch(docs, threshold, runs_for(recall, depth), depth, words)
-    groups = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
-    classes = materialize(groups, "classes")
+    common = common_shingles(docs, small, words)
+    rows = sketch(docs, common, threshold, runs_for(recall, depth), depth, words)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")  # null ids last
+    groups = rows.filter("sig is not null").groupBy("sig").agg(first, F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
+    classes = materialize(groups.select("sig", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n_copies", "size", "paths"), "classes")
     found = materialize(links(docs, classes, threshold, small, depth, words, block), "links")
     tally = found.groupBy("sig").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("sig").alias("u"), F.col("root").alias("v")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,58 @@ def test_recall_of_crowded_pairs(spark):
     assert sum(r.n_links for r in rows) >= 0.98 * 4 * groups
 
 
+def test_pairs_with_a_common_passage(spark):
+    """Default settings: a fifth to nearly all of each text is a passage that all share; linked pairs are found all the same."""
+    rng = random.Random(11)
+    passage, texts, pairs = [f"p{k}" for k in range(60)], [], 400
+    for g in range(pairs):
+        own = [f"g{g}w{k}" for k in range(rng.choice([20, 40, 60, 120, 240]))]
+        texts.append(" ".join(passage + own))
+        texts.append(" ".join(passage + own + [f"g{g}e{k}" for k in range((len(own) + 56) // 4 - 4)]))  # just above the threshold
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    common = ngram_join.common_shingles(docs, 512, 5)
+    assert set(common) == set(ngram_join.Shingler()(" ".join(passage)).tolist())
+    rows = {r.doc_id: r for r in ngram_join.near_duplicates(docs).collect()}
+    assert sum(rows[2 * g].class_id == rows[2 * g + 1].class_id for g in range(pairs)) >= 0.98 * pairs
+
+
+def test_sampling_expects_a_shared_shingle():
+    """For linked sets the shingles that both sample number one at least on average, whatever they have in common with others."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        u = rng.permutation(500).astype(np.uint64)[: rng.integers(20, 500)]
+        cut = rng.integers(0, len(u) // 5 + 1)
+        a = rng.integers(0, cut + 1)
+        x, y = np.sort(u[: len(u) - a]), np.sort(u[cut - a :])
+        common = np.sort(rng.permutation(500).astype(np.uint64)[: rng.integers(0, 500)])
+        p, q = (ngram_join.sampling(s, common, 0.8).astype(float) / 2**64 for s in (x, y))
+        both, i, j = np.intersect1d(x, y, return_indices=True)
+        assert len(both) >= 0.8 * len(u) - 1e-9 and np.minimum(p[i], q[j]).sum() >= 1 - 1e-6
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Members near their centre are counted without comparison; a few stand apart from it, and have links of their own."""
+    rng = random.Random(12)
+    base, texts = [f"b{k}" for k in range(200)], []
+    for k in range(4000):
+        words = list(base)
+        for _ in range(1 if k % 100 else 3):
+            words[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in ngram_join.near_duplicates(docs).collect()}
+    shingler = ngram_join.Shingler()
+    sets = [shingler(t) for t in texts]
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    matrix = np.zeros((len(sets), column.max() + 1), dtype=np.float32)
+    matrix[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+    shared, size = matrix @ matrix.T, np.array([len(s) for s in sets])
+    want = (shared * 1.8 >= 0.8 * (size[:, None] + size[None, :]) - 1e-6).sum(axis=1) - 1
+    got = np.array([rows[k].n_links for k in range(len(texts))])
+    assert 0 < want.min() and (got <= want).all() and got.sum() >= 0.995 * want.sum()
+    assert {r.class_id for r in rows.values()} == {0}
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
