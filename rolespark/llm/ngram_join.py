@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ BLOCK = 512
 BLOCK_SHINGLES = 4_000_000
 #: A shingle is common if more than `small` documents and this share of all have it. So common shingles number at most
 #: 2 / COMMON_SHARE times the mean size of a set, whatever the number of documents.
-COMMON_SHARE = 1 / 256
+COMMON_SHARE = 1 / 1024
 #: Shingles that are counted together when common ones are looked for.
 COUNTED = 4_000_000
 #: Members of a large node from which its centre is taken. The centre decides only which pairs need no comparison.
@@ -54,84 +55,125 @@ def runs_for(recall: float, depth: int) -> int:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the shingles of a text: lower-cased words between ASCII white space. A text
-    with fewer words than a shingle has one shingle, all its words; a text without words has none."""
-
-    def __init__(self, words: int = WORDS, cache_words: int = 400_000):
-        self._n, self._bound, self._cache = words, cache_words, {}
+    """Sorted distinct 64-bit hashes of the shingles of texts: lower-cased words between ASCII white space. A text with
+    fewer words than a shingle has one shingle, all its words; a text without words, or null, has none.
+
+    A word's hash is a polynomial over its bytes, each byte by a random coefficient, so all words of a batch are hashed
+    in a few array operations: the difference of two running sums, moved to the word's start by a power of the inverse."""
+
+    WINDOW = 4_000_000  # bytes hashed at once, unless one word has more
+
+    def __init__(self, words: int = WORDS):
+        self._n = words
+        self._byte = self._mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self._power = self._inverse = np.ones(1, dtype=np.uint64)
+
+    @staticmethod
+    def _mix(x: np.ndarray) -> np.ndarray:
+        x = x ^ (x >> np.uint64(32))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    def _hashed(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.empty(len(begin), dtype=np.uint64)
+        at = 0
+        while at < len(begin):
+            to = max(at + 1, int(np.searchsorted(end, begin[at] + self.WINDOW, side="right")))
+            base, size = begin[at], int(end[to - 1] - begin[at])
+            if len(self._power) < size:
+                for name, factor in (("_power", 0xD1342543DE82EF95), ("_inverse", pow(0xD1342543DE82EF95, -1, 2**64))):
+                    row = np.full(size, factor, dtype=np.uint64)
+                    row[0] = 1
+                    setattr(self, name, np.multiply.accumulate(row))
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(self._byte[data[base : base + size]] * self._power[:size], out=sums[1:])
+            first = begin[at:to] - base
+            out[at:to] = (sums[end[at:to] - base] - sums[first]) * self._inverse[first]
+            at = to
+        return self._mix(out)
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        low = pc.utf8_lower(pc.fill_null(texts, ""))
+        if not len(low):
+            return []
+        place = np.frombuffer(low.buffers()[1], dtype=np.int64 if pa.types.is_large_string(low.type) else np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
+        data = np.frombuffer(low.buffers()[2] or b"", dtype=np.uint8)[place[0] : place[-1]]
+        place -= place[0]
+        edge = np.zeros(len(data) + 1, dtype=bool)  # a text begins, or a white space stands before
+        edge[place] = True
+        word = (data != 32) & ((data < 9) | (data > 13))
+        edge[1:] |= ~word
+        begin = np.flatnonzero(word & edge[:-1])
+        edge[:-1] |= ~word
+        end = np.flatnonzero(word & edge[1:]) + 1
+        h = self._hashed(data, begin, end)
+        rolled = [h]
+        for k in range(1, min(self._n, len(h))):
+            rolled.append(self._mix(rolled[-1][:-1]) + h[k:])
+        bounds = np.searchsorted(begin, place).tolist()
+        out = []
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            n = min(self._n, last - first)
+            out.append(np.unique(self._mix(rolled[n - 1][first : last - n + 1] ^ np.uint64(n))) if n else np.empty(0, dtype=np.uint64))
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.lower().encode().split() if text else []
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        cache = self._cache
-        if len(cache) > self._bound:
-            cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = min(self._n, len(words))
-        out = h[: len(h) - n + 1].copy()
-        for k in range(1, n):
-            out *= np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            out += h[k : len(h) - n + 1 + k]
-        out ^= np.uint64(n)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-        return np.unique(out)
+        return self.batch(pa.array([text], type=pa.string()))[0]
 
 
 def signature(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def _seeds(run: int) -> tuple[int, int]:
-    return xxhash.xxh64_intdigest(b"run", seed=run) | 1, xxhash.xxh64_intdigest(b"node", seed=run) | 1
+def common_of(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the shingles are common ones."""
+    if not len(common):
+        return np.zeros(len(shingles), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+
+
+def shares(threshold: float) -> tuple[float, float]:
+    """The shares of common shingles up to which a set samples the rarer ones only, and from which it samples all alike."""
+    high = threshold - 0.2
+    return high - (1 - threshold), high
 
 
-def sampling(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The probability, as a share of 2^64, with which each shingle is sampled.
+def sampling(is_common: np.ndarray, threshold: float) -> np.ndarray:
+    """The probability, as a share of 2^64, with which each shingle of a set is sampled.
 
     Of a set of n shingles, c of them common, x shares at least threshold * n - c rarer ones with a partner; sampled with
     probability 1 / (threshold * n - c) one is expected. Sets with a small share of common shingles sample the rarer ones
     only, sets with a large share all as if none were common, those between in both ways. Two linked sets cannot be one
     of the first kind and one of the second: their shares differ by less than 1 - threshold."""
-    n = len(shingles)
+    n, c = len(is_common), int(is_common.sum())
     rate = np.full(n, 1 / (threshold * max(1, n)))
-    if len(common):
-        place = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        is_common = common[place] == shingles
-        share = is_common.mean() if n else 0.0
-        high = threshold - 0.2
-        if 0 < share < high:
-            rate[~is_common] = 1 / (threshold * n - is_common.sum())
-            if share <= high - (1 - threshold):
-                rate[is_common] = 0
+    low, high = shares(threshold)
+    if 0 < c < high * n:
+        rate[~is_common] = 1 / (threshold * n - c)
+        if c <= low * n:
+            rate[is_common] = 0
     return np.minimum(rate * 2.0**64, np.nextafter(2.0**64, 0)).astype(np.uint64)
 
 
-def paths(shingles: np.ndarray, bound: np.ndarray, runs: int, depth: int) -> list[list[tuple[int, int]]]:
-    """For each level the (parent node, node) pairs of all runs."""
-    levels: list[list[tuple[int, int]]] = [[] for _ in range(depth)]
-    for run in range(runs):
-        odd, mark = _seeds(run)
-        parents = [(0, odd)]
-        for level in range(depth):
-            below = []
-            for parent, factor in parents:
-                picked = shingles[shingles * np.uint64(factor) < bound]
-                for s in picked.tolist():
-                    node = xxhash.xxh64_intdigest((s ^ parent).to_bytes(8, "little"), seed=mark & 0xFFFFFFFF)
-                    levels[level].append((parent, node))
-                    below.append((node, (node * 2 + odd) % 2**64 | 1))
-            parents = below
-    return levels
+def _seeds(runs: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array([xxhash.xxh64_intdigest(name, seed=run) | 1 for run in range(runs)], dtype=np.uint64) for name in (b"run", b"node"))
 
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def paths(shingles: np.ndarray, bound: np.ndarray, runs: int, depth: int, width: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """level, parent node and node of the steps of all runs."""
+    odd, mark = _seeds(runs)
+    parent, factor = np.zeros(runs, dtype=np.uint64), odd
+    found = []
+    for level in range(depth):
+        step = max(1, width // max(1, len(shingles)))
+        hits = [np.nonzero(shingles[None, :] * factor[at : at + step, None] < bound[None, :]) for at in range(0, len(factor), step)]
+        path = np.concatenate([h[0] + k * step for k, h in enumerate(hits)]) if hits else np.empty(0, dtype=np.int64)
+        picked = shingles[np.concatenate([h[1] for h in hits])] if hits else shingles[:0]
+        odd, mark, above = odd[path], mark[path], parent[path]
+        parent = Shingler._mix(Shingler._mix((picked ^ above) + mark) * np.uint64(0x9E3779B97F4A7C15) + mark)
+        factor = (parent * np.uint64(2) + odd) | np.uint64(1)
+        found.append((np.full(len(path), level, dtype=np.int32), above, parent))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def common_shingles(docs: DataFrame, small: int, words: int) -> np.ndarray:
@@ -152,9 +194,9 @@ def common_shingles(docs: DataFrame, small: int, words: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingler(text))
-                size += len(held[-1])
+            for shingles in shingler.batch(batch.column(0)):
+                held.append(shingles)
+                size += len(shingles)
                 if size >= COUNTED:
                     yield often()
                     held, size = [], 0
@@ -167,27 +209,33 @@ def common_shingles(docs: DataFrame, small: int, words: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, common: np.ndarray, threshold: float, runs: int, depth: int, words: int) -> DataFrame:
-    """doc_id, text_hash, sig (null without words), size, and the paths; one narrow pass over the texts, written to the
-    shared folder."""
+    """doc_id, text_hash, sig (null without words), size, the paths, and content: the shingles of those sets that sample
+    common ones, as they will stand in large nodes. One narrow pass over the texts, written to the shared folder."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    low, _ = shares(threshold)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sigs, sizes, found = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingler(text)
-                sigs.append(signature(s))
-                sizes.append(len(s))
-                levels = paths(s, sampling(s, sent.value, threshold), runs, depth) if len(s) else []
-                found.append([{"level": k, "parent": _signed(p), "node": _signed(n)} for k, level in enumerate(levels) for p, n in level])
+            sets = shingler.batch(batch.column(2))
+            found, content = [], []
+            for s in sets:
+                is_common = common_of(s, sent.value)
+                found.append(paths(s, sampling(is_common, threshold), runs, depth))
+                content.append(s.tobytes() if is_common.sum() > low * len(s) else None)
+            level, parent, node = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0), np.empty(0), np.empty(0))
+            ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
+            steps = pa.StructArray.from_arrays([pa.array(level, type=pa.int32()), pa.array(parent.view(np.int64)), pa.array(node.view(np.int64))], names=["level", "parent", "node"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sigs, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(found, type=kind)], names=["doc_id", "text_hash", "sig", "size", "paths"]
-            )
+                [
+                    batch.column(0), batch.column(1), pa.array([signature(s) for s in sets], type=pa.binary()), pa.array([len(s) for s in sets], type=pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), steps), pa.array(content, type=pa.binary()),
+                ],
+                names=["doc_id", "text_hash", "sig", "size", "paths", "content"],
+            )
 
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("node", pa.int64())]))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    return materialize(rows.mapInArrow(make, "doc_id long, text_hash long, sig binary, size long, paths array<struct<level:int,parent:long,node:long>>"), "sketch")
+    return materialize(rows.mapInArrow(make, "doc_id long, text_hash long, sig binary, size long, paths array<struct<level:int,parent:long,node:long>>, content binary"), "sketch")
 
 
 #: A document's place: its id, which may be null or used twice, and the hash of its text.
@@ -200,7 +248,27 @@ def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(rows, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_hash") == F.col("text_hash"))).drop("_id", "_hash")
 
 
-def balls(docs: DataFrame, crowd: DataFrame, threshold: float, words: int) -> DataFrame:
+def with_sets(docs: DataFrame, classes: DataFrame, rows: DataFrame, keys: list[str], words: int) -> DataFrame:
+    """rows (keys, sig and PLACE), with content: their shingles, from the classes or else from the texts."""
+    rows = materialize(rows.select(*keys, "sig", *PLACE), "rows")
+    known = classes.filter("content is not null").select("sig", "content")
+    held = rows.join(known, "sig").select(*keys, "sig", "content")
+    rest = rows.join(known, "sig", "left_anti")
+    if rest.isEmpty():
+        return held
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = shingler.batch(batch.column("text"))
+            content = [x.tobytes() if signature(x) == sig else None for x, sig in zip(sets, batch.column("sig").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "sig")), pa.array(content, type=pa.binary())], names=[*keys, "sig", "content"])
+
+    texts = with_text(docs, rest).select(*keys, "sig", "text")
+    return held.unionByName(texts.mapInArrow(read, held.schema).filter("content is not null"))
+
+
+def balls(docs: DataFrame, classes: DataFrame, crowd: DataFrame, threshold: float, words: int) -> DataFrame:
     """sig, ball: sets within half the allowed distance of a centre; of several the one with the most sets.
 
     crowd: node, n_members, sig, rep, text_hash, size of the members of large nodes. A node's centre is the set of
@@ -210,25 +278,23 @@ def balls(docs: DataFrame, crowd: DataFrame, threshold: float, words: int) -> Da
     some = crowd.filter(F.pmod(F.xxhash64("sig"), F.col("n_members")) < CENTRE_OF)
 
     def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-
-        def finish(node: int, sets: list[np.ndarray]) -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(sets), return_counts=True)
+        def finish(node: int, sets: list[bytes]) -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in sets]), return_counts=True)
             found = found[times * 2 > len(sets)]
             return pa.RecordBatch.from_arrays([pa.array([node], type=pa.int64()), pa.array([found.tobytes()], type=pa.binary()), pa.array([len(found)], type=pa.int64())], names=["node", "centre", "n"])
 
         node, sets = None, []
         for batch in batches:
-            for now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for now, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if now != node and sets:
                     yield finish(node, sets)
                     sets = []
                 node = now
-                sets.append(shingler(text))
+                sets.append(content)
         if sets:
             yield finish(node, sets)
 
-    dealt = with_text(docs, some).select("node", "text").repartition("node").sortWithinPartitions("node")
+    dealt = with_sets(docs, classes, some, ["node"], words).select("node", "content").repartition("node").sortWithinPartitions("node")
     centres = materialize(dealt.mapInArrow(centre, "node long, centre binary, n long").filter("n > 0").withColumn("ball", F.xxhash64("centre")), "centres")
     near = (
         crowd.join(centres.select("node", "ball", "n"), "node")
@@ -238,21 +304,21 @@ def balls(docs: DataFrame, crowd: DataFrame, threshold: float, words: int) -> Da
     )
     near = materialize(near, "near")
     parts = near.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = with_text(docs, near.join(parts, "ball")).select("ball", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), "sig", F.col("text").cast("binary").alias("content"))
+    members = with_sets(docs, classes, near.join(parts, "ball").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")), ["ball", "part"], words)
     heads = centres.select("ball", "centre").dropDuplicates(["ball"]).join(parts, "ball")
     heads = heads.select("ball", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("sig"), F.col("centre").alias("content"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, ball, middle = Shingler(words), None, None
+        ball, middle = None, None
         for batch in batches:
             out = []
             for now, sig, content in zip(*(batch.column(c).to_pylist() for c in ("ball", "sig", "content")), strict=True):
+                s = np.frombuffer(content, dtype=np.uint64)
                 if sig is None:
-                    ball, middle = now, np.frombuffer(content, dtype=np.uint64)
+                    ball, middle = now, s
                     continue
-                s = shingler(content.decode())
                 shared = len(np.intersect1d(s, middle, assume_unique=True))
-                if now == ball and shared >= at_least * (len(s) + len(middle) - shared) + 1e-9 and signature(s) == sig:
+                if now == ball and shared >= at_least * (len(s) + len(middle) - shared) + 1e-9:
                     out.append((sig, now))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.binary()), pa.array([x[1] for x in out], type=pa.int64())], names=["sig", "ball"])
 
@@ -286,7 +352,7 @@ def _leaves(docs: DataFrame, classes: DataFrame, threshold: float, small: int, d
         if crowded:
             crowd = here.join(large, "node")
             if level == 0:
-                spread = balls(docs, crowd, threshold, words)
+                spread = balls(docs, classes, crowd, threshold, words)
             inside = crowd.join(spread, "sig").groupBy("node", "ball").agg(F.count("*").alias("k"))
             inside = inside.groupBy("node").agg(F.max_by("ball", F.struct("k", "ball")).alias("main"), F.max("k").alias("n_inner"))
             ruled = large.join(inside, "node", "left").withColumn("n_inner", F.coalesce("n_inner", F.lit(0).cast("long")))
@@ -389,16 +455,16 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, dep
 
         key, held = None, {}
         for batch in batches:
-            leaf, i, j, mine, sig, text, n_copies, ball, own = (batch.column(c).to_pylist() for c in ("leaf", "i", "j", "mine", "sig", "text", "n_copies", "ball", "leaves"))
+            leaf, i, j, mine, sig, n_copies, ball, own = (batch.column(c).to_pylist() for c in ("leaf", "i", "j", "mine", "sig", "n_copies", "ball", "leaves"))
+            sets = shingler.batch(batch.column("text"))
             for k in range(len(leaf)):
                 if (now := (leaf[k], i[k], j[k])) != key:
                     if held:
                         yield finish(key, held)
                     key, held = now, {}
                 if sig[k] not in held:
-                    s = shingler(text[k])
-                    if signature(s) == sig[k]:  # another text may have the same hash
-                        held[sig[k]] = (s, n_copies[k], own[k], mine[k], ball[k])
+                    if signature(sets[k]) == sig[k]:  # another text may have the same hash
+                        held[sig[k]] = (sets[k], n_copies[k], own[k], mine[k], ball[k])
         if held:
             yield finish(key, held)
 
@@ -445,8 +511,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     common = common_shingles(docs, small, words)
     rows = sketch(docs, common, threshold, runs_for(recall, depth), depth, words)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")  # null ids last
-    groups = rows.filter("sig is not null").groupBy("sig").agg(first, F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
-    classes = materialize(groups.select("sig", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n_copies", "size", "paths"), "classes")
+    groups = rows.filter("sig is not null").groupBy("sig").agg(first, F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("content").alias("content"))
+    classes = materialize(groups.select("sig", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n_copies", "size", "paths", "content"), "classes")
     found = materialize(links(docs, classes, threshold, small, depth, words, block), "links")
     tally = found.groupBy("sig").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("sig").alias("u"), F.col("root").alias("v")))

@@ -6,6 +6,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,19 @@ def test_pairs_with_a_common_passage(spark):
     assert sum(rows[2 * g].class_id == rows[2 * g + 1].class_id for g in range(pairs)) >= 0.98 * pairs
 
 
+def test_shingles_of_a_batch():
+    texts = ["A b  c D\ne f G", None, "", " \t", "a b c d e", "x", "\u00c4 \u00e4", "a b c d e f a b c d e", "ab c d e f", "abcdef" * 50, "word " * 9]
+    shingler = ngram_join.Shingler()
+    shingler.WINDOW = 7
+    for found, text in zip(shingler.batch(pa.array(texts)), texts, strict=True):
+        words = (text or "").lower().split()
+        n = min(5, len(words))
+        want = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
+        assert len(found) == len(want) and (found == ngram_join.Shingler()(text)).all() and (np.diff(found) > 0).all() if want else not len(found)
+    same = shingler.batch(pa.array(["A b c d e", "a B c d e", "b a c d e", "a b", "b a", "ab"]))
+    assert len({s[0] for s in same}) == 5 and same[0] == same[1]
+
+
 def test_sampling_expects_a_shared_shingle():
     """For linked sets the shingles that both sample number one at least on average, whatever they have in common with others."""
     rng = np.random.default_rng(5)
@@ -100,7 +114,7 @@ def test_sampling_expects_a_shared_shingle():
         a = rng.integers(0, cut + 1)
         x, y = np.sort(u[: len(u) - a]), np.sort(u[cut - a :])
         common = np.sort(rng.permutation(500).astype(np.uint64)[: rng.integers(0, 500)])
-        p, q = (ngram_join.sampling(s, common, 0.8).astype(float) / 2**64 for s in (x, y))
+        p, q = (ngram_join.sampling(ngram_join.common_of(s, common), 0.8).astype(float) / 2**64 for s in (x, y))
         both, i, j = np.intersect1d(x, y, return_indices=True)
         assert len(both) >= 0.8 * len(u) - 1e-9 and np.minimum(p[i], q[j]).sum() >= 1 - 1e-6
 
