@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,8 +83,9 @@ def years_of(text: str | None) -> int | None:
     found = []
     for pattern in YEARS_PATTERNS:
         for hit in pattern.finditer(text):
-            first = max((c + 1 for c in cuts if c < hit.start()), default=0)
-            last = min((c for c in cuts if c >= hit.end()), default=len(text))
+            before, after = bisect_left(cuts, hit.start()), bisect_left(cuts, hit.end())
+            first = cuts[before - 1] + 1 if before else 0
+            last = cuts[after] if after < len(cuts) else len(text)
             word = hit[1].lower()
             years = int(word) if word.isdigit() else NUMBERS.index(word) + 1
             if 1 <= years <= 30 and not OPTIONAL.search(text, first, last):
@@ -116,6 +119,51 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sorted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("q", T.IntegerType())])))
+def rarest_pieces(often: pd.Series, n: pd.Series, pieces: pd.Series, length: pd.Series) -> pd.Series:
+    """Of each text of n characters so many disjoint pieces of about this length that their occurrences add up to the
+    least. often: occurrences of its substrings, by length (length - 1, if any, to length + 1) and place."""
+
+    def choose(counts: np.ndarray, size: int, wanted: int, middle: int) -> list[list[dict]]:
+        """For texts of one length, a row of counts each."""
+        tables, at = {}, 0
+        for q in range(max(1, middle - 1), min(middle + 1, size) + 1):
+            tables[q] = counts[:, at : at + size - q + 1]
+            at += size - q + 1
+        cost = np.full((size + 1, len(counts), wanted + 1), np.inf)  # of so many pieces in a prefix
+        cost[:, :, 0] = 0
+        last = np.zeros((size + 1, len(counts), wanted + 1), dtype=np.int32)
+        for end in range(1, size + 1):
+            cost[end] = cost[end - 1]
+            for q, table in tables.items():
+                if end >= q:
+                    with_it = cost[end - q, :, :-1] + table[:, end - q, None]
+                    less = with_it < cost[end, :, 1:]
+                    cost[end, :, 1:][less], last[end, :, 1:][less] = with_it[less], q
+        out = []
+        for row in range(len(counts)):
+            found, end, left = [], size, wanted
+            while left:
+                if q := int(last[end, row, left]):
+                    end, left = end - q, left - 1
+                    found.append({"pos": end, "q": q})
+                else:
+                    end -= 1
+            out.append(found)
+        return out
+
+    rows: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(n, pieces, length, strict=True)):
+        rows.setdefault(key, []).append(k)
+    result: list = [None] * len(n)
+    for key, members in rows.items():
+        for at in range(0, len(members), 256):
+            some = members[at : at + 256]
+            for k, found in zip(some, choose(np.stack([np.asarray(often.iloc[k], dtype=np.float64) for k in some]), *map(int, key)), strict=True):
+                result[k] = found
+    return pd.Series(result)
+
+
 class _Tree(HTMLParser):
     """A light element tree: (tag, attributes, children), strings as leaves."""
 

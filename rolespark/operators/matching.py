@@ -6,47 +6,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolespark.config import DEFAULT, Config
-from rolespark.functions.helpers import token_sort_ratio
+from rolespark.functions.helpers import rarest_pieces, token_sort_ratio
 
 
 def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.sort_array(F.array_remove(F.split(name, r"\s+"), "")), " ")
 
 
-def _grams(text: Column) -> Column:
-    """Character bigrams, each with its number among equal ones in the text."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))
-    return F.when(F.length(text) < 2, F.array(text)).otherwise(
-        F.transform(pairs, lambda g, i: F.concat_ws("\x00", g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string")))
-    )
+def _longest(n: Column, share: float) -> Column:
+    """Length of the longest text that a text of n characters can match, share being 1 - cutoff / 100."""
+    return F.floor(n * (1 + share) / (1 - share) + 1e-9).cast("int")
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
-    """left_name, right_name, score for all pairs with a token-sorted Indel similarity of at least cutoff.
+def _budget(n: Column, share: float) -> Column:
+    """Most characters inserted and deleted between a text of n characters and any text that it can match."""
+    return F.floor(share * (n + _longest(n, share)) + 1e-9).cast("int")
+
+
+def _piece_length(n: Column, share: float) -> Column:
+    """Length of the pieces if a text of n characters is cut into one more than its budget."""
+    return F.greatest(F.floor(n / (_budget(n, share) + 1)), F.lit(1)).cast("int")
+
+
+def _substrings(names: DataFrame, shortest: Column, longest: Column) -> DataFrame:
+    """names with q, pos and s for all their substrings of these lengths."""
+    by_length = names.withColumn("q", F.explode(F.sequence(shortest, F.least(longest, F.col("n")))))
+    return by_length.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("q")))).withColumn("s", F.substr("text", F.col("pos") + 1, F.col("q")))
+
+
+_WORDS = 4
+
 
-    Lossless blocking: the edits that the cutoff allows destroy at most two bigrams each, so a pair shares one of the
-    rarest bigrams of either name; the names meet on these, and their lengths must allow the score."""
+def _signature(text: Column, n: Column) -> list[Column]:
+    """The text's bigrams as bits of _WORDS longs, each bigram one bit."""
+    bits = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(2))), F.lit(64 * _WORDS)))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def word(k: int) -> Column:
+        mine = F.filter(bits, lambda b: F.floor(b / 64) == k)
+        return F.aggregate(mine, none, lambda x, b: x.bitwiseOR(F.call_function("shiftleft", one, F.pmod(b, F.lit(64)).cast("int"))))
+
+    return [word(k) for k in range(_WORDS)]
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
+    """left_name, right_name, lt, rt: all pairs at or above the cutoff, and few others, found without a user function on pairs.
+
+    A pair at the cutoff differs by at most d inserted or deleted characters, and each spoils one of d + 1 disjoint pieces
+    of the left text at most: one piece stands in the right text, shifted by no more than the characters inserted or
+    deleted before it. The pieces are those with the fewest occurrences among the right texts. A pair that meets must also
+    not lack more of the left text's bigrams than its edits spoil."""
     share = 1 - cutoff / 100
 
     def index(names: DataFrame, column: str) -> DataFrame:
-        return names.select(F.col(column).alias("name")).filter("name is not null").distinct().withColumn("text", sorted_tokens(F.col("name"))).filter("text <> ''").withColumn("n", F.length("text"))
+        return names.select(F.col(column).alias("name")).filter("name is not null").distinct().withColumn("text", sorted_tokens(F.col("name"))).filter("text <> ''").withColumn("n", F.length("text")).withColumn("bits", F.array(*_signature(F.col("text"), F.col("n"))))
 
     a, b = index(left, "left_name"), index(right, "right_name")
-    grams_a, grams_b = a.withColumn("g", F.explode(_grams(F.col("text")))), b.withColumn("g", F.explode(_grams(F.col("text"))))
-    frequency = grams_b.groupBy("g").agg(F.count("*").alias("f"))
-
-    def prefixes(grams: DataFrame) -> DataFrame:
-        longest = F.ceil(F.col("n") * (1 + share) / (1 - share))  # no longer partner can reach the cutoff
-        keep = 2 * F.floor(share * (F.col("n") + longest) + 1e-9) + 1
-        w = Window.partitionBy("name").orderBy(F.coalesce("f", F.lit(0)), "g")
-        ranked = grams.join(frequency, "g", "left").withColumn("_r", F.row_number().over(w))
-        return ranked.filter(F.col("_r") <= keep).select("name", "text", "n", "g")
-
-    x = prefixes(grams_a).select(F.col("name").alias("left_name"), F.col("text").alias("lt"), F.col("n").alias("ln"), "g")
-    y = prefixes(grams_b).select(F.col("name").alias("right_name"), F.col("text").alias("rt"), F.col("n").alias("rn"), "g")
-    able = 2.0 * F.least("ln", "rn") * 100 >= cutoff * (F.col("ln") + F.col("rn"))
-    candidates = x.join(y, "g").filter(able).select("left_name", "right_name", "lt", "rt").distinct()
-    return candidates.withColumn("score", token_sort_ratio("lt", "rt")).filter(F.col("score") >= cutoff).select("left_name", "right_name", "score")
+    length = _piece_length(F.col("n"), share)
+    partners = F.transform(F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share) - 1e-9).cast("int"), _longest(F.col("n"), share)), lambda n: _piece_length(n, share))
+    y = _substrings(b, F.greatest(F.array_min(partners) - 1, F.lit(1)), F.array_max(partners) + 1)
+    often = y.groupBy("s").agg(F.count("*").alias("f"))
+    counted = _substrings(a, F.greatest(length - 1, F.lit(1)), length + 1).join(often, "s", "left").groupBy("name", "text", "n", "bits")
+    counted = counted.agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "pos", F.coalesce("f", F.lit(0)).alias("f")))), lambda x: x["f"]).alias("f"))
+    pieces = counted.withColumn("p", F.explode(rarest_pieces(F.col("f"), F.col("n"), _budget(F.col("n"), share) + 1, length)))
+    x = pieces.select(
+        F.col("name").alias("left_name"), F.col("text").alias("lt"), F.col("n").alias("ln"), F.col("p.pos").alias("at"), F.substr("text", F.col("p.pos") + 1, F.col("p.q")).alias("s"), F.col("bits").alias("lb")
+    )
+    y = y.select(F.col("name").alias("right_name"), F.col("text").alias("rt"), F.col("n").alias("rn"), F.col("bits").alias("rb"), "pos", "s")
+    edits = F.floor(share * (F.col("ln") + F.col("rn")) + 1e-9).cast("int")
+    gone, come = F.floor((edits + F.col("ln") - F.col("rn")) / 2), F.floor((edits + F.col("rn") - F.col("ln")) / 2)
+    near = (gone >= 0) & (come >= 0) & (F.col("pos") - F.col("at")).between(-gone, come)
+    lacking = sum((F.bit_count(F.col("lb")[w].bitwiseAND(F.bitwise_not(F.col("rb")[w]))) for w in range(_WORDS)), F.lit(0))
+    return x.join(y, "s").filter(near).filter(lacking <= 2 * gone + come).select("left_name", "right_name", "lt", "rt").distinct()
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
+    """left_name, right_name, score for all pairs with a token-sorted Indel similarity of at least cutoff."""
+    scored = fuzzy_candidates(left, right, cutoff).withColumn("score", token_sort_ratio("lt", "rt"))
+    return scored.filter(F.col("score") >= cutoff).select("left_name", "right_name", "score")
 
 
 def fuzzy_match_topone(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
