@@ -45,20 +45,25 @@ class WordEncoder:
             self._clear()
         known = self._number
         if missing := [w for w in words if w not in known]:
-            found = []
+            fresh, sizes = [], []
             for at in range(0, len(missing), 4096):
-                found += [e.ids for e in self._tokenizer.encode_batch_fast(missing[at : at + 4096], add_special_tokens=False)]
+                found = [e.ids for e in self._tokenizer.encode_batch_fast(missing[at : at + 4096], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+                fresh.append(np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes[-1].sum())))
             known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            fresh = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum()))
-            self._ids = np.concatenate([self._ids, fresh])
-            self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+            self._ids = np.concatenate([self._ids, *fresh])
+            self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(np.concatenate(sizes))])
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
+    @staticmethod
+    def _strings(words: pa.Array) -> list[str]:
+        """No word holds a blank, so one string of all of them, split, is much cheaper than a conversion of each."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], type=pa.int32()), words), " ")[0].as_py().split(" ")
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         each = words.flatten().dictionary_encode()
-        number = self._numbers(each.dictionary.to_pylist())[each.indices.to_numpy()] if len(each) else np.empty(0, dtype=np.int64)
+        number = self._numbers(self._strings(each.dictionary))[each.indices.to_numpy()] if len(each) else np.empty(0, dtype=np.int64)
         starts, sizes = self._starts[number], self._starts[number + 1] - self._starts[number]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self._ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
