@@ -39,7 +39,7 @@ BLOCK_SHINGLES = 4_000_000
 #: 2 / COMMON_SHARE times the mean size of a set, whatever the number of documents.
 COMMON_SHARE = 1 / 1024
 #: Shingles that are counted together when common ones are looked for.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Members of a large node from which its centre is taken. The centre decides only which pairs need no comparison.
 CENTRE_OF = 128
 
@@ -61,7 +61,8 @@ class Shingler:
     A word's hash is a polynomial over its bytes, each byte by a random coefficient, so all words of a batch are hashed
     in a few array operations: the difference of two running sums, moved to the word's start by a power of the inverse."""
 
-    WINDOW = 4_000_000  # bytes hashed at once, unless one word has more
+    WINDOW = 500_000  # bytes hashed at once, unless one word has more
+    CHARACTERS = 2_000_000  # bytes of texts taken together, unless one text has more
 
     def __init__(self, words: int = WORDS):
         self._n = words
@@ -92,10 +93,22 @@ class Shingler:
             at = to
         return self._mix(out)
 
-    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+    def _rolled(self, h: np.ndarray, n: int) -> np.ndarray:
+        out = h
+        for k in range(1, n):
+            out = self._mix(out[:-1]) + h[k:]
+        return self._mix(out ^ np.uint64(n))
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())])
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, size[at] + self.CHARACTERS, side="right")) - 1)
+            yield from self._some(texts.slice(at, to - at))
+            at = to
+
+    def _some(self, texts: pa.Array) -> Iterator[np.ndarray]:
         low = pc.utf8_lower(pc.fill_null(texts, ""))
-        if not len(low):
-            return []
         place = np.frombuffer(low.buffers()[1], dtype=np.int64 if pa.types.is_large_string(low.type) else np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
         data = np.frombuffer(low.buffers()[2] or b"", dtype=np.uint8)[place[0] : place[-1]]
         place -= place[0]
@@ -107,18 +120,16 @@ class Shingler:
         edge[:-1] |= ~word
         end = np.flatnonzero(word & edge[1:]) + 1
         h = self._hashed(data, begin, end)
-        rolled = [h]
-        for k in range(1, min(self._n, len(h))):
-            rolled.append(self._mix(rolled[-1][:-1]) + h[k:])
+        whole = self._rolled(h, self._n) if len(h) >= self._n else h
         bounds = np.searchsorted(begin, place).tolist()
-        out = []
         for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-            n = min(self._n, last - first)
-            out.append(np.unique(self._mix(rolled[n - 1][first : last - n + 1] ^ np.uint64(n))) if n else np.empty(0, dtype=np.uint64))
-        return out
+            if last - first >= self._n:
+                yield np.unique(whole[first : last - self._n + 1])
+            else:
+                yield self._rolled(h[first:last], last - first) if last > first else np.empty(0, dtype=np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.batch(pa.array([text], type=pa.string()))[0]
+        return next(self.batch(pa.array([text], type=pa.string())))
 
 
 def signature(shingles: np.ndarray) -> bytes | None:
@@ -217,7 +228,7 @@ def sketch(docs: DataFrame, common: np.ndarray, threshold: float, runs: int, dep
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = shingler.batch(batch.column(2))
+            sets = list(shingler.batch(batch.column(2)))
             found, content = [], []
             for s in sets:
                 is_common = common_of(s, sent.value)
@@ -260,7 +271,7 @@ def with_sets(docs: DataFrame, classes: DataFrame, rows: DataFrame, keys: list[s
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = shingler.batch(batch.column("text"))
+            sets = list(shingler.batch(batch.column("text")))
             content = [x.tobytes() if signature(x) == sig else None for x, sig in zip(sets, batch.column("sig").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "sig")), pa.array(content, type=pa.binary())], names=[*keys, "sig", "content"])
 
@@ -457,14 +468,14 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, dep
         for batch in batches:
             leaf, i, j, mine, sig, n_copies, ball, own = (batch.column(c).to_pylist() for c in ("leaf", "i", "j", "mine", "sig", "n_copies", "ball", "leaves"))
             sets = shingler.batch(batch.column("text"))
-            for k in range(len(leaf)):
+            for k, shingles in enumerate(sets):
                 if (now := (leaf[k], i[k], j[k])) != key:
                     if held:
                         yield finish(key, held)
                     key, held = now, {}
                 if sig[k] not in held:
-                    if signature(sets[k]) == sig[k]:  # another text may have the same hash
-                        held[sig[k]] = (sets[k], n_copies[k], own[k], mine[k], ball[k])
+                    if signature(shingles) == sig[k]:  # another text may have the same hash
+                        held[sig[k]] = (shingles, n_copies[k], own[k], mine[k], ball[k])
         if held:
             yield finish(key, held)
 
