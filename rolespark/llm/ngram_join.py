@@ -372,7 +372,8 @@ def _leaves(docs: DataFrame, classes: DataFrame, threshold: float, small: int, d
             facts = facts.unionByName(ruled.filter(ends))
             above = ruled.filter(~ends).select(F.col("node").alias("large"))
         one = facts.groupBy("n_members", "shingles", "a", "b").agg(F.min(F.struct("node", "main", "n_inner")).alias("x")).select("x.*", "n_members", "shingles")
-        found = here.join(one.filter("n_inner < n_members"), "node").select(F.col("node").alias("leaf"), *own, "main", "n_inner", (F.col("n_members") - F.col("n_inner")).alias("n_outer"), "shingles")
+        # the nodes grow with the documents, so they are never broadcast
+        found = here.join(one.filter("n_inner < n_members").hint("merge"), "node").select(F.col("node").alias("leaf"), *own, "main", "n_inner", (F.col("n_members") - F.col("n_inner")).alias("n_outer"), "shingles")
         leaves = found if leaves is None else leaves.unionByName(found)
         if not crowded:
             break
