@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +38,17 @@ BAD_HINTS = frozenset(
     "subscribe subscription signup login search form comment comments reply replies respondent disqus pagination pager copyright legal skip hidden".split()
 )
 GOOD_HINTS = frozenset("article content main post entry story body text".split())
+COMMENT_HINTS = frozenset("comment comments reply replies respondent disqus".split())
+#: What may follow a hint in a compound name ("comment-list"), and what turns a name into one of something else ("has-sidebar").
+HOLDERS = frozenset(
+    "area bar block body bottom box button buttons card cards container content form group icons inner item items left links list menu outer panel posts region right "
+    "section slot stories text thread top unit widget wrap wrapper".split()
+)
+TURNING = frozenset("has no not with without is".split())
+#: A hint says nothing if this share of the page's text stands below it, most of it not in links.
+MOST_TEXT = 0.6
+#: Hinted elements around one another that are told apart.
+HINTS_KEPT = 8
 
 #: Weights of the classifier; z > 0 speaks for content.
 BIAS, ARTICLE, BAD_TAG, BAD_HINT, GOOD_HINT, LINKS, LENGTH, PARAGRAPH, HEADING, LISTED, COPYRIGHT = -0.4, 4.0, -9.0, -9.0, 1.5, -5.0, 0.9, 1.0, 0.5, -0.5, -2.0
@@ -52,9 +63,10 @@ class Element:
     silent: bool
     article: bool
     bad: bool
-    hint_bad: bool
     hint_good: bool
-    parents: tuple[int, ...]
+    hints: tuple[int, ...]
+    comment: bool
+    up: Element | None
 
 
 @dataclass
@@ -66,14 +78,25 @@ class Block:
     z: float = 0.0
 
 
+def is_bad_hint(name: str) -> bool:
+    """Whether a class, id or role names boilerplate: the name itself, the last part of a compound ("site-header"), or the
+    first before a word for a container ("comment-list"). "has-sidebar" or "legal-opinion" name something else."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    if not parts or TURNING & set(parts):
+        return False
+    return parts[-1] in BAD_HINTS or parts[0] in BAD_HINTS and parts[-1] in HOLDERS
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, without blank ones."""
-    root = Element("", 0, 0, False, False, False, False, False, ())
+    root = Element("", 0, 0, False, False, False, False, (), False, None)
     stack, out, number, open_block, links = [root], [], 0, None, 0
+    opened: Counter[str] = Counter()  # so that the stack is searched only for what is in it
 
     def pop(n: int) -> None:
         nonlocal open_block, links
         for e in stack[n:]:
+            opened[e.tag] -= 1
             if e.tag == "a":
                 links -= 1
             if e.tag not in INLINE:
@@ -97,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, closing, rest = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if closing:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if opened[tag] else 0
             if at:
                 pop(at)
             elif tag not in INLINE:
@@ -112,10 +135,10 @@ def blocks_of(page: str) -> list[Block]:
                 open_block = None
             continue
         if tag not in INLINE:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
+            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0) if opened["p"] else 0
             if at and not any(e.tag in ("table", "button", "object") for e in stack[at:]):
                 pop(at)
-            if tag in CLOSED_BY_SELF:
+            if tag in CLOSED_BY_SELF and opened[tag]:
                 at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag or stack[k].tag in ("ul", "ol", "dl", "table")), 0)
                 if at and stack[at].tag == tag:
                     pop(at)
@@ -123,19 +146,33 @@ def blocks_of(page: str) -> list[Block]:
         if rest.rstrip().endswith("/"):  # closes itself
             continue
         up, number = stack[-1], number + 1
-        words: set[str] = set()
+        names: list[str] = []
         off = False
         if rest and tag not in ("html", "body"):
             for name, value in ATTRIBUTE.findall(rest):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id", "role"):
-                    words.update(re.split(r"[\s_-]+", value))
+                    names += value.split()
                 elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
                     off = True
         bad = tag in CHROME and not (tag == "header" and up.article)
+        words = {part for name in names for part in re.split(r"[_-]+", name)}
+        hinted = any(map(is_bad_hint, names))
         stack.append(
-            Element(tag, number, up.depth + 1, up.silent or off or tag in SILENT, up.article or tag in ("article", "main"), up.bad or bad, up.hint_bad or bool(words & BAD_HINTS), up.hint_good or bool(words & GOOD_HINTS), (*up.parents, number))
+            Element(
+                tag,
+                number,
+                up.depth + 1,
+                up.silent or off or tag in SILENT,
+                up.article or tag in ("article", "main"),
+                up.bad or bad,
+                up.hint_good or bool(words & GOOD_HINTS),
+                (*up.hints, number) if hinted and len(up.hints) < HINTS_KEPT else up.hints,
+                up.comment or hinted and bool(words & COMMENT_HINTS),
+                up,
+            )
         )
+        opened[tag] += 1
         links += tag == "a"
     kept = []
     for b in out:
@@ -145,22 +182,36 @@ def blocks_of(page: str) -> list[Block]:
     return kept
 
 
-def preference(block: Block) -> float:
+def trusted_hints(blocks: list[Block]) -> set[int]:
+    """The hinted elements that do not hold most of the page's text themselves."""
+    below, links = Counter(), Counter()
+    for b in blocks:
+        for h in b.element.hints:
+            below[h] += len(b.text)
+            links[h] += min(b.link, len(b.text))
+    most = MOST_TEXT * sum(len(b.text) for b in blocks)
+    return {h for h, n in below.items() if n < most or 2 * links[h] > n}
+
+
+def preference(block: Block, hint_bad: bool) -> float:
     """Log odds that a block is content."""
     e = block.element
-    z = BIAS + ARTICLE * e.article + BAD_TAG * e.bad + BAD_HINT * e.hint_bad + GOOD_HINT * e.hint_good
+    z = BIAS + ARTICLE * e.article + BAD_TAG * e.bad + BAD_HINT * hint_bad + GOOD_HINT * e.hint_good
     z += LENGTH * math.log1p(block.text.count(" ") / 10) + LINKS * min(1.0, block.link / len(block.text))
     z += PARAGRAPH * (e.tag == "p") + HEADING * (e.tag in HEADINGS) + LISTED * (e.tag in ("li", "td", "th"))
     return z + COPYRIGHT * ("©" in block.text)
 
 
 def tree_distance(a: Element, b: Element) -> int:
-    common = 0
-    for x, y in zip(a.parents, b.parents, strict=False):
-        if x != y:
-            break
-        common += 1
-    return len(a.parents) + len(b.parents) - 2 * common
+    """Steps between two elements of the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
 
 
 def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -234,11 +285,12 @@ def extract(page: str | None) -> str:
     if not blocks:
         return ""
     groups: list[list[Block]] = []
+    trusted = trusted_hints(blocks)
     for b in blocks:
-        b.z = preference(b)
+        b.z = preference(b, b.element.comment or not trusted.isdisjoint(b.element.hints))
         last = groups[-1][-1] if groups else None
         # blocks of one parent that agree in their preference are one node
-        if last and (last.z > 0) == (b.z > 0) and last.element.parents[:-1] == b.element.parents[:-1]:
+        if last and (last.z > 0) == (b.z > 0) and last.element.up is b.element.up:
             groups[-1].append(b)
         else:
             groups.append([b])
@@ -247,9 +299,9 @@ def extract(page: str | None) -> str:
         first = g[0].element
         if k:
             edges.append((k - 1, k, NEAR / (1 + tree_distance(groups[k - 1][-1].element, first))))
-        if (before := latest.get(first.parents[:-1])) is not None:
+        if (before := latest.get(first.up.number if first.up else -1)) is not None:
             edges.append((before, k, SIBLING))
-        latest[first.parents[:-1]] = k
+        latest[first.up.number if first.up else -1] = k
     softplus = lambda z: max(z, 0.0) + math.log1p(math.exp(-abs(z)))
     label = minimum_cut([sum(softplus(-b.z) for b in g) for g in groups], [sum(softplus(b.z) for b in g) for g in groups], edges)
     return "\n".join(b.text for g, yes in zip(groups, label, strict=True) if yes for b in g)

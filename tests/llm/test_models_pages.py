@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,18 @@ def test_pipeline(spark, tmp_path):
     assert all("abcdefghijklmno1" not in r.text and r.n_chars == len(r.text) for r in redacted.values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept[3])
+
+
+@pytest.mark.parametrize("name", ["content article", "entry has-sidebar", "layout header-fixed", "legal-opinion", "social-science story", "page-search-results", "left-sidebar", "post related-topic"])
+def test_names_that_only_seem_to_be_boilerplate(name):
+    """The article stays whole, whatever its container is called; the menu and the comments beside it go."""
+    text = "Word by word this paragraph goes on, as the paragraphs of an article do, until it has been long enough."
+    page = f"<body><div class='menu'><a href='/'>Home</a></div><div class='{name}'>{f'<p>{text}</p>' * 4}</div><div class='comment-list'><p>{text}</p></div></body>"
+    assert html_extract.extract(page) == "\n".join([text] * 4)
+
+
+def test_deep_pages_take_linear_time():
+    text = "<p>" + "a paragraph of several words that is long enough " * 4 + "</p>"
+    began = time.process_time()
+    assert html_extract.extract("<div>" * 100_000 + text).startswith("a paragraph")
+    assert time.process_time() - began < 60
