@@ -110,37 +110,38 @@ def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
     )
     characters = F.length(text)
     # a filter on what follows is not pushed below a column that is not deterministic; else each rule would count anew
-    out = docs.withColumns({"_w": counted, "_l": lines, "word_chars": _without(text, " \t\n\x0b\x0c\r").cast("long"), "_once": F.monotonically_increasing_id()})
+    out = docs.withColumns({"_rule_w": counted, "_rule_l": lines, "word_chars": _without(text, " \t\n\x0b\x0c\r").cast("long"), "_rule_once": F.monotonically_increasing_id()})
     out = out.withColumns(
         {
-            "n_words": F.col("_w.n"),
+            "n_words": F.col("_rule_w.n"),
             "n_symbols": (characters - _without(text, SYMBOLS)).cast("long"),
-            "n_dup_lines": F.col("_l.dup").cast("long"),
-            "n_repeat_words": F.col("_w.repeat"),
-            "_n": F.greatest(F.col("_w.n"), F.lit(1)),
-            "_c": F.greatest(F.col("word_chars"), F.lit(1)),
-            "_exclamations": characters - _without(text, "!"),
-            "_capitals": characters - _without(text, CAPITALS),
+            "n_dup_lines": F.col("_rule_l.dup").cast("long"),
+            "n_repeat_words": F.col("_rule_w.repeat"),
+            "_rule_n": F.greatest(F.col("_rule_w.n"), F.lit(1)),
+            "_rule_c": F.greatest(F.col("word_chars"), F.lit(1)),
+            "_rule_exclamations": characters - _without(text, "!"),
+            "_rule_capitals": characters - _without(text, CAPITALS),
         }
     )
     return out.withColumns(
         {
-            "repeat_percent": 100 * F.col("n_repeat_words") / F.col("_n"),
-            "mean_word_chars": F.col("word_chars") / F.col("_n"),
-            "symbols_per_word": F.col("n_symbols") / F.col("_n"),
-            "exclamations_per_word": F.col("_exclamations") / F.col("_n"),
-            "capital_ratio": F.col("_capitals") / F.col("_c"),
-            "stop_word_ratio": F.col("_w.stop") / F.col("_n"),
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_l.n"), F.lit(1)),
+            "repeat_percent": 100 * F.col("n_repeat_words") / F.col("_rule_n"),
+            "mean_word_chars": F.col("word_chars") / F.col("_rule_n"),
+            "symbols_per_word": F.col("n_symbols") / F.col("_rule_n"),
+            "exclamations_per_word": F.col("_rule_exclamations") / F.col("_rule_n"),
+            "capital_ratio": F.col("_rule_capitals") / F.col("_rule_c"),
+            "stop_word_ratio": F.col("_rule_w.stop") / F.col("_rule_n"),
+            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_rule_l.n"), F.lit(1)),
         }
-    ).drop("_w", "_l", "_n", "_c", "_exclamations", "_capitals")
+    ).drop("_rule_w", "_rule_l", "_rule_n", "_rule_c", "_rule_exclamations", "_rule_capitals")
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds the measures, failed_rules (names in table order, empty array if none), base_failed and kept.
 
     Null or empty text: no words, so it fails too_short. Repeated rows are judged each by itself; other columns
-    pass through (a column with the name of an output is replaced). An empty table gives an empty table."""
+    pass through (a column with the name of an output is replaced; names
+    that begin with _rule_ are used inside). An empty table gives an empty table."""
     measured = measure(docs, text_col)
     named = F.array(*[F.when(r.failed(), F.lit(r.name)) for r in rules])
     base = [r.failed() for r in rules if r.name in BASE_RULES]
@@ -148,4 +149,4 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     for other in base[1:]:
         failed = failed | other
     judged = measured.withColumns({"failed_rules": F.array_compact(named), "base_failed": failed})
-    return judged.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("_once") >= 0)).drop("_once")
+    return judged.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("_rule_once") >= 0)).drop("_rule_once")

@@ -96,7 +96,7 @@ def _places(pattern: str, kind: str, keep: str = "true") -> str:
  FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS hits FROM t) WHERE len(hits) > 0) WHERE {keep}"""
 
 
-_ALLOWED = " OR ".join(f"regexp_matches(v, {_quote(p)})" for p in secrets.ALLOW if "\\1" not in p)
+_ALLOWED = " OR ".join(f"regexp_matches(v, {_quote(p)})" for p in secrets.ALLOW)
 _PEAK = f"list_max(list_transform(range(1, length(v) - {secrets.WINDOW - 2}), lambda i: list_entropy(string_split(substr(v, i, {secrets.WINDOW}), ''))))"
 _LEAST = f"CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['base64']} END"
 _NAMED = "['" + "', '".join(secrets.KINDS) + "'][kind + 1] || ':' || s || ':' || e"

@@ -26,7 +26,6 @@ ALLOW = (
     r"^[0-9_=/+-]+$",
     r"(?i)example|placeholder|changeme|xxxx|your[_-]",
     r"^[/]?[A-Za-z]+([/_-][A-Za-z]+)*([/_-][0-9]+)?$",
-    r"^(.)\1*$",
 )
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"

@@ -108,3 +108,9 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0), model).count() == 0
     for family, texts in licenses.TEMPLATES.items():
         assert all(re.search(licenses.ANCHORS, t) for t in texts), family
+
+
+def test_quality_keeps_columns_of_the_user(spark):
+    docs = spark.createDataFrame([(1, "some words here", 5, "w")], "doc_id long, text string, _n int, _w string")
+    row = quality.apply_rules(docs).first()
+    assert (row._n, row._w, row.n_words) == (5, "w", 3)
