@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of labelled text gives the longest match at any place of an unknown text. Parsing
 a text into longest matches, one after the other, needs fewer phrases the closer the text is to the language; a phrase
-costs the logarithm of the language's text length, and the cheapest language wins. Texts are parsed in segments that
-run side by side as lanes of arrays."""
+costs the logarithm of the language's text length, and the cheapest language wins. Each language has its own letters:
+a letter that a language's sample lacks ends the phrase in that language alone, so no script crowds out another. Texts
+are parsed in segments that run side by side as lanes of arrays; the end of a segment ends a phrase, which adds at most
+one phrase for each further segment."""
 
 from __future__ import annotations
 
@@ -12,14 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: documents a language, characters of each, and characters of all automata together.
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 400
-MODEL_CHARS = 400_000
-ALPHABET = 62
+MODEL_CHARS = 4_000_000
+#: Widest alphabet whose transitions are a table; wider ones are sorted keys.
+TABLE_WIDTH = 96
 SEGMENT = 512
 LANES = 4096
 UNDETERMINED = "und"
@@ -30,8 +33,27 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: states by symbols, -1 where there is none."""
+@dataclass
+class Automaton:
+    """Transitions from states by codes. keys are state * width + code of all transitions, ascending, and ends their
+    states; a narrow alphabet has them as a table of states by codes instead, -1 where there is none."""
+
+    own: np.ndarray  # the code here of each code of the model; 0 for blanks, the last for letters not in this language
+    width: int
+    table: np.ndarray | None
+    keys: np.ndarray | None
+    ends: np.ndarray | None
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = state * self.width + code
+        if self.table is not None:
+            return self.table[at]
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[place] == at, self.ends[place], -1)
+
+
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a sequence."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -57,30 +79,38 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(go), width), -1, dtype=np.int32)
-    for state, out in enumerate(go):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return go
+
+
+def packed(go: list[dict[int, int]], own: np.ndarray, width: int) -> Automaton:
+    if width <= TABLE_WIDTH:
+        table = np.full((len(go), width), -1, dtype=np.int32)
+        for state, out in enumerate(go):
+            for c, to in out.items():
+                table[state, c] = to
+        return Automaton(own, width, table.ravel(), None, None)
+    flat = np.array(sorted((state * width + c, to) for state, out in enumerate(go) for c, to in out.items()), dtype=np.int64)
+    return Automaton(own, width, None, flat[:, 0].copy(), flat[:, 1].astype(np.int32))
 
 
 @dataclass
 class Model:
-    """The languages in ascending order, their automata, and the code of each character: 0 for blanks, 1 to n for the
-    alphabet, n + 1 for letters outside it (they match nothing)."""
+    """The languages in ascending order, their automata, and the code of each code point: 0 for blanks, 1 to n for the
+    letters of all samples, n + 1 for other letters (they match nothing)."""
 
     languages: list[str]
     codes: np.ndarray
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     cost: np.ndarray  # bits of a phrase
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
+        codes = self.codes[points]
         blank = codes == 0
         keep = ~blank
         keep[1:] |= ~blank[:-1]
-        return codes[keep]
+        kept = codes[keep]
+        return kept[:-1] if len(kept) and kept[-1] == 0 else kept
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text for each language; every segment of a text is parsed by itself."""
@@ -99,39 +129,40 @@ class Model:
                 block[: sizes[lane], lane] = parts[i]
             active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than each step
             who = np.array([owner[i] for i in lanes])
-            for k, table in enumerate(self.tables):
-                np.add.at(out[:, k], who, self._parse(block, active, table))
+            for k, one in enumerate(self.automata):
+                np.add.at(out[:, k], who, self._parse(one.own[block], active, one))
         return out
 
     @staticmethod
-    def _parse(block: np.ndarray, active: np.ndarray, table: np.ndarray) -> np.ndarray:
-        width, flat = table.shape[1], table.ravel()
-        root = np.maximum(table[0], 0).astype(np.int64)
+    def _parse(block: np.ndarray, active: np.ndarray, one: Automaton) -> np.ndarray:
+        root = np.maximum(one.step(np.zeros(one.width, dtype=np.int64), np.arange(one.width)), 0).astype(np.int64)
         state = np.zeros(block.shape[1], dtype=np.int64)
-        count = np.ones(block.shape[1], dtype=np.int64)
+        count = np.zeros(block.shape[1], dtype=np.int64)
         for step, n in enumerate(active):
             c = block[step, :n]
-            to = flat[state[:n] * width + c]
-            ended = to < 0
-            count[:n] += ended
-            state[:n] = np.where(ended, root[c], to)
+            to = one.step(state[:n], c)
+            count[:n] += (to < 0) | (state[:n] == 0)  # a phrase begins
+            state[:n] = np.where(to < 0, root[c], to)
         return count
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id") -> Model:
     """Fits on a bounded sample of the labelled rows of docs (columns id_col, text, lang): for each language about
-    SAMPLE_DOCS documents by the hash of their id, SAMPLE_CHARS characters of each. Which rows are taken depends on
-    the ids alone, not on how the rows lie."""
+    SAMPLE_DOCS documents by the hash of their id and text, SAMPLE_CHARS characters of each, copies once. Which rows
+    are taken depends on ids and texts alone, not on how the rows lie, and for each language by itself. All samples
+    together have at most MODEL_CHARS characters: from 105 languages on, each has fewer."""
     named = docs.filter("lang is not null")
     sizes = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
-        return Model([], np.zeros(1, dtype=np.uint8), [], np.zeros(0))
+        return Model([], np.zeros(0x110000, dtype=np.uint32), [], np.zeros(0))
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    picked = named.withColumn("_place", place).filter(F.col("_place") <= share * float(1 << 30)).filter("text is not null")
-    rows = picked.select("_place", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("part")).orderBy("_place", "lang", "part").limit(4 * SAMPLE_DOCS * len(sizes)).collect()
+    place = F.pmod(F.xxhash64(id_col, "text"), F.lit(1 << 30))
+    picked = named.filter("text is not null").select(place.alias("place"), "lang", "text").filter(F.col("place") <= share * float(1 << 30))
+    parts = picked.select("lang", "place", F.substring("text", 1, SAMPLE_CHARS).alias("part")).groupBy("lang", "part").agg(F.min("place").alias("place"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "part"))
+    rows = parts.withColumn("turn", turn).filter(F.col("turn") <= 4 * SAMPLE_DOCS).orderBy("lang", "turn").collect()
     each = min(SAMPLE_DOCS * SAMPLE_CHARS, MODEL_CHARS // len(sizes))
     texts: dict[str, str] = {}
     for lang in sorted(sizes):
@@ -143,22 +174,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id") -> Model:
 
 
 def fit(texts: dict[str, str]) -> Model:
-    seen: dict[str, int] = {}
-    for text in texts.values():
-        for c in text.replace(" ", ""):
-            seen[c] = seen.get(c, 0) + 1
-    alphabet = sorted(sorted(seen), key=lambda c: -seen[c])[:ALPHABET]
-    other = len(alphabet) + 1
-    codes = np.array([other if chr(p).isalpha() else 0 for p in range(0x10000)] + [other], dtype=np.uint8)
-    number = {" ": 0} | {c: k + 1 for k, c in enumerate(alphabet)}
-    for c, k in number.items():
-        codes[min(ord(c), 0x10000)] = k
-    codes[0x10000] = other
     names = sorted(texts)
-    tables = [automaton([number.get(c, other) for c in texts[n]], other + 1) for n in names]
-    for table in tables:
-        table[:, other] = -1
-    return Model(names, codes, tables, np.array([np.log2(max(2, len(texts[n]))) for n in names]))
+    alphabet = sorted({c for text in texts.values() for c in text} - {" "})
+    other = len(alphabet) + 1
+    codes = np.fromiter((other if chr(p).isalpha() else 0 for p in range(0x110000)), dtype=np.uint32, count=0x110000)
+    codes[[ord(c) for c in alphabet]] = np.arange(1, other)
+    automata = []
+    for name in names:
+        mine = sorted(set(texts[name]) - {" "})
+        number = {" ": 0} | {c: k + 1 for k, c in enumerate(mine)}
+        own = np.full(other + 1, len(mine) + 1, dtype=np.int64)
+        own[0] = 0
+        own[codes[[ord(c) for c in mine]]] = np.arange(1, len(mine) + 1)
+        automata.append(packed(automaton([number[c] for c in texts[name]]), own, len(mine) + 2))
+    return Model(names, codes, automata, np.array([np.log2(max(2, len(texts[n]))) for n in names]))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

@@ -99,20 +99,55 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
 
 
-def test_phrases_are_longest_matches():
-    texts = {"a": "the cat sat on the mat", "b": "le chat est sur la table"}
+def phrases(text, known):
+    n = at = 0
+    clean = langid.letters(text)
+    while at < len(clean):
+        at += max((k for k in range(1, min(60, len(clean) - at) + 1) if clean[at : at + k] in known), default=1)
+        n += 1
+    return n
+
+
+SCRIPTS = {"latin": (0x61, 26), "cyrillic": (0x430, 32), "greek": (0x3B1, 17), "hebrew": (0x5D0, 27), "han": (0x4E00, 1500), "beyond": (0x10400 + 40, 40)}
+
+
+def scripted(name, seed, n):
+    """Words with frequent pairs of letters, so that texts of a script share phrases."""
+    first, size = SCRIPTS[name]
+    rng, letter = random.Random(f"{name}{seed}"), 0
+    out = []
+    for _ in range(n):
+        letter = (letter * 7 + rng.choice([1, 2, 3, 5])) % size
+        out.append(chr(first + letter) + rng.choice(["", "", "", " "]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("width", [langid.TABLE_WIDTH, 0])
+def test_phrases_are_longest_matches(monkeypatch, width):
+    monkeypatch.setattr(langid, "TABLE_WIDTH", width)
+    texts = {n: langid.letters(scripted(n, 1, 600)) for n in SCRIPTS} | {"a": "the cat sat on the mat", "b": "le chat est sur la table"}
+    model = langid.fit(texts)
+    for text in ["the table sat", "zzz", "lechat", "Ж", "сат cat", *[scripted(n, 2, 300) for n in SCRIPTS], scripted("latin", 3, 150) + scripted("han", 3, 150)]:
+        assert [int(g) for g in model.phrases([model.encode(text)])[0]] == [phrases(text, texts[n]) for n in model.languages]
+
+
+def test_segments_add_at_most_a_phrase_each():
+    texts = {n: langid.letters(scripted(n, 1, 900)) for n in ("latin", "han")}
     model = langid.fit(texts)
-    for text in ("the table sat", "zzz", "lechat"):
-        want = []
-        for known in texts.values():
-            n = at = 0
-            clean = langid.letters(text)
-            while at < len(clean):
-                size = max((k for k in range(1, len(clean) - at + 1) if clean[at : at + k] in known), default=1)
-                n, at = n + 1, at + size
-            want.append(n)
-        got = model.phrases([model.encode(text)])[0]
-        assert all(abs(int(g) - w) <= 1 for g, w in zip(got, want, strict=True))
+    for text in (scripted("latin", 4, 3000), scripted("han", 4, 2000)):
+        codes = model.encode(text)
+        for got, name in zip(model.phrases([codes])[0], model.languages, strict=True):
+            whole = phrases(text, texts[name])
+            assert whole <= got <= whole + -(-len(codes) // langid.SEGMENT) - 1
+
+
+def test_scripts_do_not_crowd_each_other_out(spark):
+    rows = [(None, scripted(n, i, 300), n) for i in range(40) for n in SCRIPTS] + [(None, scripted("latin", 1, 50), "latin")] * 500
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(SCRIPTS)
+    unseen = [(i, scripted(n, 1000 + i, 200)) for i, n in enumerate(SCRIPTS)]
+    out = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(unseen, "doc_id long, text string"), model).collect()}
+    assert out == dict(enumerate(SCRIPTS))
 
 
 def test_minimum_cut_is_brute_force():
