@@ -35,9 +35,14 @@ def ingest_stream(spark: SparkSession, path: str, root: str, checkpoint: str, si
 
 
 def first_seen_stream(spark: SparkSession, path: str, root: str, checkpoint: str, out: str, as_of: Column, fmt: str = "parquet") -> StreamingQuery:
-    """Raw postings dated at first sight against the store under root, to a folder of their own for each micro-batch."""
+    """Raw postings dated at first sight, to a folder of their own for each micro-batch. Known are the ids of the store
+    under root and of the batches before; a batch that runs again is written again."""
 
     def step(batch: DataFrame, number: int) -> None:
-        resolve_undated(batch, read_snapshot(spark, root), as_of).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        known = read_snapshot(spark, root).select("source", "company", "ats_job_id")
+        if number > 0:
+            before = spark.read.schema(f"{RAW_JOB}, seq long, batch long").parquet(out).filter(F.col("batch") < number)
+            known = known.unionAll(before.select("source", "company", "ats_job_id"))
+        resolve_undated(batch, known, as_of).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _run(raw_stream(spark, path, fmt), checkpoint, step)
