@@ -79,14 +79,20 @@ def has_non_us_keyword(text: Column, config: Config = DEFAULT) -> Column:
     return F.lower(text).rlike(rf"(?U)(?<!\w)(?:{words})(?!\w)")
 
 
+# fixed values: what tells of the United States in free text: the country, a state, a city with its state, a pay range
+US_PHRASE = r"(?iuU)\bunited states\b|\bus[- ]based\b|\bu\.s\.|\busa\b|\bus only\b"
+US_STATE = r"(?iuU)\b(?:{names})\b"
+US_CITY = r"(?U)\b[A-Z][A-Za-z.]+(?: [A-Z][A-Za-z.]+)*,\s*(?:{codes})\b"
+US_PAY = r"(?U)\$\s?\d{2,3}(?:,\d{3})?(?:\.\d+)?\s?[kK]?\s*(?:-|\u2013|\u2014|to)\s*\$?\s?\d{2,3}(?:,\d{3})?(?:\.\d+)?\s?[kK]?"
+
+
 def has_us_signal(text: Column, config: Config = DEFAULT) -> Column:
     """Free text that names the country, a state, a city with its state code, or a dollar range."""
-    amount = r"\$?\s?\d{2,3}(?:,\d{3})?(?:\.\d+)?\s?[kK]?"
-    phrase = text.rlike(r"(?iuU)\bunited states\b|\bus[- ]based\b|\bu\.s\.|\busa\b|\bus only\b")
-    state = text.rlike(rf"(?iuU)\b(?:{'|'.join(US_STATE_NAMES)})\b")
-    city = text.rlike(rf"(?U)\b[A-Z][A-Za-z.]+(?: [A-Z][A-Za-z.]+)*,\s*(?:{'|'.join(config.us_states)})\b")
-    pay = text.rlike(rf"(?U)\$\s?\d{{2,3}}(?:,\d{{3}})?(?:\.\d+)?\s?[kK]?\s*(?:-|\u2013|\u2014|to)\s*{amount}")
-    return F.coalesce(phrase | state | city | pay, F.lit(False))
+    patterns = (US_PHRASE, US_STATE.replace("{names}", "|".join(US_STATE_NAMES)), US_CITY.replace("{codes}", "|".join(config.us_states)), US_PAY)
+    told = F.lit(False)
+    for pattern in patterns:
+        told = told | text.rlike(pattern)
+    return F.coalesce(told, F.lit(False))
 
 
 def state_in_location(raw: Column, config: Config = DEFAULT) -> Column:

@@ -8,15 +8,14 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rolespark.functions import places
 from rolespark.functions.helpers import sorted_ratio
-from rolespark.functions.places import Places
 from rolespark.operators import boards, filings, jobs, matching, review, scoring
 from rolespark.plans.workloads import ingest
 from rolespark.schemas import JOB, LCA_COLUMNS, RAW_JOB
 from rolespark.sources import payloads, tables
 
 
-
 def as_of():
     return F.expr("TIMESTAMP '2026-03-01 12:00:00'")
 
@@ -122,12 +121,34 @@ def test_undated(spark):
     assert out == {1: 2000, 2: 2026, 3: 2000, 4: 2000, 5: 2026}
 
 
-def test_places():
-    p = Places([("new york city", "NY", 40.7, -74.0, 8_000_000), ("austin", "TX", 30.3, -97.7, 900_000), ("princeton", "NJ", 40.3, -74.6, 30_000), ("rochester", "NY", 43.2, -77.6, 200_000)], {"NY": "new york", "TX": "texas", "NJ": "new jersey", "WA": "washington"})
-    assert p.one("Princeton - NJ - US") == (40.3, -74.6)
-    assert p.one("New York, New York") == (40.7, -74.0) and p.one("Rochester, New York") == (43.2, -77.6)
-    assert p.one("Austin, United States") == (30.3, -97.7) and p.one("Princeton") is None and p.one("in the office") is None
-    assert len(p.all("Austin, TX; Brooklyn; Mars")) == 2 and p.all(None) == []
+def test_places(spark):
+    cities = [("new york city", "NY", 40.7, -74.0, 8_000_000), ("austin", "TX", 30.3, -97.7, 900_000), ("austin", "MN", 43.7, -93.0, 26_000), ("princeton", "NJ", 40.3, -74.6, 30_000), ("rochester", "NY", 43.2, -77.6, 200_000)]
+    cities += [("rochester", "MN", 44.0, -92.5, 120_000), ("washington", "DC", 38.9, -77.0, 690_000), ("washington", "PA", 40.2, -80.2, 13_000), ("st. paul", "MN", 44.9, -93.1, 310_000)]
+    gazetteer = spark.createDataFrame(cities, "name string, state string, lat double, lon double, population long")
+    states = {"NY": "new york", "TX": "texas", "NJ": "new jersey", "WA": "washington", "MN": "minnesota", "PA": "pennsylvania"}
+    wanted = {
+        "Princeton - NJ - US": [40.3],
+        "New York, New York": [40.7],
+        "Rochester, New York": [43.2],
+        "Rochester, MN": [44.0],
+        "Rochester": [43.2],  # the greater of two
+        "Austin, United States": [30.3],
+        "Austin Minnesota": [43.7],
+        "Princeton": [],  # no major city
+        "in the office": [],
+        "Austin, TX; Brooklyn; Mars": [30.3, 40.7],
+        "Brooklyn;Austin, TX.": [40.7, 30.3],
+        "Washington D.C.": [38.9],
+        "Washington": [],  # the name of a state
+        "Washington, PA": [],
+        "St. Paul, MN": [44.9],
+        "": [],
+        ";;": [],
+    }
+    rows = [(k,) for k in wanted] * 2 + [(None,)]
+    out = places.resolve_locations(spark.createDataFrame(rows, "location string"), gazetteer, states).collect()
+    assert len(out) == len(wanted)
+    assert {r.location: [p.lat for p in r.points] for r in out} == wanted
 
 
 def test_seeding_is_the_greedy_loop(spark):
