@@ -194,11 +194,20 @@ def map_successfactors(spark, sf_dir):
     return _mapped(P.map_successfactors, spark, sf_dir, _landed("list", _SUCCESS), _landed("detail", _MICRO))
 
 
-@register("SELECT page_id, contains(html, '<article>') AS has_text FROM pages")
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+_TAGLESS = _replaced("coalesce(html, '')", ("(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "''"), ("<br>|</(p|div|li|h[1-6])>", "chr(10)"), ("<[^>]+>", "''"))
+_DECODED = f"replace(replace(replace(replace(replace(replace(replace({_TAGLESS}, '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+@register(f"SELECT page_id, {_replaced(_DECODED, ('[ \\t]+\\n', 'chr(10)'), ('\\n{3,}', 'chr(10) || chr(10)'), ('^\\s+|\\s+$', "''"))} AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    """Whole pages through the text rule; a page with an article has text, and no text holds a tag or a script."""
-    text = frame(spark, sf_dir, "SELECT page_id, html FROM @pages").select("page_id", H.html_to_text("html").alias("t"))
-    return text.select("page_id", ((F.length("t") > 0) & ~F.contains("t", F.lit("track(")) & ~F.contains("t", F.lit("<p>"))).alias("has_text"))
+    """The text of whole pages."""
+    return frame(spark, sf_dir, "SELECT page_id, html FROM @pages").select("page_id", H.html_to_text("html").alias("text"))
 
 
 @register(r"""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS n_links, list_extract(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS first_link FROM pages""")

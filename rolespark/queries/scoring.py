@@ -31,11 +31,14 @@ def similarity(spark, sf_dir):
     return rows.select("vec_id", F.round(scoring.similarity(F.col("embedding"), _QUERY), 9).alias("similarity"))
 
 
-@register("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS total FROM embeddings")
+@register(
+    """SELECT vec_id, unnest(range(len(embedding))) AS pos, round(unnest(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) + 0.0e0 AS value
+ FROM embeddings"""
+)
 def l2_normalize(spark, sf_dir):
-    unit = scoring.l2_normalize(F.col("embedding"))
-    return frame(spark, sf_dir, "SELECT vec_id, embedding FROM @embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
+    """Every component of every vector."""
+    unit = frame(spark, sf_dir, "SELECT vec_id, embedding FROM @embeddings").select("vec_id", F.posexplode(scoring.l2_normalize(F.col("embedding"))).alias("pos", "value"))
+    return unit.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @register(
