@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolespark.llm import decontaminate, html_extract, kneser_ney, langid, licenses, ngram_join, packing, quality, secrets, tokens
-from rolespark.llm.common import table
+from rolespark.llm import decontaminate, html_extract, kneser_ney, langid, licenses, ngram_join, packing, periodic_runs, quality, secrets, tokens
+from rolespark.llm.common import table, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -57,7 +58,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op7_license_scans, op8_language_id, op9_token_output, op10_decontamination)}
+def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one text in ten (by the id's hash) the words from a place on repeat a stretch of itself, so that there are runs of
+    every period."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    g, words, n = F.floor(hashed / 10), F.col("words"), F.size("words")
+    chosen = table(spark, sf_dir, "documents").select("doc_id", "text", g.alias("g"), F.when(hashed % 10 == 0, words_of(F.col("text"))).alias("words"))
+    placed = chosen.select("doc_id", "text", "words", F.when(n > 0, F.pmod("g", n)).alias("a"), "g").withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i >= F.col("a"), F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).otherwise(i).cast("int")))
+    planted = placed.select("doc_id", F.when(n > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+    found = planted.select("doc_id", periodic_runs.detect(F.col("text")).alias("found"))
+    runs, best = F.col("found.runs"), F.array_max(F.transform("found.runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.array_join(F.transform(runs, lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("found.collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op7_license_scans, op8_language_id, op9_token_output, op10_decontamination, op13_periodic_run_detection)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
