@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolespark.llm import decontaminate, html_extract, kneser_ney, langid, licenses, ngram_join, packing, periodic_runs, quality, secrets, tokens
+from rolespark.llm import decontaminate, html_extract, kneser_ney, langid, licenses, ngram_join, packing, periodic_runs, quality, repeats, secrets, spelling, tokens
 from rolespark.llm.common import table, words_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +60,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _typing_errors(doc_id: str):
+    """One word in 199 (by a hash of document and word) loses a code point."""
+    start = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), start)
+        at = h % len(word)
+        return word if h % 199 else word[:at] + word[at + 1 :]
+
+    return change
+
+
+def op11_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), "[A-Za-z\u00C0-\u00FF]", change=_typing_errors)
+    return spelling.group_variants(words)
+
+
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return done.select(
+        "_row.doc_id",
+        F.coalesce(F.octet_length("_row.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of one text in ten (by the id's hash) the words from a place on repeat a stretch of itself, so that there are runs of
     every period."""
@@ -82,7 +113,7 @@ def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op7_license_scans, op8_language_id, op9_token_output, op10_decontamination, op13_periodic_run_detection)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_html_extraction, op6_secret_scans, op7_license_scans, op8_language_id, op9_token_output, op10_decontamination, op11_spelling_variant_grouping, op12_suffix_array_dedup, op13_periodic_run_detection)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
