@@ -13,6 +13,7 @@ from rolespark.functions.helpers import min_years_required
 from rolespark.functions.places import metro_group
 from rolespark.operators.matching import already_applied
 from rolespark.schemas import JOB, conform
+from rolespark.storage import written
 
 #: Date of postings that stood on an undated board when it was first seen.
 BASELINE = datetime(2000, 1, 1)
@@ -101,8 +102,13 @@ def dedup_terms(postings: DataFrame, key: str, order: list[str]) -> DataFrame:
 def resolve_undated(raw: DataFrame, store: DataFrame, as_of: Column) -> DataFrame:
     """Dates rows of boards without dates: ids not stored yet get as_of, all others, and boards never seen, the baseline."""
     known = store.filter("ats_job_id is not null").select("source", "company", "ats_job_id").distinct()
-    boards = known.select("source", "company").distinct().withColumn("_board", F.lit(True))
-    out = raw.join(boards, ["source", "company"], "left").join(known.withColumn("_known", F.lit(True)), ["source", "company", "ats_job_id"], "left")
+    return date_at_first_sight(raw, known, known.select("source", "company").distinct(), as_of)
+
+
+def date_at_first_sight(raw: DataFrame, known: DataFrame, boards: DataFrame, as_of: Column) -> DataFrame:
+    """resolve_undated with what is known as two tables: known (source, company, ats_job_id) and boards (source, company),
+    each row once."""
+    out = raw.join(boards.withColumn("_board", F.lit(True)), ["source", "company"], "left").join(known.withColumn("_known", F.lit(True)), ["source", "company", "ats_job_id"], "left")
     fresh = F.col("_board").isNotNull() & F.col("_known").isNull() & F.col("ats_job_id").isNotNull()
     dated = F.when(F.coalesce("undated", F.lit(False)) & F.col("posted_at").isNull(), F.when(fresh, as_of).otherwise(F.lit(BASELINE).cast("timestamp")))
     return out.withColumn("posted_at", F.coalesce(dated, "posted_at")).select(*raw.columns)
@@ -127,10 +133,12 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, order: str = "seq") -> D
     return out.withColumn("outcome", F.when(F.col("_turn") == 1, F.col("_would")).otherwise("unchanged")).drop("_key", "_stored", "_would", "_turn")
 
 
-def upsert_jobs(batch: DataFrame, store: DataFrame, as_of: Column, order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """(outcomes, new store). An update changes source, url, description and ats_job_id only, so the status stays; rows
-    that are stored already get filing columns they lack; an excluded row has no description."""
+def upsert_rows(batch: DataFrame, store: DataFrame, as_of: Column, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rows of the new store with whether the upsert has changed or added them). An update changes source, url,
+    description and ats_job_id only, so the status stays; rows that are stored already get filing columns they lack; an
+    excluded row has no description. The outcomes are written once, as both results and the caller read them."""
     decided = upsert_outcomes(batch, store, order).withColumn("description", F.when(F.col("status") != "excluded", F.col("description")))
+    decided = written(decided, "decided")
     change = decided.filter("outcome = 'updated'").select("id", *[F.col(c).alias(f"_{c}") for c in ("source", "url", "description", "ats_job_id")], F.lit(True).alias("_hit"))
     lca = ("lca_filings", "lca_relevant_soc", "lca_match_name", "lca_match_score")
     w = Window.partitionBy("source", "ats_job_id").orderBy(order)
@@ -138,13 +146,21 @@ def upsert_jobs(batch: DataFrame, store: DataFrame, as_of: Column, order: str =
     fill = fill.select("source", "ats_job_id", *[F.col(c).alias(f"_{c}") for c in lca])
     kept = store.join(fill, ["source", "ats_job_id"], "left").join(change, "id", "left")
     late = F.col("lca_match_name").isNull() & F.col("_lca_match_name").isNotNull()
+    changed = F.coalesce("_hit", F.lit(False)) | late
     values = {c: F.when(late, F.col(f"_{c}")).otherwise(F.col(c)) for c in lca}
     values |= {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("source", "url", "description", "ats_job_id")}
-    values["updated_at"] = F.when(F.col("_hit") | late, as_of).otherwise(F.col("updated_at"))
-    kept = kept.select(*[values.get(c, F.col(c)).alias(c) for c in store.columns])
+    values["updated_at"] = F.when(changed, as_of).otherwise(F.col("updated_at"))
+    kept = kept.select(*[values.get(c, F.col(c)).alias(c) for c in store.columns], changed.alias("changed"))
     fresh = conform(decided.filter("outcome = 'inserted'").withColumns({"first_seen_at": as_of, "updated_at": as_of}), JOB)
     fresh = fresh.withColumns({"cap_exempt": F.coalesce("cap_exempt", F.lit(False)), "red_flags": F.coalesce("red_flags", F.array().cast("array<string>"))})
-    return decided, conform(kept, JOB).unionByName(fresh)
+    flagged = f"{JOB}, changed boolean"
+    return decided, conform(kept, flagged).unionByName(fresh.withColumn("changed", F.lit(True)))
+
+
+def upsert_jobs(batch: DataFrame, store: DataFrame, as_of: Column, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(outcomes, new store), see upsert_rows."""
+    decided, rows = upsert_rows(batch, store, as_of, order)
+    return decided, rows.drop("changed")
 
 
 def run_counts(outcomes: DataFrame) -> DataFrame:

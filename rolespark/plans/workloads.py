@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from rolespark.config import DEFAULT, Config
 from rolespark.operators import digest, jobs, matching, scoring
+from rolespark.storage import written
 
 
-def ingest(raw: DataFrame, store: DataFrame, since: Column, as_of: Column, history: DataFrame | None = None, excluded: DataFrame | None = None, employers: DataFrame | None = None, aliases: DataFrame | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, new store) for raw postings with a column seq, their order in the run. Duplicates go before names are
-    matched: what matching adds depends on the company only."""
-    dated = jobs.resolve_undated(raw, store, as_of)
+def prepare(dated: DataFrame, since: Column, history: DataFrame | None = None, excluded: DataFrame | None = None, employers: DataFrame | None = None, aliases: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Dated raw postings with a column seq, their order in the run, as rows for the upsert, written once. Duplicates go
+    before names are matched: what matching adds depends on the company only."""
     marked = jobs.with_status(jobs.prefilter(jobs.normalize_jobs(dated, config), since, history, excluded, config))
-    batch = jobs.dedup_batch(marked)
+    batch = written(jobs.dedup_batch(marked), "batch")
     if employers is not None:
         kept = batch.filter("status <> 'excluded'")
-        batch = matching.apply_lca(batch, matching.match_employer(kept, employers, aliases, config))
-    else:
-        none = {"lca_filings": "int", "lca_relevant_soc": "int", "lca_match_name": "string", "lca_match_score": "double"}
-        batch = batch.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
-    return jobs.upsert_jobs(batch, store, as_of)
+        return written(matching.apply_lca(batch, matching.match_employer(kept, employers, aliases, config)), "matched")
+    none = {"lca_filings": "int", "lca_relevant_soc": "int", "lca_match_name": "string", "lca_match_score": "double"}
+    return batch.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+
+
+def ingest(raw: DataFrame, store: DataFrame, since: Column, as_of: Column, history: DataFrame | None = None, excluded: DataFrame | None = None, employers: DataFrame | None = None, aliases: DataFrame | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, new store) for raw postings with a column seq, the store being one table."""
+    dated = jobs.resolve_undated(raw, store, as_of)
+    return jobs.upsert_jobs(prepare(dated, since, history, excluded, employers, aliases, config), store, as_of)
 
 
 def shortlist(store: DataFrame, query: list[float], as_of: Column, config: Config = DEFAULT) -> DataFrame:

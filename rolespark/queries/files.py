@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from rolespark import schemas
 from rolespark.operators import filings, matching, review
+from rolespark.plans import store
 from rolespark.queries import postings, register
 from rolespark.queries.adapters import frame
 from rolespark.queries.duck import norm_company
 from rolespark.queries.filings import EMPLOYERS, _flat, lca
-from rolespark.sources import tables
+from rolespark.sources import tables, versions
 from rolespark.storage import checkpoint_dir
 from rolespark.streaming.ingest import first_seen_stream as seen_stream
 from rolespark.streaming.ingest import ingest_stream as jobs_stream
@@ -29,10 +30,11 @@ _KEPT = ", ".join(c for c in schemas.LCA_COLUMNS if c not in ("TOTAL_WORKER_POSI
 
 @register(
     f"""SELECT {_KEPT}, CASE WHEN CASE_NUMBER NOT LIKE '%-2' THEN TOTAL_WORKER_POSITIONS END AS TOTAL_WORKER_POSITIONS,
- CASE WHEN CASE_NUMBER NOT LIKE '%-3' THEN CAST(DECISION_DATE AS DATE) END AS DECISION_DATE, true AS named FROM @lca_raw"""
+ CASE WHEN CASE_NUMBER NOT LIKE '%-3' THEN CAST(DECISION_DATE AS DATE) END AS DECISION_DATE, true AS named, 2 AS n_refused FROM @lca_raw"""
 )
 def read_lca(spark, sf_dir):
-    """Two folders of text columns with bad numbers and dates and a column too many."""
+    """CSV files of two column orders and a Parquet file with columns of its own, with bad numbers and dates. n_refused:
+    how many files the error names when one of each kind lacks a column."""
     c = F.col
     raw = lca(spark, sf_dir).withColumns(
         {
@@ -41,11 +43,22 @@ def read_lca(spark, sf_dir):
             "WAGE_RATE_OF_PAY_FROM": c("WAGE_RATE_OF_PAY_FROM").cast("string"),
         }
     )
-    path = folder(spark, "lca")
-    raw.filter("CASE_STATUS = 'Certified'").write.parquet(f"{path}/certified")
-    raw.filter("CASE_STATUS <> 'Certified'").drop("source_file").write.parquet(f"{path}/others")
-    read = tables.read_lca(spark, [f"{path}/certified", f"{path}/others"])
-    return read.withColumns({"DECISION_DATE": F.to_date("DECISION_DATE"), "named": F.col("source_file").endswith(".parquet")}).drop("source_file")
+    path, columns = folder(spark, "lca"), list(schemas.LCA_COLUMNS)
+    as_csv = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.filter("CASE_STATUS = 'Certified'").select(*reversed(columns)).write.options(**as_csv).csv(f"{path}/certified")
+    raw.filter("CASE_STATUS = 'Withdrawn'").select("source_file", *columns[3:], *columns[:3]).write.options(**as_csv).csv(f"{path}/withdrawn")
+    raw.filter("CASE_STATUS not in ('Certified', 'Withdrawn')").select("source_file", *columns).write.parquet(f"{path}/others")
+    lacking = raw.limit(1).coalesce(1)
+    lacking.drop("VISA_CLASS").write.parquet(f"{path}/lacking/a")
+    lacking.drop("SOC_CODE").write.options(**as_csv).csv(f"{path}/lacking/b")
+    try:
+        tables.read_lca(spark, [path])
+        refused = 0
+    except ValueError as e:
+        refused = str(e).count("/lacking/")
+    read = tables.read_lca(spark, [f"{path}/certified", f"{path}/withdrawn", f"{path}/others"])
+    named = F.col("source_file").endswith(".parquet") | F.col("source_file").endswith(".csv")
+    return read.withColumns({"DECISION_DATE": F.to_date("DECISION_DATE"), "named": named, "n_refused": F.lit(refused)}).drop("source_file")
 
 
 _COMPANIES = """SELECT c_name AS name, 'lever' AS ats, CASE WHEN c_custkey % 3 = 0 THEN 'seed' END AS source, CASE WHEN c_custkey % 4 = 0 THEN true END AS cap_exempt,
@@ -115,45 +128,53 @@ def write_tracker(spark, sf_dir):
 def run_log(spark, sf_dir):
     """A run's counts by source, appended, written and read again."""
     root = folder(spark, "runs")
-    tables.write_snapshot(spark.createDataFrame([], schemas.RUNS), root)
     counts = {r.source: r.n for r in frame(spark, sf_dir, "SELECT source, count(*) AS n FROM @raw_jobs GROUP BY source").collect()}
-    log = review.run_log(tables.read_snapshot(spark, root), counts, postings.as_of(), postings.as_of(), "day", sorted(counts))
-    tables.write_snapshot(log, root)
-    return tables.read_snapshot(spark, root).select("status", "window", F.explode("counts").alias("source", "n"))
+    log = review.run_log(spark.createDataFrame([], schemas.RUNS), counts, postings.as_of(), postings.as_of(), "day", sorted(counts))
+    base = versions.current(spark, root)
+    versions.commit(spark, root, base, {"runs": versions.append(log, root, base, "runs", schemas.RUNS, ["started_at"], 1)})
+    return versions.read(spark, root, versions.current(spark, root), "runs", schemas.RUNS).select("status", "window", F.explode("counts").alias("source", "n"))
 
 
-def landed(spark: SparkSession, sf_dir: str, undated: bool = False) -> str:
-    """Raw postings as files of a stream; undated: half of them without a date."""
+def landed(spark: SparkSession, rows: DataFrame) -> str:
+    """Raw postings as files of a stream."""
     path = folder(spark, "landed")
-    raw = postings.raw(spark, sf_dir)
-    if undated:
-        raw = raw.withColumns({"undated": F.col("seq") % 2 == 0, "posted_at": F.when(F.col("seq") % 2 != 0, F.col("posted_at"))})
-    schemas.conform(raw, f"{schemas.RAW_JOB}, seq long").write.parquet(path)
+    schemas.conform(rows, f"{schemas.RAW_JOB}, seq long").write.parquet(path)
     return path
 
 
-def empty_store(spark: SparkSession) -> str:
-    root = folder(spark, "store")
-    tables.write_snapshot(spark.createDataFrame([], schemas.JOB), root)
-    return root
+# in an empty store the first row that writes a (source, ats_job_id) is inserted, and no row meets its own id again
+_INSERTED = f"""SELECT id, source, ats_job_id, CASE WHEN reason IS NULL THEN 'new' ELSE 'excluded' END AS status FROM ({postings._BATCH})
+ QUALIFY ats_job_id IS NULL OR row_number() OVER (PARTITION BY source, ats_job_id ORDER BY seq) = 1"""
 
 
-@register()
+@register(
+    f"""WITH b AS MATERIALIZED ({postings._BATCH}), i AS MATERIALIZED ({_INSERTED}) SELECT id, source, ats_job_id, status, (SELECT count(*) FROM b) AS fetched, (SELECT count(*) FROM i) AS first_inserted, 0::BIGINT AS second_inserted, 0::BIGINT AS second_updated FROM i"""
+)
 def ingest_stream(spark, sf_dir):
-    """The store after the stream has run, and has run again from its start: rows of each id after the first and after
-    the second run."""
-    path, root = landed(spark, sf_dir), empty_store(spark)
-    stores = []
-    for run in ("first", "second"):
-        jobs_stream(spark, path, root, folder(spark, "stream"), postings.since(), postings.as_of()).awaitTermination()
-        stores.append(tables.read_snapshot(spark, root).select("id", "source", "ats_job_id", "status", F.lit(run).alias("run")))
-    both = stores[0].unionAll(stores[1])
-    return both.groupBy("id").agg(*[F.count_if(F.col("run") == r).alias(f"{r}_rows") for r in ("first", "second")], F.max("source").alias("source"), F.max("status").alias("status"))
-
-
-@register()
+    """The store after the stream has run, and has run again from its start, with the counts that both runs have logged."""
+    path, root = landed(spark, postings.raw(spark, sf_dir)), folder(spark, "store")
+    history, excluded = frame(spark, sf_dir, "SELECT * FROM @history"), postings._excluded(spark)
+    for _ in range(2):
+        jobs_stream(spark, path, root, folder(spark, "stream"), postings.since(), postings.as_of(), history, excluded, files_a_batch=1_000_000).awaitTermination()
+    logged = [r.counts for r in store.table(spark, root, "runs").orderBy("finished_at").collect()]
+    first, second = logged
+    counts = {"fetched": first["fetched"], "first_inserted": first["inserted"], "second_inserted": second["inserted"], "second_updated": second["updated"]}
+    return store.table(spark, root, "jobs").select("id", "source", "ats_job_id", "status", *[F.lit(n).cast("long").alias(k) for k, n in counts.items()])
+
+
+_SIGHTED = """SELECT seq, source, ats_job_id, company, seq % 3 = 0 AS undated, CASE WHEN seq % 3 <> 0 THEN posted_at END AS posted_at, CASE WHEN seq % 2 = 0 THEN 1 ELSE 2 END AS day, title, location, url, description_text, is_remote FROM @raw_jobs"""
+
+
+@register(
+    f"""WITH r AS MATERIALIZED ({_SIGHTED}), s AS (SELECT source, company, ats_job_id FROM r WHERE day = 1 AND ats_job_id IS NOT NULL)
+ SELECT seq, source, ats_job_id, CASE WHEN NOT undated THEN posted_at WHEN day = 2 AND ats_job_id IS NOT NULL AND (source, company) IN (SELECT (source, company) FROM s) AND (source, company, ats_job_id) NOT IN (SELECT (source, company, ats_job_id) FROM s)
+ THEN {postings.AS_OF} ELSE TIMESTAMP '2000-01-01 00:00:00' END AS posted_at FROM r"""
+)
 def first_seen_stream(spark, sf_dir):
-    """The dates that undated postings get at first sight."""
-    path, root, out = landed(spark, sf_dir, undated=True), empty_store(spark), folder(spark, "seen")
-    seen_stream(spark, path, root, folder(spark, "stream"), out, postings.as_of()).awaitTermination()
+    """The dates that undated postings get at first sight, one half of the rows landing after the other."""
+    rows = frame(spark, sf_dir, _SIGHTED)
+    path, root, out, checkpoint = folder(spark, "landed"), folder(spark, "store"), folder(spark, "seen"), folder(spark, "stream")
+    for day in (1, 2):
+        schemas.conform(rows.filter(F.col("day") == day), f"{schemas.RAW_JOB}, seq long").write.mode("append").parquet(path)
+        seen_stream(spark, path, root, checkpoint, out, postings.as_of(), files_a_batch=1_000_000).awaitTermination()
     return spark.read.parquet(out).select("seq", "source", "ats_job_id", "posted_at")

@@ -12,6 +12,7 @@ from rolespark.queries import duck as D
 from rolespark.queries import register
 from rolespark.queries.adapters import AS_OF, SINCE, YEARS, frame, pick
 from rolespark.sources import tables
+from rolespark.storage import written
 
 _ATS = "(" + ", ".join(f"'{s}'" for s in ATS_SOURCES) + ")"
 _PRIORITY = f"CASE WHEN source IN {_ATS} THEN 1 ELSE 0 END"
@@ -112,7 +113,8 @@ _BATCH = f"SELECT * EXCLUDE (n, seq), first AS seq FROM (SELECT *, row_number()
 
 
 def batch(spark, sf_dir) -> DataFrame:
-    return jobs.dedup_batch(jobs.with_status(filtered(spark, sf_dir)))
+    """Written, as the queries on it also make the store of an earlier run of it."""
+    return written(jobs.dedup_batch(jobs.with_status(filtered(spark, sf_dir))), "batch")
 
 
 @register(f"SELECT id, source, seq, url FROM ({_BATCH})")

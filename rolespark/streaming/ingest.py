@@ -1,48 +1,52 @@
-"""The batch jobs over a stream of landed files. State is the store's snapshot; every micro-batch reads the current one and
-writes the next, so a batch that runs twice changes nothing the second time."""
+"""The batch jobs over a stream of landed files. State is the store under root (see plans.store): every micro-batch reads and
+writes only the buckets that it meets and commits one version, which also remembers the batch's number, so a batch that is
+delivered again is left out."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolespark.config import DEFAULT, Config
-from rolespark.operators.jobs import resolve_undated
-from rolespark.plans.workloads import ingest
+from rolespark.plans import store
 from rolespark.schemas import RAW_JOB
-from rolespark.sources.tables import read_snapshot, write_snapshot
+from rolespark.sources import versions
 
 
 def raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", files_a_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(f"{RAW_JOB}, seq long").format(fmt).option("maxFilesPerTrigger", files_a_batch).load(path)
 
 
-def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(stream: DataFrame, root: str, checkpoint: str, step: Callable[[DataFrame, int, dict[str, int]], None]) -> StreamingQuery:
+    name = f"stream {hashlib.sha1(checkpoint.encode()).hexdigest()}"
 
+    def once(batch: DataFrame, number: int) -> None:
+        if versions.current(stream.sparkSession, root).facts.get(name, -1) < number:
+            step(batch, number, {name: number})
 
-def ingest_stream(spark: SparkSession, path: str, root: str, checkpoint: str, since: Column, as_of: Column, config: Config = DEFAULT, fmt: str = "parquet") -> StreamingQuery:
-    """Raw postings into the store's snapshots under root, by ingest()."""
+    return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def step(batch: DataFrame, number: int) -> None:
-        _, store = ingest(batch, read_snapshot(spark, root), since, as_of, config=config)
-        write_snapshot(store, root)
 
-    return _run(raw_stream(spark, path, fmt), checkpoint, step)
+def ingest_stream(spark: SparkSession, path: str, root: str, checkpoint: str, since: Column, as_of: Column, history: DataFrame | None = None, excluded: DataFrame | None = None, config: Config = DEFAULT, fmt: str = "parquet", files_a_batch: int = 100, buckets: int = 64) -> StreamingQuery:
+    """Raw postings into the store; each micro-batch's outcomes are counted in the table runs."""
 
+    def step(batch: DataFrame, number: int, facts: dict[str, int]) -> None:
+        store.ingest_into(spark, root, batch, since, as_of, history, excluded, config=config, buckets=buckets, window=f"batch {number}", facts=facts)
 
-def first_seen_stream(spark: SparkSession, path: str, root: str, checkpoint: str, out: str, as_of: Column, fmt: str = "parquet") -> StreamingQuery:
-    """Raw postings dated at first sight, to a folder of their own for each micro-batch. Known are the ids of the store
-    under root and of the batches before; a batch that runs again is written again."""
+    return _run(raw_stream(spark, path, fmt, files_a_batch), root, checkpoint, step)
 
-    def step(batch: DataFrame, number: int) -> None:
-        known = read_snapshot(spark, root).select("source", "company", "ats_job_id")
-        if number > 0:
-            before = spark.read.schema(f"{RAW_JOB}, seq long, batch long").parquet(out).filter(F.col("batch") < number)
-            known = known.unionAll(before.select("source", "company", "ats_job_id"))
-        resolve_undated(batch, known, as_of).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(raw_stream(spark, path, fmt), checkpoint, step)
+def first_seen_stream(spark: SparkSession, path: str, root: str, checkpoint: str, out: str, as_of: Column, fmt: str = "parquet", files_a_batch: int = 100, buckets: int = 64) -> StreamingQuery:
+    """Raw postings dated at first sight, to a folder of their own for each micro-batch. Known are the ids and boards under
+    root, those of stored jobs and of the batches before."""
+
+    def step(batch: DataFrame, number: int, facts: dict[str, int]) -> None:
+        def save(dated: DataFrame) -> None:
+            dated.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        store.date_into(spark, root, batch, as_of, save, buckets, facts)
+
+    return _run(raw_stream(spark, path, fmt, files_a_batch), root, checkpoint, step)
