@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolespark.config import DEFAULT, Config
 from rolespark.functions.text import annualize, normalize_company
-from rolespark.schemas import LCA_COLUMNS
+from rolespark.schemas import EMPLOYERS, LCA_COLUMNS, columns
 
 
 def lca_file_ranges(filings: DataFrame) -> DataFrame:
@@ -26,6 +26,27 @@ def filter_certified_h1b(filings: DataFrame) -> DataFrame:
     return filings.filter((F.lower(F.trim("CASE_STATUS")) == "certified") & (F.lower(F.trim("VISA_CLASS")) == "h-1b"))
 
 
+def grouped_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median of each key's values (nulls are left out), without holding a key's values anywhere: counts by bins of
+    nearly equal values give the bins of the middle ranks, and counts by value within those give the values. A bin is 1/256
+    of a power of two wide; a group needs one row a bin, then one a different value of its middle bins."""
+    v = F.col(value)
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * 256)  # infinity has a bin too
+    bins = F.when(F.isnan(v), F.lit(1 << 40)).when(v > 0, size + (1 << 20)).when(v < 0, -size - (1 << 20)).otherwise(0)
+    counts = rows.filter(v.isNotNull()).groupBy(key, bins.cast("long").alias("_bin"), v.alias("_value")).agg(F.count("*").alias("_n"))
+    by_bin = Window.partitionBy(key).orderBy("_bin")
+    whole = Window.partitionBy(key)
+    ranked = counts.groupBy(key, "_bin").agg(F.sum("_n").alias("_n")).select(key, "_bin", "_n", F.sum("_n").over(by_bin).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # middle ranks from 1
+    middle = ranked.filter((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high)).select(key, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_all")
+    by_value = Window.partitionBy(key, "_bin").orderBy("_value")
+    placed = counts.join(middle, [key, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(by_value))
+    first, last = F.col("_upto") - F.col("_n") + 1, F.col("_upto")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col("_value")))
+    pair = placed.groupBy(key).agg(at(low).alias("_low"), at(high).alias("_high"))
+    return pair.select(key, F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) / 2).alias("median"))
+
+
 def lca_employers(filings: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row an employer name. Names are normalized once for each spelling and joined back; the most frequent spelling
     (least on ties) comes from counts by spelling, so no group holds its spellings."""
@@ -50,12 +71,11 @@ def lca_employers(filings: DataFrame, config: Config = DEFAULT) -> DataFrame:
         F.coalesce(F.sum("positions"), F.lit(0)).cast("long").alias("positions_total"),
         F.count_if("near").alias("ny_nj_filings"),
         F.sort_array(F.collect_set("state")).alias("states"),
-        F.median("wage").alias("median_wage_relevant"),
         F.max("decided").alias("last_decision_date"),
         F.sort_array(F.collect_set("source_file")).alias("source_files"),
     )
-    order = ["employer_norm", "employer_raw", *grouped.columns[1:]]
-    return grouped.join(spelling, "employer_norm").select(*order)
+    medians = grouped_median(rows, "employer_norm", "wage").withColumnRenamed("median", "median_wage_relevant")
+    return grouped.join(spelling, "employer_norm").join(medians, "employer_norm", "left").select(*columns(EMPLOYERS))
 
 
 def lca_top_employers(employers: DataFrame, by: str = "filings_relevant_soc", n: int = 20) -> DataFrame:

@@ -8,28 +8,46 @@ from pyspark.sql import functions as F
 from rolespark.functions.text import normalize_company, title_norm, url_key
 
 
+HEAD, DIGITS = 8, 6
+
+
 def resolve_refs(refs: DataFrame, store: DataFrame) -> DataFrame:
     """refs (ref) with outcome (matched, ambiguous or missing), n_hits and, when matched, the job's id. A reference is an
-    id, eight or more characters of its beginning, a url, or the number inside a url. Each way is an equi-join."""
-    wanted = refs.select(F.trim("ref").alias("ref")).distinct().withColumns({"_key": url_key(F.col("ref")), "_n": F.length("ref")})
-    jobs = store.select("id", "url")
-    lengths = wanted.filter("_n >= 8 and _n < 40").select("_n").distinct()  # at most 32 lengths
-    heads = jobs.join(F.broadcast(lengths), F.length("id") >= F.col("_n")).select("id", F.substring("id", F.lit(1), F.col("_n")).alias("_head"))
-    numbers = jobs.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("url", F.lit(r"/(\d{6,})"), F.lit(1)), lambda x: x))).alias("_number"))
-    digits = wanted.filter(F.col("_key").rlike("^[0-9]{6,}$"))
-    # a number is found where it begins a path part, also one that goes on with more digits
-    sizes = digits.select(F.length("_key").alias("_size")).distinct()
-    parts = numbers.join(F.broadcast(sizes), F.length("_number") >= F.col("_size")).select("id", F.substring("_number", F.lit(1), F.col("_size")).alias("_part"))
-    hits = (
-        wanted.join(jobs, F.col("ref") == F.col("id")).select("ref", "id")
-        .unionByName(wanted.join(heads, F.col("ref") == F.col("_head")).select("ref", "id"))
-        .unionByName(wanted.join(jobs, F.col("ref") == F.col("url")).select("ref", "id"))
-        .unionByName(digits.join(parts, F.col("_key") == F.col("_part")).select("ref", "id"))
-    )
-    counted = hits.distinct().groupBy("ref").agg(F.count("*").alias("n_hits"), F.min("id").alias("id"))
+    id, eight or more characters of its beginning, a url, or a number of six or more digits that begins a part of a url's
+    path.
+
+    One pass over the store gives each job's keys: the first eight characters of its id, its url, and the first six digits
+    of the numbers in its url. References have the same keys, so one equi-join finds the candidates, and the rest of the
+    text decides."""
+    ref, number = F.col("ref"), F.col("_number")
+    named = refs.select(F.trim("ref").alias("ref")).distinct().withColumn("_number", url_key(F.col("ref")))
+
+    def key(kind: str, value: Column, whole: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("key"), whole.alias("whole"))
+
+    wanted = named.select(
+        "ref",
+        F.inline(
+            F.array_compact(
+                F.array(
+                    F.when(F.length(ref) >= HEAD, key("id", F.substring(ref, 1, HEAD), ref)),
+                    F.when(ref != "", key("url", ref, ref)),
+                    F.when(number.rlike(f"^[0-9]{{{DIGITS},}}$"), key("number", F.substring(number, 1, DIGITS), number)),
+                )
+            )
+        ),
+    )
+    numbers = F.transform(F.array_distinct(F.regexp_extract_all("url", F.lit(rf"/(\d{{{DIGITS},}})"), F.lit(1))), lambda x: key("number", F.substring(x, 1, DIGITS), x))
+    own = F.array(key("id", F.substring("id", 1, HEAD), F.col("id")), key("url", F.col("url"), F.col("url")))
+    # ids and urls shorter than a head are found by the whole text only
+    keys = store.select("id", F.inline(F.concat(own, F.coalesce(numbers, F.array().cast("array<struct<kind:string,key:string,whole:string>>"))))).withColumnRenamed("whole", "_whole")
+    short = F.length("_whole") < HEAD
+    hits = wanted.join(keys.filter(~((F.col("kind") == "id") & short)), ["kind", "key"]).filter(F.startswith("_whole", "whole"))
+    tiny = named.filter(F.length("ref") < HEAD).join(store.select("id"), ref == F.col("id")).select("ref", "id")
+    counted = hits.select("ref", "id").unionByName(tiny).distinct().groupBy("ref").agg(F.count("*").alias("n_hits"), F.min("id").alias("id"))
     n = F.coalesce("n_hits", F.lit(0))
     outcome = F.when(n == 0, "missing").when(n == 1, "matched").otherwise("ambiguous")
-    return wanted.select("ref").join(counted, "ref", "left").select("ref", outcome.alias("outcome"), n.alias("n_hits"), F.when(n == 1, F.col("id")).alias("id"))
+    return named.select("ref").join(counted, "ref", "left").select("ref", outcome.alias("outcome"), n.alias("n_hits"), F.when(n == 1, F.col("id")).alias("id"))
 
 
 def apply_decisions(store: DataFrame, decisions: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,29 +70,35 @@ def build_score_requests(jobs: DataFrame) -> DataFrame:
 _PRESENT = [f.split()[0] for f in SCORE_RESULT.split(", ")]
 
 
+def _once(df: DataFrame, name: str, **values: Column) -> DataFrame:
+    """df with a struct of the values, each computed once a row: the optimizer does not copy what a generator makes into
+    the expressions that use it."""
+    return df.withColumn(name, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def validate_score_result(results: DataFrame) -> DataFrame:
     """results (custom_id, stop_reason, text, ...) with the parsed result and, where it is unusable, a reason. Unknown
-    values, wrong types, missing fields, too many skills, points out of range, or matched skills that are not required."""
-    shown = F.from_json("text", "map<string,string>")
-    wrong = F.from_json("text", SCORE_RESULT)
-    out = results.withColumns({"result": wrong, "_raw": shown})
-    r = F.col("result")
+    values, wrong types, missing fields, too many skills, points out of range, or matched skills that are not required.
+    The text is parsed twice a row, as the schema and as a map, however often the result is used."""
+    out = _once(results, "_p", result=F.from_json("text", SCORE_RESULT), raw=F.from_json("text", "map<string,string>"))
+    r, raw = F.col("_p.result"), F.col("_p.raw")
     absent = F.lit(False)
     for name in _PRESENT:
-        absent = absent | ~F.coalesce(F.map_contains_key("_raw", name), F.lit(False))
+        absent = absent | ~F.coalesce(F.map_contains_key(raw, F.lit(name)), F.lit(False))
         if name != "years_required_min":
             absent = absent | r[name].isNull()
-    bad_years = r["years_required_min"].isNull() & F.col("_raw")["years_required_min"].isNotNull()
+    bad_years = r["years_required_min"].isNull() & raw["years_required_min"].isNotNull()
     required, matched = T.skill_keys(r["required_skills"]), T.skill_keys(r["matched_skills"])
     reason = (
         F.when(F.coalesce(F.col("stop_reason") != "end_turn", F.lit(True)), "stopped")
-        .when(F.col("_raw").isNull() | absent | bad_years, "fields")
+        .when(raw.isNull() | absent | bad_years, "fields")
         .when(~r["seniority"].isin(*SENIORITIES) | ~r["sponsorship_jd"].isin(*SPONSORSHIP), "value")
         .when(F.size(r["required_skills"]) > MAX_SKILLS, "too_many_skills")
         .when(~r["experience_fit"].between(0, 20) | ~r["domain_fit"].between(0, 15), "range")
         .when(F.size(F.array_except(matched, required)) > 0, "skills")
     )
-    return out.withColumn("invalid", reason).drop("_raw")
+    judged = _once(out, "_v", result=r, invalid=reason)
+    return judged.select(*results.columns, F.col("_v.result").alias("result"), F.col("_v.invalid").alias("invalid"))
 
 
 def skills_match(required: Column, matched: Column) -> Column:
@@ -110,8 +116,8 @@ def core_points(result: Column) -> Column:
 
 
 def apply_scores(store: DataFrame, valid: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The store with the results of valid (custom_id, result, location_points) and evidence_violation for scored rows:
-    a quote that the description does not have counts but stays."""
+    """The store with the results of valid (custom_id, result, location_points), got_result for the rows that have one, and
+    evidence_violation for those: a quote that the description does not have counts but stays."""
     hit = valid.select(F.col("custom_id").alias("id"), F.col("result").alias("_r"), F.col("location_points").alias("_points"))
     out = store.join(hit, "id", "left")
     r, got = F.col("_r"), F.col("_r").isNotNull()
@@ -132,7 +138,7 @@ def apply_scores(store: DataFrame, valid: DataFrame, config: Config = DEFAULT) -
     }
     columns = [F.when(got, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in store.columns]
     violated = got & ~T.evidence_is_verbatim(r["sponsorship_evidence"], F.col("description"))
-    return out.select(*columns, violated.alias("evidence_violation"))
+    return out.select(*columns, got.alias("got_result"), violated.alias("evidence_violation"))
 
 
 def score_tally(results: DataFrame, config: Config = DEFAULT) -> DataFrame:

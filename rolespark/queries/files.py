@@ -25,11 +25,13 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_KEPT = ", ".join(c for c in schemas.LCA_COLUMNS if c not in ("TOTAL_WORKER_POSITIONS", "DECISION_DATE"))
+_KEPT = ", ".join(c for c in schemas.LCA_COLUMNS if c not in ("TOTAL_WORKER_POSITIONS", "DECISION_DATE", "WORKSITE_STATE"))
+# a CSV file has no empty cells besides nulls
+_STATE = "CASE WHEN WORKSITE_STATE <> '' OR CASE_STATUS NOT IN ('Certified', 'Withdrawn') THEN WORKSITE_STATE END AS WORKSITE_STATE"
 
 
 @register(
-    f"""SELECT {_KEPT}, CASE WHEN CASE_NUMBER NOT LIKE '%-2' THEN TOTAL_WORKER_POSITIONS END AS TOTAL_WORKER_POSITIONS,
+    f"""SELECT {_KEPT}, {_STATE}, CASE WHEN CASE_NUMBER NOT LIKE '%-2' THEN TOTAL_WORKER_POSITIONS END AS TOTAL_WORKER_POSITIONS,
  CASE WHEN CASE_NUMBER NOT LIKE '%-3' THEN CAST(DECISION_DATE AS DATE) END AS DECISION_DATE, true AS named, 2 AS n_refused FROM @lca_raw"""
 )
 def read_lca(spark, sf_dir):

@@ -107,7 +107,7 @@ _APPLIED = f"""SELECT id, CASE WHEN k % 7 = 0 OR coalesce({_YEARS}, 0) > 4 THEN
 def applied(spark, sf_dir) -> DataFrame:
     valid = results(spark, sf_dir).filter("invalid is null").withColumn("location_points", F.lit(3)).select("custom_id", "result", "location_points")
     store = table(spark, sf_dir, "store").withColumns({"seniority": F.lit(None).cast("string"), "red_flags": F.array().cast("array<string>")})
-    return scoring.apply_scores(store, valid).join(valid.select(F.col("custom_id").alias("id")), "id", "left_semi")
+    return scoring.apply_scores(store, valid).filter("got_result")
 
 
 @register(f"SELECT id, status, exclude_reason, fit_score, sponsorship_evidence, evidence_violation FROM ({_APPLIED})")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from rolespark.operators import filings as operators_of_filings
+from rolespark.operators import review
 from rolespark.operators import scoring as operators
 from rolespark.queries import adapters, filings, payloads, scoring
 from rolespark.schemas import SCORE_BATCHES
@@ -47,3 +52,35 @@ def test_batches_are_rows(spark, small):
     assert sorted((r.custom_id or "", r.status) for r in marked.collect()) == [("", "in_progress"), ("w", "ended"), ("x", "ended"), ("y", "ended"), ("z", "in_progress")]
     for query in (scoring.load_shortlisted, scoring.collect_batches):
         assert "collect_list" not in query(spark, small)._jdf.queryExecution().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_answer_is_parsed_twice_at_most(spark, small):
+    for query in (scoring.validate_score_result, scoring.apply_scores, scoring.score_tally, scoring.core_points):
+        assert plan(query(spark, small)).count("from_json") <= 2
+
+
+def test_references_take_one_pass_over_the_store(spark, small):
+    """Besides the pass of references too short for a head, which reads ids only."""
+    store = spark.createDataFrame([("abcdefgh12", "https://x/jobs/view/123456789"), ("abcdefgh34", "https://x/7654321"), ("short", None)], "id string, url string")
+    refs = spark.createDataFrame([(r,) for r in ("abcdefgh", "abcdefgh1", " abcdefgh34 ", "short", "shor", "https://x/7654321", "https://y/jobs/view/a-123456789?t=1", "7654", "", None)], "ref string")
+    found = {r.ref: (r.outcome, r.n_hits, r.id) for r in review.resolve_refs(refs, store).collect()}
+    assert found["abcdefgh"] == ("ambiguous", 2, None) and found["abcdefgh1"] == ("matched", 1, "abcdefgh12") and found["abcdefgh34"] == ("matched", 1, "abcdefgh34")
+    assert found["short"] == ("matched", 1, "short") and found["shor"][0] == found[""][0] == found["7654"][0] == "missing"
+    assert found["https://x/7654321"] == ("matched", 1, "abcdefgh34")
+    assert found["https://y/jobs/view/a-123456789?t=1"] == ("matched", 1, "abcdefgh12")
+    joined = review.resolve_refs(refs, store)._jdf.queryExecution().toString()
+    assert "Generate inline" in joined and "NestedLoop" not in joined and "CartesianProduct" not in joined
+
+
+def test_median_by_ranks(spark):
+    rng = random.Random(8)
+    values = [None, 0.0, -1.5, 3.0, 1e9, 1e-9, float("inf"), *[round(rng.uniform(50_000, 50_300), 2) for _ in range(40)]]
+    rows = [(k % 9 if k else None, rng.choice(values)) for k in range(900)] + [(77, 4.0), (88, None), (99, 1.0), (99, 2.0)]
+    df = spark.createDataFrame(rows, "key int, v double")
+    want = {r.key: r.m for r in df.groupBy("key").agg(F.median("v").alias("m")).collect() if r.m is not None}
+    got = {r.key: r.median for r in operators_of_filings.grouped_median(df, "key", "v").filter("key is not null").collect()}
+    assert got == pytest.approx({k: m for k, m in want.items() if k is not None})
