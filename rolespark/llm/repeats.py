@@ -37,6 +37,8 @@ GRAM, SEGMENT_WINDOWS, SHARD_SEGMENTS = 32, 1024, 1000
 TEXT_BYTES = 4 << 20
 #: Symbols in the first sort key: seven of nine bits.
 FIRST = 7
+#: Places in a lane of the scan for common prefixes.
+LANE = 96
 #: Fingerprints in a range, about.
 RANGE_FINGERPRINTS = 1 << 19
 
@@ -111,10 +113,7 @@ def suffix_array(symbols: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.n
     Larsson-Sadakane: a rank is the first place of its group in the array. Groups of one are done; the others are sorted by
     (own rank, rank of what stands `size` further on), which doubles the size."""
     n = len(symbols)
-    key = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(FIRST, dtype=np.int64)])
-    for k in range(FIRST):
-        key = key << 9 | padded[k : k + n]
+    key = _keys(symbols)
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     first = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
@@ -146,12 +145,26 @@ def suffix_array(symbols: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.n
     return order, exact
 
 
+def _keys(symbols: np.ndarray) -> np.ndarray:
+    """The FIRST symbols from each place on, as one number."""
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(FIRST, dtype=np.int64)])
+    key = np.zeros(len(symbols), dtype=np.int64)
+    for k in range(FIRST):
+        key = key << 9 | padded[k : k + len(symbols)]
+    return key
+
+
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
     """For each place that is one of the first `count` of its string the length, `most` at most, that it shares with the
-    suffix before it in the array (other places: 0). Kasai: the next place shares at most one less. The strings are scanned
-    side by side."""
+    suffix before it in the array (other places: 0). Kasai: the next place shares at most one less. Stretches of at most
+    LANE places are scanned side by side; a stretch begins with nothing known, and its first prefix is found FIRST symbols
+    at a time."""
     n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(most + 1, dtype=symbols.dtype)])
+    padded = np.concatenate([symbols, np.zeros(most + FIRST, dtype=symbols.dtype)])
+    key = _keys(padded)
+    pieces = -(-count // LANE)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, count = np.repeat(begin, pieces) + nth * LANE, np.minimum(np.repeat(count, pieces) - nth * LANE, LANE)
     out = np.zeros(n, dtype=np.int32)
     lanes = np.argsort(-count, kind="stable")
     begin, count = begin[lanes], count[lanes]
@@ -163,12 +176,15 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, be
         mate = order[np.maximum(r - 1, 0)]
         shared = np.where(r > 0, np.maximum(k[:live] - 1, 0), 0)
         going = np.flatnonzero(r > 0)
-        while len(going):
-            x, y, z = at[going], mate[going], shared[going]
-            going = going[(z < most) & (padded[x + z] == padded[y + z]) & (padded[x + z] > 0)]
-            shared[going] += 1
-        k[:live] = shared
-        out[at] = shared
+        for width in (FIRST, 1):
+            going_on = going
+            while len(going_on):
+                x, z = at[going_on], shared[going_on]
+                same = (key[x + z] == key[mate[going_on] + z]) if width > 1 else (padded[x + z] == padded[mate[going_on] + z])
+                going_on = going_on[same & (z < most) & (padded[x + z + width - 1] > 0)]
+                shared[going_on] += width
+        k[:live] = np.minimum(shared, most)
+        out[at] = k[:live]
     return out
 
 
