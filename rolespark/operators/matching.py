@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolespark.config import DEFAULT, Config
 from rolespark.functions.helpers import rarest_pieces, token_sort_ratio
+from rolespark.storage import written
 
 
 def sorted_tokens(name: Column) -> Column:
@@ -49,47 +50,68 @@ def _signature(text: Column, n: Column) -> list[Column]:
     return [word(k) for k in range(_WORDS)]
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
-    """left_name, right_name, lt, rt: all pairs at or above the cutoff, and few others, found without a user function on pairs.
+def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by: list[str] | None = None) -> DataFrame:
+    """by, left_name, right_name, lt, rt: all pairs at or above the cutoff, and few others, found without a user function on
+    pairs. by: columns that a pair must have in common (such as the company of two titles); a large group of them is dealt
+    by its pieces like everything else.
 
     A pair at the cutoff differs by at most d inserted or deleted characters, and each spoils one of d + 1 disjoint pieces
     of the left text at most: one piece stands in the right text, shifted by no more than the characters inserted or
     deleted before it. The pieces are those with the fewest occurrences among the right texts. A pair that meets must also
-    not lack more of the left text's bigrams than its edits spoil."""
-    share = 1 - cutoff / 100
+    not lack more of the left text's bigrams than its edits spoil. A piece that very many texts have makes a large join
+    partition, which Spark splits (its skew join is on by default)."""
+    share, by = 1 - cutoff / 100, by or []
 
     def index(names: DataFrame, column: str) -> DataFrame:
-        return names.select(F.col(column).alias("name")).filter("name is not null").distinct().withColumn("text", sorted_tokens(F.col("name"))).filter("text <> ''").withColumn("n", F.length("text")).withColumn("bits", F.array(*_signature(F.col("text"), F.col("n"))))
+        each = names.select(*by, F.col(column).alias("name")).filter("name is not null").distinct().withColumn("text", sorted_tokens(F.col("name")))
+        return each.filter("text <> ''").withColumn("n", F.length("text")).withColumn("bits", F.array(*_signature(F.col("text"), F.col("n"))))
 
     a, b = index(left, "left_name"), index(right, "right_name")
     length = _piece_length(F.col("n"), share)
     partners = F.transform(F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share) - 1e-9).cast("int"), _longest(F.col("n"), share)), lambda n: _piece_length(n, share))
     y = _substrings(b, F.greatest(F.array_min(partners) - 1, F.lit(1)), F.array_max(partners) + 1)
-    often = y.groupBy("s").agg(F.count("*").alias("f"))
-    counted = _substrings(a, F.greatest(length - 1, F.lit(1)), length + 1).join(often, "s", "left").groupBy("name", "text", "n", "bits")
+    often = y.groupBy(*by, "s").agg(F.count("*").alias("f"))
+    counted = _substrings(a, F.greatest(length - 1, F.lit(1)), length + 1).join(often, [*by, "s"], "left").groupBy(*by, "name", "text", "n", "bits")
     counted = counted.agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "pos", F.coalesce("f", F.lit(0)).alias("f")))), lambda x: x["f"]).alias("f"))
     pieces = counted.withColumn("p", F.explode(rarest_pieces(F.col("f"), F.col("n"), _budget(F.col("n"), share) + 1, length)))
     x = pieces.select(
-        F.col("name").alias("left_name"), F.col("text").alias("lt"), F.col("n").alias("ln"), F.col("p.pos").alias("at"), F.substr("text", F.col("p.pos") + 1, F.col("p.q")).alias("s"), F.col("bits").alias("lb")
+        *by, F.col("name").alias("left_name"), F.col("text").alias("lt"), F.col("n").alias("ln"), F.col("p.pos").alias("at"), F.substr("text", F.col("p.pos") + 1, F.col("p.q")).alias("s"), F.col("bits").alias("lb")
     )
-    y = y.select(F.col("name").alias("right_name"), F.col("text").alias("rt"), F.col("n").alias("rn"), F.col("bits").alias("rb"), "pos", "s")
+    y = y.select(*by, F.col("name").alias("right_name"), F.col("text").alias("rt"), F.col("n").alias("rn"), F.col("bits").alias("rb"), "pos", "s")
     edits = F.floor(share * (F.col("ln") + F.col("rn")) + 1e-9).cast("int")
     gone, come = F.floor((edits + F.col("ln") - F.col("rn")) / 2), F.floor((edits + F.col("rn") - F.col("ln")) / 2)
     near = (gone >= 0) & (come >= 0) & (F.col("pos") - F.col("at")).between(-gone, come)
     lacking = sum((F.bit_count(F.col("lb")[w].bitwiseAND(F.bitwise_not(F.col("rb")[w]))) for w in range(_WORDS)), F.lit(0))
-    return x.join(y, "s").filter(near).filter(lacking <= 2 * gone + come).select("left_name", "right_name", "lt", "rt").distinct()
+    return x.join(y, [*by, "s"]).filter(near).filter(lacking <= 2 * gone + come).select(*by, "left_name", "right_name", "lt", "rt").distinct()
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
-    """left_name, right_name, score for all pairs with a token-sorted Indel similarity of at least cutoff."""
-    scored = fuzzy_candidates(left, right, cutoff).withColumn("score", token_sort_ratio("lt", "rt"))
-    return scored.filter(F.col("score") >= cutoff).select("left_name", "right_name", "score")
+def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by: list[str] | None = None) -> DataFrame:
+    """by, left_name, right_name, score for all pairs with a token-sorted Indel similarity of at least cutoff."""
+    scored = fuzzy_candidates(left, right, cutoff, by).withColumn("score", token_sort_ratio("lt", "rt"))
+    return scored.filter(F.col("score") >= cutoff).select(*(by or []), "left_name", "right_name", "score")
 
 
-def fuzzy_match_topone(left: DataFrame, right: DataFrame, cutoff: float = 90.0) -> DataFrame:
-    """The best partner of each left name; ties to the least name."""
+#: Bounds of the rounds before the one at the cutoff.
+BOUNDS = (96.0,)
+
+
+def fuzzy_match_topone(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by: list[str] | None = None, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """The best partner of each left name (within by); ties to the least name.
+
+    Rounds go from the highest bound down. A round finds all pairs at or above its bound, with fewer and longer pieces the
+    higher it is, so a name that has one has its best partner, and leaves. Only the others meet the short pieces of the
+    cutoff."""
+    by = by or []
+    keys = [*by, "left_name"]
     best = F.min_by(F.struct("right_name", "score"), F.struct(-F.col("score"), F.col("right_name")))
-    return fuzzy_pairs(left, right, cutoff).groupBy("left_name").agg(best.alias("m")).select("left_name", "m.right_name", "m.score")
+    rest, found = left.select(*keys).filter("left_name is not null").distinct(), None
+    for bound in [*sorted((b for b in bounds if b > cutoff), reverse=True), cutoff]:
+        won = fuzzy_pairs(rest, right, bound, by).groupBy(*keys).agg(best.alias("m")).select(*keys, "m.right_name", "m.score")
+        if bound > cutoff:
+            won = written(won, "matches")
+            rest = rest.join(won.select(*keys), keys, "left_anti")
+        found = won if found is None else found.unionByName(won)
+    return found
 
 
 MATCH_COLUMNS = ("lca_match_name", "lca_match_score", "filings_total", "filings_relevant_soc", "ny_nj_filings", "match_source", "entities")
@@ -136,13 +158,26 @@ def apply_lca(jobs: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+#: Titles of one company's history that a title is compared with one by one.
+DIRECT_TITLES = 200
+
+
 def already_applied(jobs: DataFrame, history: DataFrame, cutoff: float = 90.0) -> DataFrame:
     """Distinct (company_norm, title_norm) of jobs that the history has: equal titles of one company by a join, the others
-    by the fuzzy score within the company, each pair of titles once."""
-    wanted = jobs.select("company_norm", "title_norm").distinct()
-    known = history.select("company_norm", F.col("title_norm").alias("known")).filter("known is not null").distinct()
-    same = wanted.join(known, (wanted["company_norm"] == known["company_norm"]) & (wanted["title_norm"] == known["known"]), "left_semi")
+    by the fuzzy score within the company. Where a company's history is short a title is compared with all of it; where it
+    is long the titles meet on pieces, so no company is compared each with each."""
+    keys = ["company_norm", "title_norm"]
+    wanted = written(jobs.select(*keys).filter("company_norm is not null and title_norm is not null").distinct(), "titles")
+    known = history.select(*keys).filter("title_norm is not null").distinct()
+    same = wanted.join(known, keys, "left_semi")
+    rest = wanted.join(known, keys, "left_anti")
+    sizes = known.groupBy("company_norm").agg(F.count("*").alias("_n"))
+    long = sizes.filter(F.col("_n") > DIRECT_TITLES).select("company_norm")
+    listed = known.join(long, "company_norm", "left_anti").withColumnRenamed("title_norm", "known")
     a, b = F.length(F.col("title_norm")), F.length(F.col("known"))
     able = 200.0 * F.least(a, b) >= cutoff * (a + b)
-    near = wanted.join(known, "company_norm").filter(able & (F.col("title_norm") != F.col("known"))).filter(token_sort_ratio("title_norm", "known") >= cutoff)
-    return same.unionByName(near.select("company_norm", "title_norm")).distinct()
+    near = rest.join(listed, "company_norm").filter(able).filter(token_sort_ratio("title_norm", "known") >= cutoff).select(*keys).distinct()
+    if not long.isEmpty():
+        left, right = (x.join(long, "company_norm", "left_semi").withColumnRenamed("title_norm", name) for x, name in ((rest, "left_name"), (known, "right_name")))
+        near = near.unionByName(fuzzy_match_topone(left, right, cutoff, ["company_norm"]).select("company_norm", F.col("left_name").alias("title_norm")))
+    return same.unionByName(near)

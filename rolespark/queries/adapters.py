@@ -106,7 +106,7 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     mark = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     text = expand(sql)
     for name in TABLES:
-        if re.search(rf"\b{name}\b", text):
+        if re.search(rf"(?:FROM|JOIN) {name}\b", text):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"{name}_{mark}")
             text = re.sub(rf"(?<=FROM )\b{name}\b|(?<=JOIN )\b{name}\b", f"{name}_{mark}", text)
     return spark.sql(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from rolespark.functions import helpers as H
@@ -10,6 +13,7 @@ from rolespark.queries import duck as D
 from rolespark.queries import register
 from rolespark.queries.adapters import AS_OF, LOCATIONS, SINCE, TITLES, days_back, frame, pick
 from rolespark.sources import payloads as P
+from rolespark.storage import checkpoint_dir
 
 
 
@@ -50,33 +54,49 @@ def _expected(location: str = "place", url: str = "'u/' || id", posted: str = "p
 _SHOWN = ["company", "ats_job_id", "title", "location", "is_remote", "url", "posted_at", "description_text"]
 
 
-def _mapped(mapper, spark, sf_dir, *landed):
-    return mapper(frame(spark, sf_dir, " UNION ALL ".join(landed)), since()).select(_SHOWN)
+#: By system: SQL texts of landed rows, and the SQL of the postings that they hold.
+LANDED: dict[str, Callable[[], list[str]]] = {}
+EXPECTED: dict[str, str] = {}
+
+
+def board(expected: str):
+    """Registers a query on one system's mapper; the function gives the landed rows as SQL texts."""
+
+    def add(landed):
+        def query(spark, sf_dir):
+            return P.MAPPERS[system](frame(spark, sf_dir, " UNION ALL ".join(landed())), since()).select(_SHOWN)
+
+        system = landed.__name__.removeprefix("map_")
+        LANDED[system], EXPECTED[system] = landed, expected
+        query.__name__, query.__doc__ = landed.__name__, landed.__doc__
+        return register(expected)(query)
 
+    return add
 
-@register(_expected(posted="CASE WHEN k % 5 <> 1 THEN posted END"))
-def map_greenhouse(spark, sf_dir):
+
+@board(_expected(posted="CASE WHEN k % 5 <> 1 THEN posted END"))
+def map_greenhouse():
     item = _json(id=_ID, title=_s(_TITLE), first_published=f"CASE WHEN o_orderkey % 5 = 0 THEN {_s(_DAY)} ELSE 'null' END", content="'\"&lt;p&gt;Hi &lt;b&gt;there&lt;/b&gt;&lt;/p&gt;\"'", absolute_url=_s(f"'u/' || {_ID}"), location=_json(name=_s(_PLACE)))
     listed = _landed("list", f"""'{{"jobs":[' || {item} || ']}}'""")
     detail = _landed("detail", _json(first_published=f"CASE WHEN o_orderkey % 5 = 1 THEN 'null' ELSE {_s(_DAY)} END"))
-    return _mapped(P.map_greenhouse, spark, sf_dir, listed, detail)
+    return [listed, detail]
 
 
-@register(_expected(remote="k % 2 = 0"))
-def map_lever(spark, sf_dir):
+@board(_expected(remote="k % 2 = 0"))
+def map_lever():
     # days of the posting in milliseconds: 2001-08-01 is day 11535
     millis = "CAST((11535 - o_orderkey % 19) * CAST(86400000 AS BIGINT) AS STRING)"
     item = _json(id=_s(_ID), text=_s(_TITLE), createdAt=millis, categories=_json(location=_s(_PLACE)), workplaceType=f"CASE WHEN o_orderkey % 2 = 0 THEN {_s("'Remote'")} ELSE {_s("'onsite'")} END", hostedUrl=_s(f"'u/' || {_ID}"), description=_s("'<p>Hi</p>'"), descriptionPlain=_s("'Hi there'"))
-    return _mapped(P.map_lever, spark, sf_dir, _landed("list", f"'[' || {item} || ']'"))
+    return [_landed("list", f"'[' || {item} || ']'")]
 
 
-@register(_expected(remote="k % 4 = 0", where="k % 7 <> 0"))
-def map_ashby(spark, sf_dir):
+@board(_expected(remote="k % 4 = 0", where="k % 7 <> 0"))
+def map_ashby():
     item = _json(id=_s(_ID), title=_s(_TITLE), publishedAt=_s(f"{_DAY} || 'T00:00:00+00:00'"), location=_s(_PLACE), jobUrl=_s(f"'u/' || {_ID}"), descriptionPlain=_s("'Hi there'"), isListed="CASE WHEN o_orderkey % 7 = 0 THEN 'false' WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'null' END", isRemote="CASE WHEN o_orderkey % 4 = 0 THEN 'true' ELSE 'false' END")
-    return _mapped(P.map_ashby, spark, sf_dir, _landed("list", f"""'{{"jobs":[' || {item} || ']}}'"""))
+    return [_landed("list", f"""'{{"jobs":[' || {item} || ']}}'""")]
 
 
-@register(
+@board(
     _expected(
         location="coalesce(place, 'Detail City') || ', USA'",
         url="CASE WHEN k % 2 = 0 THEN 'https://x/' || id ELSE 'https://h.example/Ext/job/' || id END",
@@ -84,7 +104,7 @@ def map_ashby(spark, sf_dir):
         number="'R' || id",
     )
 )
-def map_workday(spark, sf_dir):
+def map_workday():
     on = "CASE o_orderkey % 19 WHEN 0 THEN 'Posted Today' WHEN 1 THEN 'Posted Yesterday' ELSE CASE WHEN o_orderkey % 19 > 9 THEN 'Unknown' ELSE 'Posted ' || CAST(o_orderkey % 19 AS STRING) || '+ Days Ago' END END"
     place = f"CASE WHEN {_PLACE} IS NULL THEN '2 Locations' ELSE {_PLACE} END"
 
@@ -93,46 +113,45 @@ def map_workday(spark, sf_dir):
         return _landed("list", f"""'{{"total":1,"jobPostings":[' || {item} || ']}}'""", term=term)
 
     info = _json(id=_s(f"'R' || {_ID}"), jobDescription=_s("'<div>Hi there</div>'"), location=_s("'Detail City'"), externalUrl=f"CASE WHEN o_orderkey % 2 = 0 THEN {_s(f"'https://x/' || {_ID}")} ELSE 'null' END", country=_json(descriptor=_s("'USA'")))
-    return _mapped(P.map_workday, spark, sf_dir, listed("a", _TITLE), listed("b", "'Data Scientist of a later term'"), _landed("detail", _json(jobPostingInfo=info), key=f"'/job/' || {_ID}"))
+    return [listed("a", _TITLE), listed("b", "'Data Scientist of a later term'"), _landed("detail", _json(jobPostingInfo=info), key=f"'/job/' || {_ID}")]
 
 
-@register(_expected(location="coalesce(CASE WHEN k % 2 = 0 THEN place END, 'Troy, NY, us')", remote="k % 4 = 0", text="'About' || chr(10) || 'Hi there'"))
-def map_smartrecruiters(spark, sf_dir):
+@board(_expected(location="coalesce(CASE WHEN k % 2 = 0 THEN place END, 'Troy, NY, us')", remote="k % 4 = 0", text="'About' || chr(10) || 'Hi there'"))
+def map_smartrecruiters():
     loc = _json(fullLocation=f"CASE WHEN o_orderkey % 2 = 0 THEN {_s(_PLACE)} ELSE 'null' END", city=_s("'Troy'"), region=_s("'NY'"), country=_s("'us'"), remote="CASE WHEN o_orderkey % 4 = 0 THEN 'true' ELSE 'false' END")
     item = _json(id=_s(_ID), name=_s(_TITLE), releasedDate=_s(f"{_DAY} || 'T00:00:00.000Z'"), location=loc)
     sections = _json(sections=_json(jobDescription=_json(title=_s("'About'"), text=_s("'<p>Hi there</p>'"))))
     detail = _json(jobAd=sections, postingUrl=f"CASE WHEN o_orderkey % 3 = 1 THEN 'null' ELSE {_s(f"'u/' || {_ID}")} END", applyUrl=_s(f"'u/' || {_ID}"))
-    return _mapped(P.map_smartrecruiters, spark, sf_dir, _landed("list", f"""'{{"content":[' || {item} || ']}}'"""), _landed("detail", detail))
+    return [_landed("list", f"""'{{"content":[' || {item} || ']}}'"""), _landed("detail", detail)]
 
 
-@register(_expected(url="'https://h.example/hcmUI/CandidateExperience/en/sites/CX/job/' || id", remote="k % 2 = 0", text="CASE WHEN k % 4 = 0 THEN 'Short' ELSE 'Hi there' END"))
-def map_oracle_rc(spark, sf_dir):
+@board(_expected(url="'https://h.example/hcmUI/CandidateExperience/en/sites/CX/job/' || id", remote="k % 2 = 0", text="CASE WHEN k % 4 = 0 THEN 'Short' ELSE 'Hi there' END"))
+def map_oracle_rc():
     item = _json(Id=_s(_ID), Title=_s(_TITLE), PostedDate=_s(_DAY), PrimaryLocation=_s(_PLACE), WorkplaceType=f"CASE WHEN o_orderkey % 2 = 0 THEN {_s("'Fully Remote'")} ELSE 'null' END", ShortDescriptionStr=_s("'Short'"))
     detail = _json(ExternalPostedStartDate=f"CASE WHEN o_orderkey % 3 = 0 THEN {_s(f"{_DAY} || 'T00:00:00+00:00'")} ELSE 'null' END", ExternalDescriptionStr=f"CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE {_s("'<p>Hi there</p>'")} END")
-    return _mapped(P.map_oracle_rc, spark, sf_dir, _landed("list", f"""'{{"items":[{{"TotalJobsCount":1,"requisitionList":[' || {item} || ']}}]}}'"""), _landed("detail", f"""'{{"items":[' || {detail} || ']}}'"""))
+    return [_landed("list", f"""'{{"items":[{{"TotalJobsCount":1,"requisitionList":[' || {item} || ']}}]}}'"""), _landed("detail", f"""'{{"items":[' || {detail} || ']}}'""")]
 
 
-@register(_expected(location="coalesce(place, 'First')", url="CASE WHEN k % 2 = 0 THEN 'u/' || id ELSE 'https://h.example/careers/job/' || id END", remote="k % 4 = 0"))
-def map_eightfold(spark, sf_dir):
+@board(_expected(location="coalesce(place, 'First')", url="CASE WHEN k % 2 = 0 THEN 'u/' || id ELSE 'https://h.example/careers/job/' || id END", remote="k % 4 = 0"))
+def map_eightfold():
     seconds = "CAST((11535 - o_orderkey % 19) * CAST(86400 AS BIGINT) AS STRING)"
     remote = f"CASE WHEN o_orderkey % 4 = 0 THEN {_s("'remote'")} ELSE 'null' END"
     a = _json(id=_ID, name=_s(_TITLE), location=_s(_PLACE), locations="'[\"First\",\"Second\"]'", postedTs=seconds, workLocationOption=remote, canonicalPositionUrl=_s(f"'u/' || {_ID}"))
     b = _json(id=_ID, name=_s(_TITLE), location=_s(_PLACE), locations="'[\"First\"]'", t_create=seconds, postedTs="'0'", job_description=_s("'<p>Hi there</p>'"), work_location_option=remote)
-    return _mapped(
-        P.map_eightfold, spark, sf_dir,
+    return [
         _landed("list", f"""'{{"data":{{"count":1,"positions":[' || {a} || ']}}}}'""", where="o_orderkey % 2 = 0"),
         _landed("list", f"""'{{"count":1,"positions":[' || {b} || ']}}'""", where="o_orderkey % 2 = 1"),
         _landed("detail", f"""'{{"data":' || {_json(jobDescription=_s("'<p>Hi there</p>'"))} || '}}'""", where="o_orderkey % 2 = 0"),
-    )
+    ]
 
 
 _MONTHS = f"CASE WHEN extract(month FROM {_POSTED}) = 8 THEN 'August' ELSE 'July' END || '  ' || CAST(extract(day FROM {_POSTED}) AS STRING) || ', 2001'"
 
 
-@register(_expected(location="coalesce(CASE WHEN k % 2 = 0 THEN place END, 'US, Anywhere')", url="'https://www.amazon.jobs/en/' || id", text="'Description' || chr(10) || 'Hi there' || chr(10) || chr(10) || 'Basic qualifications' || chr(10) || 'Python'", where="c % 5 <> 0", late=1439))
-def map_amazon(spark, sf_dir):
+@board(_expected(location="coalesce(CASE WHEN k % 2 = 0 THEN place END, 'US, Anywhere')", url="'https://www.amazon.jobs/en/' || id", text="'Description' || chr(10) || 'Hi there' || chr(10) || chr(10) || 'Basic qualifications' || chr(10) || 'Python'", where="c % 5 <> 0", late=1439))
+def map_amazon():
     item = _json(id_icims=_s(_ID), title=_s(_TITLE), company_name=f"CASE WHEN o_custkey % 5 = 0 THEN {_s("'Audible, Inc.'")} ELSE {_s("'Amazon'")} END", posted_date=_s(_MONTHS), normalized_location=f"CASE WHEN o_orderkey % 2 = 0 THEN {_s(_PLACE)} ELSE 'null' END", location=_s("'US, Anywhere'"), job_path=_s(f"'/en/' || {_ID}"), description=_s("'<p>Hi there</p>'"), basic_qualifications=_s("'Python'"))
-    return _mapped(P.map_amazon, spark, sf_dir, _landed("list", f"""'{{"hits":1,"jobs":[' || {item} || ']}}'"""))
+    return [_landed("list", f"""'{{"hits":1,"jobs":[' || {item} || ']}}'""")]
 
 
 _SCRAPED = f"""SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'nan' ELSE {_ID} END AS id, 'indeed' AS site, {_TITLE} AS title, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE c_name END AS company, {_PLACE} AS location, 'l/' || {_ID} AS job_url,
@@ -161,18 +180,18 @@ _LD = _json(**{"@type": _s("'JobPosting'"), "title": _s(_TITLE), "datePosted": _
 _PAGE = f"""'<html><script type="application/ld+json">not json</script><script type="application/ld+json">' || CASE WHEN o_orderkey % 3 = 0 THEN '{{"@graph":[{{"@type":"Org"}},' || {_LD} || ']}}' ELSE {_LD} END || '</script></html>'"""
 
 
-@register(_expected(location="CASE WHEN k % 4 = 0 THEN 'Troy, NY, US; Troy, NY, US' ELSE 'Troy, NY, US' END", url="'https://j.example/' || id"))
-def map_uber(spark, sf_dir):
-    return _mapped(P.map_uber, spark, sf_dir, _landed("sitemap", _SITEMAP), _landed("page", _PAGE, key=f"'https://j.example/' || {_ID}"))
+@board(_expected(location="CASE WHEN k % 4 = 0 THEN 'Troy, NY, US; Troy, NY, US' ELSE 'Troy, NY, US' END", url="'https://j.example/' || id"))
+def map_uber():
+    return [_landed("sitemap", _SITEMAP), _landed("page", _PAGE, key=f"'https://j.example/' || {_ID}")]
 
 
 _ICIMS = f"""'<div class="row"><a class="iCIMS_Anchor" href="https://i.example/jobs/' || {_ID} || '/x?in=1"><h3>' || {_TITLE} || '</h3></a><span>(' || CAST(extract(month FROM {_POSTED}) AS STRING) || '/' || CAST(extract(day FROM {_POSTED}) AS STRING) || '/2001 12:00 AM)</span>
 <div class="iCIMS_JobHeaderTag"><dt>Job Locations</dt><dd>' || coalesce({_PLACE}, 'Nowhere') || '</dd></div></div>'"""
 
 
-@register(_expected(location="coalesce(place, 'Nowhere')", url="'https://i.example/jobs/' || id || '/x'", text="CASE WHEN k % 2 = 0 THEN 'Hi there' ELSE '' END"))
-def map_icims(spark, sf_dir):
-    return _mapped(P.map_icims, spark, sf_dir, _landed("list", _ICIMS), _landed("detail", _PAGE, where="o_orderkey % 2 = 0"))
+@board(_expected(location="coalesce(place, 'Nowhere')", url="'https://i.example/jobs/' || id || '/x'", text="CASE WHEN k % 2 = 0 THEN 'Hi there' ELSE '' END"))
+def map_icims():
+    return [_landed("list", _ICIMS), _landed("detail", _PAGE, where="o_orderkey % 2 = 0")]
 
 
 _AVATURE = f"""'<div class="article__header__text"><a href="https://a.example/JobDetail/x/' || {_ID} || '">' || {_TITLE} || '</a><div class="article__header__content__text"><span class="paragraph_inner-span">' || coalesce({_PLACE}, 'List') || '</span></div>
@@ -180,18 +199,26 @@ _AVATURE = f"""'<div class="article__header__text"><a href="https://a.example/Jo
 _FIELD = """'<body><div class="article__content"><p>Hi there</p></div><div class="article__content__view__field__label">Location</div><div class="article__content__view__field__value">Detail</div></body>'"""
 
 
-@register(_expected(location="CASE WHEN k % 2 = 0 THEN 'Detail' ELSE coalesce(place, 'List') END", url="'https://a.example/JobDetail/x/' || id", posted="NULL::TIMESTAMP", text="CASE WHEN k % 2 = 0 THEN 'Hi there' ELSE '' END"))
-def map_avature(spark, sf_dir):
-    return _mapped(P.map_avature, spark, sf_dir, _landed("list", _AVATURE), _landed("detail", _FIELD, where="o_orderkey % 2 = 0"))
+@board(_expected(location="CASE WHEN k % 2 = 0 THEN 'Detail' ELSE coalesce(place, 'List') END", url="'https://a.example/JobDetail/x/' || id", posted="NULL::TIMESTAMP", text="CASE WHEN k % 2 = 0 THEN 'Hi there' ELSE '' END"))
+def map_avature():
+    return [_landed("list", _AVATURE), _landed("detail", _FIELD, where="o_orderkey % 2 = 0")]
 
 
 _SUCCESS = f"""'<a class="jobTitle-link" href="/job/x/' || {_ID} || '/">' || {_TITLE} || '</a>'"""
 _MICRO = f"""'<meta itemprop="datePosted" content="Sun ' || CASE WHEN extract(month FROM {_POSTED}) = 8 THEN 'Aug' ELSE 'Jul' END || ' ' || lpad(CAST(extract(day FROM {_POSTED}) AS STRING), 2, '0') || ' 00:00:00 UTC 2001"><span itemprop="addressLocality">Troy</span><meta itemprop="addressCountry" content="US"><span class="jobdescription"><p>Hi there</p></span>'"""
 
 
-@register(_expected(location="'Troy, US'", url="'https://h.example/job/x/' || id || '/'"))
-def map_successfactors(spark, sf_dir):
-    return _mapped(P.map_successfactors, spark, sf_dir, _landed("list", _SUCCESS), _landed("detail", _MICRO))
+@board(_expected(location="'Troy, US'", url="'https://h.example/job/x/' || id || '/'"))
+def map_successfactors():
+    return [_landed("list", _SUCCESS), _landed("detail", _MICRO)]
+
+
+@register(" UNION ALL ".join(f"SELECT '{system}' AS source, * FROM ({sql})" for system, sql in EXPECTED.items()))
+def map_all(spark, sf_dir):
+    """All systems' responses, landed in one folder and mapped in one call."""
+    path = f"{checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    P.land(frame(spark, sf_dir, " UNION ALL ".join(f"SELECT '{system}' AS ats, * FROM ({sql})" for system, texts in LANDED.items() for sql in texts())), path)
+    return P.map_all(P.read_landed(spark, path), since()).select("source", *_SHOWN)
 
 
 def _replaced(text: str, *pairs: tuple[str, str]) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolespark.config import DEFAULT, Config
@@ -341,8 +341,21 @@ MAPPERS = {
 }
 
 
+LANDED = "company string, host string, tenant string, board string, slug string, site string, key string, term string, page int, payload string, fetched_at timestamp, ats string, kind string"
+
+
+def land(responses: DataFrame, path: str, mode: str = "append") -> None:
+    """Responses as files by ats and kind, so that each mapper opens its own files only. A large system is split over files."""
+    conform(responses, LANDED).hint("rebalance", "ats", "kind").write.mode(mode).partitionBy("ats", "kind").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LANDED).parquet(path)
+
+
 def map_all(landed: DataFrame, since: Column, config: Config = DEFAULT) -> DataFrame:
-    """All boards' landed rows (with column ats) as raw postings."""
+    """All boards' landed rows (with column ats) as raw postings. From a folder written by land() the filters on ats and kind
+    are partition filters: a file is read where it is needed, and all mappers together read the folder once."""
     out = None
     for ats, mapper in MAPPERS.items():
         one = mapper(landed.filter(F.col("ats") == ats), since, config)

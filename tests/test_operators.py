@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rolespark.functions import places
+from rolespark.functions import helpers, places
 from rolespark.functions.helpers import sorted_ratio
 from rolespark.operators import boards, filings, jobs, matching, review, scoring
 from rolespark.plans.workloads import ingest
@@ -214,3 +214,46 @@ def test_broken_payloads(spark):
     columns = "company string, host string, tenant string, board string, slug string, site string, kind string, key string, term string, page int, payload string, fetched_at timestamp, ats string"
     rows = [("c", None, None, None, None, None, kind, None, "t", 0, payload, None, ats) for ats in payloads.MAPPERS for kind in ("list", "detail", "page", "sitemap") for payload in (None, "", "{", "[]", "{}", "<p>")]
     assert payloads.map_all(spark.createDataFrame(rows, columns), since()).count() == 0
+
+
+def common_word_names(rng, n):
+    """Names of an invented word or two and one or two of a few common ones."""
+    common = "systems solutions group global services partners digital technology consulting capital health data labs networks media".split()
+    invented = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    return [" ".join([*(invented() for _ in range(rng.randint(1, 2))), *rng.sample(common, rng.randint(1, 2))]) for _ in range(n)]
+
+
+def edited(rng, name):
+    i = rng.randrange(len(name))
+    return name[:i] + rng.choice("aeiou") + name[i + rng.randint(0, 1) :]
+
+
+def test_best_partner_by_rounds_is_the_best_of_all(spark):
+    rng = random.Random(11)
+    right = common_word_names(rng, 150)
+    left = [*[edited(rng, edited(rng, x)) for x in right[:80]], *[edited(rng, x) for x in right[40:120]], *common_word_names(rng, 40), None, ""]
+    frames = [spark.createDataFrame([(k % 2, x) for k in (0, 1) for x in xs], f"g int, {c} string") for xs, c in ((left, "left_name"), (right, "right_name"))]
+    every = matching.fuzzy_pairs(*frames, 90.0, ["g"]).collect()
+    want = {}
+    for r in every:
+        key = (r.g, r.left_name)
+        if key not in want or (-r.score, r.right_name) < (-want[key][1], want[key][0]):
+            want[key] = (r.right_name, r.score)
+    found = matching.fuzzy_match_topone(*frames, 90.0, ["g"], bounds=(98.0, 95.0))
+    assert {(r.g, r.left_name): (r.right_name, r.score) for r in found.collect()} == want and len(want) > 200
+
+
+def test_titles_of_a_large_company_are_not_all_compared(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(matching, "DIRECT_TITLES", 20)
+    titles = list(dict.fromkeys(common_word_names(rng, 3000)))
+    rows = [("big", edited(rng, t)) for t in titles[:300]] + [("big", t) for t in titles[:10]] + [("small", "data engineer ii"), ("small", "line cook"), ("none", titles[0]), ("big", None), (None, titles[0])]
+    history = spark.createDataFrame([("big", t) for t in titles] + [("small", "data engineer iii"), ("small", None)], "company_norm string, title_norm string")
+    jobs = spark.createDataFrame(rows, "company_norm string, title_norm string")
+    score = helpers.token_sort_ratio
+    pairs = jobs.distinct().join(history.withColumnRenamed("title_norm", "known"), "company_norm")
+    want = {(r.company_norm, r.title_norm) for r in pairs.filter("title_norm is not null and known is not null").filter(score("title_norm", "known") >= 90).collect()}
+    found = matching.already_applied(jobs, history).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 200
+    scored = matching.fuzzy_candidates(jobs.filter("company_norm = 'big'").withColumnRenamed("title_norm", "left_name"), history.withColumnRenamed("title_norm", "right_name"), 90.0, ["company_norm"])
+    assert scored.count() < 0.02 * 310 * len(titles)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,11 @@ def test_median_by_ranks(spark):
     want = {r.key: r.m for r in df.groupBy("key").agg(F.median("v").alias("m")).collect() if r.m is not None}
     got = {r.key: r.median for r in operators_of_filings.grouped_median(df, "key", "v").filter("key is not null").collect()}
     assert got == pytest.approx({k: m for k, m in want.items() if k is not None})
+
+
+def test_all_mappers_together_read_each_file_once(spark, small):
+    """Every scan is of one system and kind, and no two are of the same."""
+    text = payloads.map_all(spark, small)._jdf.queryExecution().sparkPlan().toString()
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    wanted = [tuple(re.findall(r"(?:ats|kind)#\d+ = (\w+)", line.split("PartitionFilters")[1])) for line in scans]
+    assert len(wanted) == len(set(wanted)) >= 20 and all(len(w) == 2 for w in wanted)
