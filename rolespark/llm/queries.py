@@ -154,7 +154,7 @@ def _places(pattern: str, kind: str, keep: str = "true") -> str:
 
 _ALLOWED = " OR ".join(f"regexp_matches(v, {_quote(p)})" for p in secrets.ALLOW)
 _PEAK = f"list_max(list_transform(range(1, length(v) - {secrets.WINDOW - 2}), lambda i: list_entropy(string_split(substr(v, i, {secrets.WINDOW}), ''))))"
-_LEAST = f"CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['base64']} END"
+_LEAST = f"CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.THRESHOLDS['hex']} WHEN regexp_matches(v, '^[0-9A-Za-z]+$') THEN {secrets.THRESHOLDS['alphanumeric']} ELSE {secrets.THRESHOLDS['base64']} END"
 _NAMED = "['" + "', '".join(secrets.KINDS) + "'][kind + 1] || ':' || s || ':' || e"
 _SECRETS = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

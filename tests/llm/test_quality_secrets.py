@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def test_secret_spans(spark):
     parts = ["password", "=", ":", " ", "'", "secret", "token", "AKIA", "AB12CD34EF56GH78", "0123456789abcdef", "é", "\n", "api_key", "zz"]
     texts = HOSTILE + SECRETS + ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(150)]
     for r in secrets.digest(secrets.scan(frame(spark, texts))).collect():
-        spans = ",".join(f"{k}:{s}:{e}" for s, e, k in secrets.python_spans(texts[r.doc_id]))
+        spans = ",".join(f"{k}:{s}:{e}" for s, e, k in plain_spans(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest(), texts[r.doc_id]
         assert [x for x in r.spans.split(",") if x and not x.startswith("entropy")] == [x for x in spans.split(",") if x]
 
@@ -96,6 +97,64 @@ def test_redaction(spark):
     assert [r.t for r in scanned.orderBy("doc_id").collect()] == ["é <assign> x <hex>", "clean", None]
 
 
+def plain_spans(text):
+    """The base spans of one text by a plain loop."""
+    found = []
+    for kind, pattern, keep in (
+        ("assign", secrets.ASSIGN, lambda m: len(m[2]) >= secrets.ASSIGN_LEAST),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+    ):
+        found += [(m.start(), secrets.KINDS.index(kind), m.end()) for m in re.finditer(pattern, text or "") if keep(m)]
+    return [(s, e, secrets.KINDS[k]) for s, k, e in sorted(found)]
+
+
+def plain_redacted(text, spans):
+    out, at = [], 0
+    for s, e, kind in spans:
+        if s >= at:
+            out += [text[at:s], f"<{kind}>"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_running_results_are_those_of_a_loop(spark):
+    rng = random.Random(4)
+    arrays = [[rng.randint(-5, 9) for _ in range(n)] for n in (0, 1, 31, 32, 33, 64, 1024, 1025, 3000)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(arrays)], "k int, x array<int>")
+    rows = df.select("k", secrets.running(F.col("x"), lambda a, b: a + b, 0, 2).alias("s"), secrets.running(F.col("x"), lambda a, b: F.greatest(a, b), -9, 1).alias("m")).collect()
+    for r in rows:
+        x = arrays[r.k]
+        assert r.s == [sum(x[: i + 1]) for i in range(len(x))] and r.m == [max(x[: i + 1]) for i in range(len(x))]
+
+
+def test_many_secrets_in_one_text(spark):
+    """Places, overlaps and redaction of thousands of spans of each kind, in time in proportion to the text."""
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    parts = [lambda: hexes(32), lambda: "é" * rng.randint(0, 3), lambda: f"token={hexes(13)}.{hexes(20)}", lambda: "AKIA" + hexes(16).upper(), lambda: "pässword: ok", lambda: "Zq3" + "".join(rng.choice("ghijklmnopqrstuvwxyzGHIJKLMNOP0123456789") for _ in range(24)), lambda: f"my_secret='{'ab' * 7}x9Z+{'kK' * 9}'"]
+    text = " ".join(rng.choice(parts)() for _ in range(6000))
+    row = secrets.scan(frame(spark, [text])).withColumn("t", secrets.redact(F.col("text"), F.col("secrets"))).first()
+    spans = [(x.start, x.end, secrets.KINDS[x.kind]) for x in row.secrets]
+    base = plain_spans(text)
+    assert [x for x in spans if x[2] != "entropy"] == base and len(base) > 3000
+    assert all(text[x.start : x.end] == x.value and len(text[: x.start].encode()) == x.byte for x in row.secrets)
+    likely = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
+    covered = [0] * (len(text) + 1)
+    for s, e, _ in base:
+        covered[s:e] = [1] * (e - s)
+    entropy = {x[:2] for x in spans if x[2] == "entropy"}
+    assert len(entropy) > 500 and entropy <= {x for x in likely if not any(covered[x[0] : x[1]])}
+    assert row.t == plain_redacted(text, spans)
+    seconds = []
+    for n in (10_000, 20_000):
+        rows = secrets.scan(frame(spark, [" ".join(hexes(32) for _ in range(n))])).withColumn("t", secrets.redact(F.col("text"), F.col("secrets"))).selectExpr("size(secrets) as n", "t")
+        start = time.perf_counter()
+        assert rows.first() == (n, " ".join(["<hex>"] * n))
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 3 * seconds[0] + 2 and seconds[1] < 30
+
+
 def test_licences(spark):
     docs = frame(spark, ["Some text.\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License.", "All rights reserved.", "They discussed human rights and a driving licence at length", None, "", "This work is licensed under the GNU General Public License, version 3.", "plain words"])
     model = licenses.learn(docs)
