@@ -513,13 +513,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, class_id (least doc_id of all documents that links connect with it), copy_id
-    (least doc_id with the same shingle set), n_copies, n_links (rows it is at least threshold-similar to, copies
-    included).
-
-    Null, blank or otherwise wordless texts link to nothing: class_id and copy_id are their own id. Repeated rows and
-    repeated ids are rows of their own; a class whose ids are all null has a null id. Other columns are not read."""
+def _classified(docs: DataFrame, threshold: float, recall: float, words: int, small: int, depth: int, block: int) -> DataFrame:
+    """The columns of near_duplicates with text_hash and class_hash: the class's first row is (class_id, class_hash)."""
     common = common_shingles(docs, small, words)
     rows = sketch(docs, common, threshold, runs_for(recall, depth), depth, words)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")  # null ids last
@@ -529,30 +524,47 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     tally = found.groupBy("sig").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("sig").alias("u"), F.col("root").alias("v")))
     known = (
-        classes.select("sig", "rep", "n_copies")
+        classes.select("sig", "rep", F.col("text_hash").alias("rep_hash"), "n_copies")
         .join(tally, "sig", "left")
         .join(parts.select(F.col("id").alias("sig"), "root"), "sig", "left")
         .filter("n_copies > 1 or n is not null")
         .withColumn("root", F.coalesce("root", "sig"))
     )
     known = materialize(known, "known")
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "root").select("sig", "rep", "n_copies", "n", "class_id")
-    return rows.select("doc_id", "sig").join(known, "sig", "left").select(
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "rep_hash")).alias("least"))
+    known = known.join(least, "root").select("sig", "rep", "n_copies", "n", F.col("least.rep").alias("class_id"), F.col("least.rep_hash").alias("class_hash"))
+    alone = F.col("n_copies").isNull()
+    return rows.select("doc_id", "text_hash", "sig").join(known, "sig", "left").select(
         "doc_id",
-        F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("copy_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
         (F.coalesce("n_copies", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
+        "text_hash",
+        F.when(alone, F.col("text_hash")).otherwise(F.col("class_hash")).alias("class_hash"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class of near duplicates: the one with the least id, in all its columns. Rows
-    without words or without an id stay; a row repeated in full stays once."""
-    found = near_duplicates(docs, **options)
-    losers = found.filter("doc_id <> class_id").select("doc_id")
-    repeated = found.filter("n_copies > 1 and doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(losers, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """A row for each row of docs: doc_id, class_id (least doc_id of all documents that links connect with it), copy_id
+    (least doc_id with the same shingle set), n_copies, n_links (rows it is at least threshold-similar to, copies
+    included).
+
+    Null, blank or otherwise wordless texts link to nothing: class_id and copy_id are their own id. Repeated rows and
+    repeated ids are rows of their own; a class whose ids are all null has a null id. Other columns are not read."""
+    return _classified(docs, threshold, recall, words, small, depth, block).drop("text_hash", "class_hash")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """docs with one document of each class of near duplicates: the one with the least id, in all its columns. Rows without
+    words or without an id stay. A row goes by its id and its text, so one whose id stands on another text too stays if its
+    own text does; of rows with one id and one text the first in the order of their JSON stays."""
+    found = _classified(docs, threshold, recall, words, small, depth, block).filter("doc_id is not null")
+    wins = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    losers = found.filter(~F.coalesce(wins, F.lit(False))).select("doc_id", "text_hash").distinct()
+    repeated = found.filter(wins & (F.col("n_copies") > 1)).groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    keys = ["doc_id", "text_hash"]
+    kept = rows.join(losers, keys, "left_anti")
+    once = kept.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.join(repeated, keys, "left_anti").select("_row").unionByName(once.select("_row")).select("_row.*")

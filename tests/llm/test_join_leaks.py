@@ -154,6 +154,16 @@ def test_keep_one(spark):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_ids_that_are_used_twice(spark):
+    a, b, other = (" ".join(f"{x}{k}" for k in range(30)) for x in "aBc")
+    rows = [(3, a, "x"), (5, b, "y"), (5, a, "z"), (7, other, "2"), (7, other, "1"), (9, other + " more", "3"), (None, a, "n"), (7, None, "w"), (7, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(3, a, "x"), (5, b, "y"), (7, other, "1"), (None, a, "n"), (7, None, "w"), (7, None, "w")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(5, 5)]
     out = ngram_join.components(spark.createDataFrame(edges, "u long, v long"))
