@@ -6,13 +6,18 @@ distance verifies it. Documents stay where they are read: no shuffle, whatever p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR = 0.1
+#: Items of fewer characters (normalized) match without edits and between word boundaries only; such an item of one word
+#: only a document that holds nothing else, as a single word is no evidence of a leak.
+SHORT_CHARS = 20
 #: Characters of benchmark text that go to the workers at once; a larger benchmark is matched in blocks.
 BLOCK_CHARS = 4_000_000
 
@@ -83,17 +88,26 @@ def chains(pattern: str, pieces: int) -> list[list[Node]]:
 
 
 class Matcher:
-    """Finds every item within its error budget in a text; one is built in each worker."""
+    """Finds every item within its error budget in a text; one is built in each worker process (see matcher)."""
 
     def __init__(self, items: list[tuple[int, str]], error: float):
         import ahocorasick
 
         self.items = []
+        self.short: list[tuple[int, int]] = []  # ids and lengths of short items
+        self.words: dict[str, list[int]] = {}  # ids of one-word items
         places: dict[str, list[tuple[int, int, list[Node]]]] = {}
         for item_id, text in items:
             text = normalized(text)
             if not text:
                 continue
+            if len(text) < SHORT_CHARS:
+                if " " not in text:
+                    self.words.setdefault(text, []).append(item_id)
+                else:
+                    places.setdefault(text, []).append((-1 - len(self.short), 0, []))
+                    self.short.append((item_id, len(text)))
+                continue
             pieces = int(error * len(text)) + 1
             at = [len(text) * i // pieces for i in range(pieces + 1)]
             for k, chain in enumerate(chains(text, pieces)):
@@ -106,11 +120,14 @@ class Matcher:
             self.automaton.make_automaton()
 
     def _candidates(self, text: str) -> dict[int, set[int]]:
-        """For each item the beginnings that an intact piece suggests and all nodes above it but the last confirm."""
+        """For each item the beginnings that an intact piece suggests and all nodes above it but the last confirm. Short
+        items have negative numbers, and their beginnings are at word boundaries."""
         found: dict[int, set[int]] = {}
         for last, (n, where) in self.automaton.iter(text):
             for item, offset, chain in where:
                 begin = last - n + 1 - offset
+                if item < 0 and (text[begin - 1 : begin].isalnum() or text[last + 1 : last + 2].isalnum()):
+                    continue
                 if begin in found.get(item, ()):
                     continue
                 for node in chain[:-1]:
@@ -124,11 +141,15 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) for the best occurrence of each item, in the normalized text."""
-        if not self.items:
-            return []
         text = normalized(text)
-        out = []
+        out = [(item_id, 0, 0, len(text)) for item_id in self.words.get(text, ())]
+        if not self.items and not self.short:
+            return out
         for item, begins in self._candidates(text).items():
+            if item < 0:
+                item_id, m = self.short[-1 - item]
+                out.append((item_id, 0, min(begins), min(begins) + m))
+                continue
             item_id, pattern, k, forward, backward = self.items[item]
             m, best, high = len(pattern), None, -len(text) - len(pattern)
             exact = text.find(pattern)
@@ -150,11 +171,23 @@ class Matcher:
         return sorted(out)
 
 
+_built: dict[tuple[str, float], Matcher] = {}
+
+
+def matcher(sent: Broadcast, error: float) -> Matcher:
+    """The matcher of a broadcast (name, items), built once in a worker process and kept until another one is asked for."""
+    name, items = sent.value
+    if (name, error) not in _built:
+        _built.clear()
+        _built[name, error] = Matcher(items, error)
+    return _built[name, error]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document and benchmark item that occurs in it within int(error * length) edits: the least
-    distance and the place of that occurrence in the text, lower-cased and with white space squeezed.
+    """A row for each document and benchmark item that occurs in it within int(error * length) edits (see SHORT_CHARS for
+    short ones): the least distance and the place of that occurrence in the text, lower-cased and with white space squeezed.
 
-    Null and blank texts and items match nothing; repeated document rows give repeated result rows; repeated items (same
+    Empty tables of documents or items give an empty result. Null and blank texts and items match nothing; repeated document rows give repeated result rows; repeated items (same
     id and text) count once; other columns are not read. Whole texts are searched."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -169,13 +202,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, block_c
 
 
 def _match_block(rows: DataFrame, items: list[tuple[int, str]], error: float) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, error)
+        found = matcher(sent, error)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    out += [(doc_id, *x) for x in matcher.find(text)]
+                    out += [(doc_id, *x) for x in found.find(text)]
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
@@ -184,8 +219,9 @@ def _match_block(rows: DataFrame, items: list[tuple[int, str]], error: float) ->
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """docs without those in which a benchmark item occurs. The flag is made where the text is read, so rows with
-    null or repeated ids keep their own verdict, and nothing is shuffled."""
+    """docs without those in which a benchmark item occurs, as matches() tells. The flag is made where the text is read, so
+    rows with null or repeated ids keep their own verdict, and nothing is shuffled. Without items all rows stay; rows
+    without a text stay; all columns are kept whatever their names are."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     blocks = 1 + int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // BLOCK_CHARS
     for block in range(blocks):
@@ -195,9 +231,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) ->
 
 
 def _drop_block(docs: DataFrame, items: list[tuple[int, str]], error: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, error)
+        found = matcher(sent, error)
         for batch in batches:
-            yield batch.filter(pa.array([not (t and matcher.find(t)) for t in batch.column("text").to_pylist()], type=pa.bool_()))
+            yield batch.filter(pa.array([not (t and found.find(t)) for t in batch.column("text").to_pylist()], type=pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
