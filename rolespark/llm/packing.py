@@ -23,7 +23,9 @@ from rolespark.llm.common import materialize
 from rolespark.llm.tokens import ID_BYTES, encoder_for
 
 CAPACITY = 2048
-GROUPS = 512
+#: Groups of equal cardinality. Groups of one largest length are joined, so a plan has at most `capacity` sizes whatever this
+#: is; with so many only lengths of which there are few are rounded up.
+GROUPS = 65_536
 PIECE_SCHEMA = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 
 

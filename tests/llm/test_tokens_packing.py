@@ -122,3 +122,20 @@ def test_pack(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_plans_are_as_good_as_best_fit_decreasing():
+    rng = np.random.default_rng(0)
+    lengths = {
+        "log-normal": np.clip(np.exp(rng.normal(5.6, 0.9, 30_000)).astype(int), 1, 2047),
+        "900 to 1200": rng.integers(900, 1201, 20_000),
+        "1 to 2047": rng.integers(1, 2048, 20_000),
+        "400 to 800": rng.integers(400, 801, 20_000),
+        "below 300": rng.integers(1, 300, 20_000),
+    }
+    for name, x in lengths.items():
+        histogram = dict(collections.Counter(x.tolist()))
+        decreasing = packing.Plan(2048)
+        for length in sorted(histogram, reverse=True):
+            decreasing.best_fit(length, histogram[length])
+        assert packing.make_plan(histogram).sequences <= 1.0005 * decreasing.sequences, name
