@@ -45,7 +45,7 @@ HOLDERS = frozenset(
     "section slot stories text thread top unit widget wrap wrapper".split()
 )
 TURNING = frozenset("has no not with without is".split())
-#: A hint says nothing if this share of the page's text stands below it, most of it not in links.
+#: A hint, or a tag of CHROME, says nothing if this share of the page's text stands below it, most of it not in links.
 MOST_TEXT = 0.6
 #: Hinted elements around one another that are told apart.
 HINTS_KEPT = 8
@@ -62,8 +62,8 @@ class Element:
     depth: int
     silent: bool
     article: bool
-    bad: bool
     hint_good: bool
+    chrome: tuple[int, ...]
     hints: tuple[int, ...]
     comment: bool
     up: Element | None
@@ -76,6 +76,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     text: str = ""
     z: float = 0.0
+    plain: bool = False
 
 
 def is_bad_hint(name: str) -> bool:
@@ -89,7 +90,7 @@ def is_bad_hint(name: str) -> bool:
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, without blank ones."""
-    root = Element("", 0, 0, False, False, False, False, (), False, None)
+    root = Element("", 0, 0, False, False, False, (), (), False, None)
     stack, out, number, open_block, links = [root], [], 0, None, 0
     opened: Counter[str] = Counter()  # so that the stack is searched only for what is in it
 
@@ -155,9 +156,9 @@ def blocks_of(page: str) -> list[Block]:
                     names += value.split()
                 elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
                     off = True
-        bad = tag in CHROME and not (tag == "header" and up.article)
+        chrome = tag in CHROME and not (tag == "header" and up.article)
         words = {part for name in names for part in re.split(r"[_-]+", name)}
-        hinted = any(map(is_bad_hint, names))
+        hinted = any(is_bad_hint(name) and not (up.article and re.search(r"(^|[_-])header$", name)) for name in names)
         stack.append(
             Element(
                 tag,
@@ -165,8 +166,8 @@ def blocks_of(page: str) -> list[Block]:
                 up.depth + 1,
                 up.silent or off or tag in SILENT,
                 up.article or tag in ("article", "main"),
-                up.bad or bad,
                 up.hint_good or bool(words & GOOD_HINTS),
+                (*up.chrome, number) if chrome and len(up.chrome) < HINTS_KEPT else up.chrome,
                 (*up.hints, number) if hinted and len(up.hints) < HINTS_KEPT else up.hints,
                 up.comment or hinted and bool(words & COMMENT_HINTS),
                 up,
@@ -183,21 +184,26 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def trusted_hints(blocks: list[Block]) -> set[int]:
-    """The hinted elements that do not hold most of the page's text themselves."""
+    """The hinted elements and those of CHROME that do not hold most of the page's text themselves: a form around the whole
+    page, or a body whose class is "sidebar", says nothing."""
     below, links = Counter(), Counter()
     for b in blocks:
-        for h in b.element.hints:
+        for h in {*b.element.hints, *b.element.chrome}:
             below[h] += len(b.text)
             links[h] += min(b.link, len(b.text))
     most = MOST_TEXT * sum(len(b.text) for b in blocks)
     return {h for h, n in below.items() if n < most or 2 * links[h] > n}
 
 
-def preference(block: Block, hint_bad: bool) -> float:
+def link_share(block: Block) -> float:
+    return min(1.0, block.link / len(block.text))
+
+
+def preference(block: Block, bad_tag: bool, hint_bad: bool) -> float:
     """Log odds that a block is content."""
     e = block.element
-    z = BIAS + ARTICLE * e.article + BAD_TAG * e.bad + BAD_HINT * hint_bad + GOOD_HINT * e.hint_good
-    z += LENGTH * math.log1p(block.text.count(" ") / 10) + LINKS * min(1.0, block.link / len(block.text))
+    z = BIAS + ARTICLE * e.article + BAD_TAG * bad_tag + BAD_HINT * hint_bad + GOOD_HINT * e.hint_good
+    z += LENGTH * math.log1p(block.text.count(" ") / 10) + LINKS * link_share(block)
     z += PARAGRAPH * (e.tag == "p") + HEADING * (e.tag in HEADINGS) + LISTED * (e.tag in ("li", "td", "th"))
     return z + COPYRIGHT * ("©" in block.text)
 
@@ -280,14 +286,17 @@ def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tupl
 
 
 def extract(page: str | None) -> str:
-    """The main text of one page: its content blocks in page order, joined by a line feed; empty if there are none."""
+    """The main text of one page: its content blocks in page order, joined by a line feed; empty if there are none. Where
+    the cut calls nothing content, blocks without any sign of boilerplate are the text."""
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
     groups: list[list[Block]] = []
     trusted = trusted_hints(blocks)
     for b in blocks:
-        b.z = preference(b, b.element.comment or not trusted.isdisjoint(b.element.hints))
+        marked = not trusted.isdisjoint(b.element.chrome), b.element.comment or not trusted.isdisjoint(b.element.hints)
+        b.z = preference(b, *marked)
+        b.plain = not any(marked) and 2 * link_share(b) < 1 and "©" not in b.text
         last = groups[-1][-1] if groups else None
         # blocks of one parent that agree in their preference are one node
         if last and (last.z > 0) == (b.z > 0) and last.element.up is b.element.up:
@@ -295,16 +304,20 @@ def extract(page: str | None) -> str:
         else:
             groups.append([b])
     edges, latest = [], {}
+    # text and links side by side need not be of one kind
+    alike = lambda a, b: 1 - abs(link_share(groups[a][-1]) - link_share(groups[b][0]))
     for k, g in enumerate(groups):
         first = g[0].element
         if k:
-            edges.append((k - 1, k, NEAR / (1 + tree_distance(groups[k - 1][-1].element, first))))
+            edges.append((k - 1, k, alike(k - 1, k) * NEAR / (1 + tree_distance(groups[k - 1][-1].element, first))))
         if (before := latest.get(first.up.number if first.up else -1)) is not None:
-            edges.append((before, k, SIBLING))
+            edges.append((before, k, alike(before, k) * SIBLING))
         latest[first.up.number if first.up else -1] = k
     softplus = lambda z: max(z, 0.0) + math.log1p(math.exp(-abs(z)))
     label = minimum_cut([sum(softplus(-b.z) for b in g) for g in groups], [sum(softplus(b.z) for b in g) for g in groups], edges)
-    return "\n".join(b.text for g, yes in zip(groups, label, strict=True) if yes for b in g)
+    if any(label):
+        return "\n".join(b.text for g, yes in zip(groups, label, strict=True) if yes for b in g)
+    return "\n".join(b.text for b in blocks if b.plain)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -214,3 +214,27 @@ def test_deep_pages_take_linear_time():
     began = time.process_time()
     assert html_extract.extract("<div>" * 100_000 + text).startswith("a paragraph")
     assert time.process_time() - began < 60
+
+
+LONG = " ".join(["Some words of a long paragraph that say something"] * 8)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<form id="aspnetForm"><p>{LONG}</p><p>{LONG}</p></form>', f"{LONG}\n{LONG}"),
+        (f"<header><a href=1>a</a></header><form><p>{LONG}</p><p>{LONG}</p><input></form><footer>Imprint</footer>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><form><label>Search this site now</label></form>", LONG),
+        (f'<article><div class="entry-header"><h1>The Title</h1></div><p>{LONG}</p></article>', f"The Title\n{LONG}"),
+        (f'<div class="site-header"><h1>The Site</h1></div><article><p>{LONG}</p></article>', LONG),
+        ("<body><div>Hello world.</div></body>", "Hello world."),
+        ('<nav><a href="/">Home</a></nav><p><a href="/x">More</a></p><footer>© x</footer>', ""),
+    ],
+)
+def test_containers_around_the_whole_page(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_text_between_links_keeps_its_label():
+    blocks = "".join(f"<div>{LONG[:170]}</div><p><a href=x>read more of it here</a></p>" for _ in range(2000))
+    assert html_extract.extract(f"<body>{blocks}</body>") == "\n".join([LONG[:170].strip()] * 2000)
