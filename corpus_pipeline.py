@@ -22,17 +22,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the least id."""
+    """One document of each class of near duplicates stays, the one with the least id; a row goes by its id and its text. Rows
+    without an id or without words stay; of a row repeated in full one stays."""
     return ngram_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item occurs go."""
+    """Documents in which a benchmark item occurs go. Rows without a text and, where there are no items, all rows stay; each
+    row has its own verdict, whatever its id."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text become <kind>, and n_chars follows the text."""
+    """Every document stays; secrets in its text become <kind>, and n_chars follows the text (null for a null text). Repeated
+    rows are scanned each by itself."""
     scanned = secrets.scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"), out="_spans")
     text = secrets.redact(F.col("text"), F.col("_spans"))
     own = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -40,7 +43,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """The pieces of all documents with their places in sequences of at most 2048 tokens. A null or empty text is one piece,
+    of the end id; rows of one id are documents of their own; no documents give no pieces."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=0)
 
 
@@ -57,6 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written and read again. Null ids, ids that are used twice,
+    empty tables and further columns are what the stages say; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

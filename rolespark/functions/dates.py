@@ -13,8 +13,10 @@ from rolespark.config import DEFAULT, Config
 EPOCH = date(2026, 1, 1)
 
 
-def compute_since(as_of: datetime, window: str, config: Config = DEFAULT) -> datetime:
-    return as_of - timedelta(hours=min(config.window_hours[window] + config.grace_hours, config.max_age_days * 24))
+def compute_since(as_of: datetime | Column, window: str, config: Config = DEFAULT) -> datetime | Column:
+    """Where a run at as_of begins to look: the window and its grace before, the age cap at most."""
+    hours = min(config.window_hours[window] + config.grace_hours, config.max_age_days * 24)
+    return as_of - (F.make_dt_interval(hours=F.lit(hours)) if isinstance(as_of, Column) else timedelta(hours=hours))
 
 
 def age_days(posted_at: Column, as_of: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolespark import schemas
+from rolespark.functions import dates
 from rolespark.operators import filings, matching, review
 from rolespark.plans import store
 from rolespark.queries import postings, register
@@ -180,3 +181,19 @@ def first_seen_stream(spark, sf_dir):
         schemas.conform(rows.filter(F.col("day") == day), f"{schemas.RAW_JOB}, seq long").write.mode("append").parquet(path)
         seen_stream(spark, path, root, checkpoint, out, postings.as_of(), files_a_batch=1_000_000).awaitTermination()
     return spark.read.parquet(out).select("seq", "source", "ats_job_id", "posted_at")
+
+
+_WINDOWS = " UNION ALL ".join(f"SELECT {k} AS k, '{w}' AS name, {hours} AS hours" for k, (w, hours) in enumerate(postings.DEFAULT.window_hours.items()))
+
+
+@register(
+    f"""SELECT o_orderkey, name, CAST(o_orderdate AS TIMESTAMP) - to_hours(CAST(least(hours + {postings.DEFAULT.grace_hours}, {24 * postings.DEFAULT.max_age_days}) AS BIGINT)) AS since
+ FROM orders JOIN ({_WINDOWS}) w ON w.k = o_orderkey % {len(postings.DEFAULT.window_hours)}"""
+)
+def compute_since(spark, sf_dir):
+    """Where a run of each order's day begins to look, by the window that its key names."""
+    names = list(postings.DEFAULT.window_hours)
+    rows = frame(spark, sf_dir, "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS as_of FROM @orders")
+    name = F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names)).cast("int"))
+    found = F.coalesce(*[F.when(name == w, dates.compute_since(F.col("as_of"), w)) for w in names])
+    return rows.select("o_orderkey", name.alias("name"), found.alias("since"))

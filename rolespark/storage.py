@@ -21,8 +21,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, for tables that nothing needs after it."""
+    return f"{checkpoint_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again, so that its lineage ends here."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df written to the application's scratch folder and read again, so that its lineage ends here."""
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes the application's scratch folder. To be called when the results that were asked for are written: DataFrames
+    read from scratch tables, and language models trained in it, cannot be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

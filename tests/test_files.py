@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 from datetime import datetime, timedelta
 
@@ -15,6 +16,7 @@ from rolespark.plans.workloads import ingest
 from rolespark.queries import files, postings
 from rolespark.queries.adapters import frame
 from rolespark.sources import tables, versions
+from rolespark.storage import remove_scratch, scratch_dir, written
 from rolespark.streaming.ingest import first_seen_stream
 
 
@@ -170,3 +172,13 @@ def test_read_lca_names_files_that_lack_columns(spark, tmp_path):
     (tmp_path / "x.xlsx").write_text("")
     with pytest.raises(ValueError, match="x.xlsx"):
         tables.read_lca(spark, str(tmp_path / "x.xlsx"))
+
+
+def test_scratch_tables_can_be_removed(spark):
+    rows = written(spark.range(3), "three")
+    folder = scratch_dir(spark)
+    assert rows.count() == 3 and os.listdir(folder)
+    remove_scratch(spark)
+    assert not os.path.exists(folder)
+    remove_scratch(spark)
+    assert written(spark.range(2), "two").count() == 2
