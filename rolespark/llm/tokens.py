@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """Writes the ids of all documents, in ascending order of id_col, to a folder of Parquet files whose rows are the
     blocks of CHUNK_SCHEMA: shard n holds the n-th range of documents, blocks follow each other in it, a document may
     run over several blocks. Rows with equal ids stand by the hash of their text; null ids come first; a null text is
-    just the end id."""
+    just the end id. An empty table leaves a folder without blocks; other columns are not read."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -178,7 +178,8 @@ def shard_bases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Reads the files back: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array of int). Blocks are
-    decoded where they are read; the parts of a document that runs over several blocks meet by (shard, document)."""
+    decoded where they are read; the parts of a document that runs over several blocks meet by (shard, document). A folder
+    without blocks gives an empty table."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +253,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """What read_tokens reads from the files that write_tokens makes of docs, in a scratch folder; see both for nulls, ties,
+    repeated rows and empty tables."""
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer_path, end_id)
     return read_tokens(docs.sparkSession, path)
