@@ -65,9 +65,8 @@ def ingest_into(spark: SparkSession, root: str, raw: DataFrame, since: Column, a
     """Raw postings with a column seq into the store under root. buckets must stay what it was at the first run; choose it
     so that a bucket of jobs is some hundred MB. A run that finds every row stored writes no bucket of jobs.
 
-    An id that is undated counts as known if it was ever stored, also where an update has since given its row another key."""
+    raw is read several times: write it first where it is costly. An id that is undated counts as known if it was ever stored, also where an update has since given its row another key."""
     base = versions.current(spark, root)
-    raw = written(raw, "raw")
     seen, boards = sighted(spark, root, base, raw, buckets)
     known = seen.select("source", "company", "ats_job_id").distinct()
     batch = written(prepare(jobs.date_at_first_sight(raw, known, boards, as_of), since, history, excluded, employers, aliases, config), "prepared")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolespark.functions import helpers as H
 from rolespark.functions import text as T
+from rolespark.plans import daily, store
 from rolespark.queries import duck as D
 from rolespark.queries import register
 from rolespark.queries.adapters import AS_OF, LOCATIONS, SINCE, TITLES, days_back, frame, pick
@@ -221,6 +222,20 @@ def map_all(spark, sf_dir):
     return P.map_all(P.read_landed(spark, path), since()).select("source", *_SHOWN)
 
 
+_DAY_ID = f"sha1({D.norm_company('company')} || '|' || {D.norm_title('title')} || '|' || {D.norm_location('location')})"
+_DAY_ROWS = " UNION ALL ".join(f"SELECT company, title, location FROM ({sql})" for sql in EXPECTED.values()) + f" UNION ALL SELECT company, title, location FROM ({_SCRAPED}) WHERE company <> ' '"
+
+
+@register(f"WITH i AS MATERIALIZED (SELECT DISTINCT {_DAY_ID} AS id FROM ({_DAY_ROWS})) SELECT id, (SELECT count(*) FROM i) AS inserted, (SELECT count(*) FROM i) AS fetched FROM i")
+def run_day(spark, sf_dir):
+    """All systems' responses and the scraped rows of a day into an empty store: the ids that are stored, and the counts."""
+    path, root = (f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}" for label in ("landed", "store"))
+    P.land(frame(spark, sf_dir, " UNION ALL ".join(f"SELECT '{system}' AS ats, * FROM ({sql})" for system, texts in LANDED.items() for sql in texts())), path)
+    history = frame(spark, sf_dir, "SELECT * FROM @history")
+    done = daily.run_day(spark, root, P.read_landed(spark, path), frame(spark, sf_dir, _SCRAPED), since(), as_of(), history)
+    return store.table(spark, root, "jobs").select("id", *[F.lit(done.counts[k]).cast("long").alias(k) for k in ("inserted", "fetched")])
+
+
 def _replaced(text: str, *pairs: tuple[str, str]) -> str:
     for pattern, by in pairs:
         text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
