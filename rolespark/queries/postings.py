@@ -256,9 +256,15 @@ def discover_boards(spark, sf_dir):
     return found.select("name", "ats", "slug", "host", "tenant", "board", "source")
 
 
-@register()
+@register(
+    f"""WITH p AS (SELECT k, CASE WHEN ats IS NOT NULL THEN {_KEY} END AS key, lower(coalesce(slug, tenant)) AS slug FROM ({_PARSED})),
+ s AS (SELECT k, key, CASE WHEN key IS NULL THEN 'no_ats_link' WHEN key IN (SELECT key FROM p WHERE k % 10 = 1 AND key IS NOT NULL) THEN 'already_present' WHEN slug = 'b7' THEN 'dropped' ELSE 'open' END AS state FROM p),
+ a AS (SELECT key, min(k) AS first FROM s WHERE state = 'open' AND key IN (SELECT key FROM ({_VALID}) WHERE valid) GROUP BY key)
+ SELECT CASE WHEN state IN ('no_ats_link', 'already_present') THEN state WHEN state = 'open' AND k = first THEN 'added' WHEN state = 'open' AND k > first THEN 'already_present' END AS outcome, count(*) AS n FROM s LEFT JOIN a USING (key) GROUP BY 1"""
+)
 def seed_from_comments(spark, sf_dir):
-    """Counts by outcome; the greedy acceptance has no SQL form (tests hold it against a loop)."""
+    """Counts by outcome. Each comment has a company of its own, so boards decide alone (tests hold the greedy acceptance by
+    board and name against a loop)."""
     rows = frame(spark, sf_dir, "SELECT k, company, url FROM @boards")
     comments = rows.select(F.col("k").alias("pos"), F.concat(F.col("company"), F.lit(" | Remote | ML<p>Apply: <a href=&quot;"), F.col("url"), F.lit('&quot;>here</a> <a href="'), F.col("url"), F.lit('">x</a>')).alias("text"))
     found = boards.seed_from_comments(comments, known_companies(spark, sf_dir), valid_boards(spark, sf_dir), spark.createDataFrame([("b7",)], "name string"))
