@@ -142,7 +142,8 @@ def count_words(docs: DataFrame, pattern: str, key: str = "doc_id", text: str =
 
 def _build_filters(vocabulary: DataFrame) -> DataFrame:
     """length, part, parts, bits for each filter."""
-    sizes = vocabulary.groupBy("length").agg(F.ceil(F.count("*") / FILTER_WORDS).cast("int").alias("parts"))
+    # one row a word length, so it may be broadcast; a join by length would put the words of a length into one task
+    sizes = F.broadcast(vocabulary.groupBy("length").agg(F.ceil(F.count("*") / FILTER_WORDS).cast("int").alias("parts")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
