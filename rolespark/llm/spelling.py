@@ -249,7 +249,7 @@ def group_variants(vocabulary: DataFrame, ratio: int = 5) -> DataFrame:
     times its own, else null; its root is where the forms lead, or the word itself. No near words: n_near is 0. An empty
     vocabulary gives an empty result; other columns are left out."""
     words = vocabulary.filter("word is not null and word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialize(words.withColumn("length", F.length("word")).orderBy("length"), "vocabulary")
+    words = materialize(words.withColumn("length", F.length("word")).orderBy("length", "word"), "vocabulary")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("form")))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     led = -F.col("best.minus") >= ratio * F.col("n")
