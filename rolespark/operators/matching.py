@@ -59,7 +59,8 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by
     of the left text at most: one piece stands in the right text, shifted by no more than the characters inserted or
     deleted before it. The pieces are those with the fewest occurrences among the right texts. A pair that meets must also
     not lack more of the left text's bigrams than its edits spoil. A piece that very many texts have makes a large join
-    partition, which Spark splits (its skew join is on by default)."""
+    partition, which Spark splits (its skew join is on by default). A name has some hundred substrings, which Spark's size
+    estimates leave out, so the joins on them are sort-merge joins by hint: no side is broadcast."""
     share, by = 1 - cutoff / 100, by or []
 
     def index(names: DataFrame, column: str) -> DataFrame:
@@ -71,7 +72,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by
     partners = F.transform(F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share) - 1e-9).cast("int"), _longest(F.col("n"), share)), lambda n: _piece_length(n, share))
     y = _substrings(b, F.greatest(F.array_min(partners) - 1, F.lit(1)), F.array_max(partners) + 1)
     often = y.groupBy(*by, "s").agg(F.count("*").alias("f"))
-    counted = _substrings(a, F.greatest(length - 1, F.lit(1)), length + 1).join(often, [*by, "s"], "left").groupBy(*by, "name", "text", "n", "bits")
+    counted = _substrings(a, F.greatest(length - 1, F.lit(1)), length + 1).join(often.hint("merge"), [*by, "s"], "left").groupBy(*by, "name", "text", "n", "bits")
     counted = counted.agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "pos", F.coalesce("f", F.lit(0)).alias("f")))), lambda x: x["f"]).alias("f"))
     pieces = counted.withColumn("p", F.explode(rarest_pieces(F.col("f"), F.col("n"), _budget(F.col("n"), share) + 1, length)))
     x = pieces.select(
@@ -82,7 +83,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by
     gone, come = F.floor((edits + F.col("ln") - F.col("rn")) / 2), F.floor((edits + F.col("rn") - F.col("ln")) / 2)
     near = (gone >= 0) & (come >= 0) & (F.col("pos") - F.col("at")).between(-gone, come)
     lacking = sum((F.bit_count(F.col("lb")[w].bitwiseAND(F.bitwise_not(F.col("rb")[w]))) for w in range(_WORDS)), F.lit(0))
-    return x.join(y, [*by, "s"]).filter(near).filter(lacking <= 2 * gone + come).select(*by, "left_name", "right_name", "lt", "rt").distinct()
+    return x.join(y.hint("merge"), [*by, "s"]).filter(near).filter(lacking <= 2 * gone + come).select(*by, "left_name", "right_name", "lt", "rt").distinct()
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 90.0, by: list[str] | None = None) -> DataFrame:

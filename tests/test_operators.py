@@ -257,3 +257,10 @@ def test_titles_of_a_large_company_are_not_all_compared(spark, monkeypatch):
     assert {tuple(r) for r in found} == want and len(found) == len(want) > 200
     scored = matching.fuzzy_candidates(jobs.filter("company_norm = 'big'").withColumnRenamed("title_norm", "left_name"), history.withColumnRenamed("title_norm", "right_name"), 90.0, ["company_norm"])
     assert scored.count() < 0.02 * 310 * len(titles)
+
+
+def test_substrings_of_names_are_not_broadcast(spark):
+    names = spark.createDataFrame([(f"name {k} of one",) for k in range(50)], "name string")
+    found = matching.fuzzy_match_topone(names.withColumnRenamed("name", "left_name"), names.withColumnRenamed("name", "right_name"), bounds=())
+    assert len(found.collect()) == 50
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
