@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from rolespark.functions import helpers
 from rolespark.functions import text as T
 from rolespark.functions.helpers import sorted_ratio, text_of, years_of
 
@@ -96,3 +99,24 @@ def test_evidence_and_skills(spark):
     assert values(spark, ["We  Sponsor\nvisas", "no", ""], T.evidence_is_verbatim(F.col("a"), F.lit("here we sponsor visas."))) == [True, False, True]
     df = spark.range(1).select(T.skill_keys(F.array(F.lit(" Python"), F.lit("python"), F.lit(" "), F.lit("Deep  Learning"))).alias("k"))
     assert df.first()["k"] == ["python", "deep learning"]
+
+
+def test_scripts_are_those_of_the_tree():
+    rng = random.Random(5)
+    bits = ['<script type="application/ld+json">', "<script type='application/ld+json' id=\"a>b\">", '<SCRIPT TYPE=application/ld+json>', '<script type="application/ld&#43;json">', "<script>", "<script/>",
+            '<script type="text/x">', "</script>", "</SCRIPT >", "<style>", "</style>", "<!-- ", " -->", "<p class='x'>", "</p>", '{"@type": "JobPosting", "n": 1}', '[{"@type": "Org"}, {"@type": "JobPosting", "n": 2}]', "not json", "a < b & c", "\n", "<scripted>"]
+    hits = 0
+    for _ in range(4000):
+        page = "".join(rng.choices(bits, k=rng.randint(1, 9))) + " --></script></style>"
+        nodes = [n for n in helpers.walk(helpers.tree(page)) if n[0] == "script" and n[1].get("type") == "application/ld+json"]
+        want = ["".join(c for c in n[2] if isinstance(c, str)) for n in nodes]
+        assert list(helpers.ld_scripts(page)) == want, page
+        hits += any("JobPosting" in w for w in want)
+    assert hits > 300
+    assert helpers.job_posting('<script type="application/ld+json">{</script><script type="application/ld+json">{"@graph": [1, {"@type": "JobPosting"}]}</script>') == '{"@type": "JobPosting"}'
+    assert helpers.job_posting(None) is None
+
+
+def test_a_filter_on_a_posting_does_not_parse_the_page_again(spark):
+    pages = spark.createDataFrame([("<p>",)], "page string").select(helpers.jsonld_job("page").alias("ld"))
+    assert pages.filter("ld is not null")._jdf.queryExecution().executedPlan().toString().count("jsonld_job(") == 1
