@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolespark.config import DEFAULT, Config
 from rolespark.functions.text import annualize, normalize_company
 from rolespark.schemas import EMPLOYERS, LCA_COLUMNS, columns
+from rolespark.storage import written
 
 
 def lca_file_ranges(filings: DataFrame) -> DataFrame:
@@ -49,8 +50,11 @@ def grouped_median(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def lca_employers(filings: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row an employer name. Names are normalized once for each spelling and joined back; the most frequent spelling
-    (least on ties) comes from counts by spelling, so no group holds its spellings."""
-    names = filings.filter("EMPLOYER_NAME is not null").groupBy("EMPLOYER_NAME").agg(F.count("*").alias("n"))
+    (least on ties) comes from counts by spelling, so no group holds its spellings. The filings and the rows made of them are
+    written, as both are used several times: else a dedup below would be done anew each time."""
+    used = ("EMPLOYER_NAME", "WORKSITE_STATE", "SOC_CODE", "TOTAL_WORKER_POSITIONS", "WAGE_RATE_OF_PAY_FROM", "WAGE_UNIT_OF_PAY", "DECISION_DATE", "source_file")
+    filings = written(filings.filter("EMPLOYER_NAME is not null").select(*used), "filings")
+    names = filings.groupBy("EMPLOYER_NAME").agg(F.count("*").alias("n"))
     names = names.withColumn("employer_norm", normalize_company(F.col("EMPLOYER_NAME"))).filter("employer_norm <> ''")
     spelling = names.groupBy("employer_norm").agg(F.min_by("EMPLOYER_NAME", F.struct(-F.col("n"), F.col("EMPLOYER_NAME"))).alias("employer_raw"))
     state = F.upper(F.trim("WORKSITE_STATE"))
@@ -65,6 +69,7 @@ def lca_employers(filings: DataFrame, config: Config = DEFAULT) -> DataFrame:
         F.to_date("DECISION_DATE").alias("decided"),
         "source_file",
     )
+    rows = written(rows, "filings")
     grouped = rows.groupBy("employer_norm").agg(
         F.count("*").alias("filings_total"),
         F.count_if("relevant").alias("filings_relevant_soc"),

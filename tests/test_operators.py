@@ -264,3 +264,9 @@ def test_substrings_of_names_are_not_broadcast(spark):
     found = matching.fuzzy_match_topone(names.withColumnRenamed("name", "left_name"), names.withColumnRenamed("name", "right_name"), bounds=())
     assert len(found.collect()) == 50
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_employers_do_not_repeat_the_dedup(spark):
+    rows = [filing("1"), filing("2", name="ACME, INC."), filing("3", name=None)]
+    text = filings.employer_history(filings_frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE_NUMBER" not in text
