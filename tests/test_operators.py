@@ -270,3 +270,14 @@ def test_employers_do_not_repeat_the_dedup(spark):
     rows = [filing("1"), filing("2", name="ACME, INC."), filing("3", name=None)]
     text = filings.employer_history(filings_frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE_NUMBER" not in text
+
+
+def test_only_undecided_texts_go_to_the_rule_on_years(spark):
+    """A text of a row that an earlier rule fails is not sent to Python."""
+    row = dict(seq=1, company="Acme", title="Data Scientist", location="New York, NY", is_remote=False, posted_at=datetime(2025, 1, 2), description_text="Requires 9 years of experience.")
+    rows = [row, row | {"seq": 2, "title": "Line Cook"}, row | {"seq": 3, "description_text": "3 years of experience"}, row | {"seq": 4, "posted_at": None}]
+    raw = spark.createDataFrame(rows, "seq long, company string, title string, location string, is_remote boolean, posted_at timestamp, description_text string")
+    out = jobs.prefilter(jobs.normalize_jobs(raw), F.lit(datetime(2025, 1, 1)))
+    assert {r.seq: r.reason for r in out.collect()} == {1: "yoe_too_high", 2: "title_no_match", 3: None, 4: "no_posted_at"}
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_years_required(CASE WHEN (isnull(_early" in text
