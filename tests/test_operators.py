@@ -216,6 +216,21 @@ def test_broken_payloads(spark):
     assert payloads.map_all(spark.createDataFrame(rows, columns), since()).count() == 0
 
 
+def test_a_system_of_many_small_pages_is_split(spark, tmp_path):
+    """Else one task parses them all, however many there are."""
+    pages = spark.range(120_000).select(F.lit("<p>").alias("payload"), F.lit("icims").alias("ats"), F.lit("list").alias("kind"))
+    payloads.land(pages, str(tmp_path / "landed"))
+    assert len(list((tmp_path / "landed").glob("ats=icims/kind=list/*.parquet"))) >= 3
+
+
+def test_terms_are_dealt_once(spark):
+    """The join with details takes the postings as the dedup across terms has dealt them."""
+    plan = payloads._first_of_terms(spark.createDataFrame([], "company string, posting string, term string, page int, pos int")).join(
+        spark.createDataFrame([], "company string, posting string, d string").hint("merge"), ["company", "posting"], "left"
+    )
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
 def common_word_names(rng, n):
     """Names of an invented word or two and one or two of a few common ones."""
     common = "systems solutions group global services partners digital technology consulting capital health data labs networks media".split()
