@@ -25,8 +25,12 @@ def normalize_company(name: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"(?U)(?:\b(?:{'|'.join(LEGAL_SUFFIXES)})\b\s*)+$", ""))
 
 
+def without_technology(company_norm: Column) -> Column:
+    return F.regexp_replace(company_norm, r"(?:\s+(?:technologies|technology|tech))+$", "")
+
+
 def normalize_excluded(name: Column) -> Column:
-    return F.regexp_replace(normalize_company(name), r"(?:\s+(?:technologies|technology|tech))+$", "")
+    return without_technology(normalize_company(name))
 
 
 def title_norm(title: Column) -> Column:

@@ -41,22 +41,26 @@ def normalize_jobs(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def is_excluded_company(jobs: DataFrame, excluded: DataFrame, out: str = "is_excluded") -> DataFrame:
     """jobs with whether the normalized company is one of the excluded names (column name); whole names only."""
     names = excluded.select(F.col("name").alias("_name"), F.lit(True).alias("_hit")).distinct()
-    found = jobs.withColumn("_name", T.normalize_excluded(F.col("company"))).join(names, "_name", "left")
+    own = T.without_technology(F.col("company_norm")) if "company_norm" in jobs.columns else T.normalize_excluded(F.col("company"))
+    found = jobs.withColumn("_name", own).join(names, "_name", "left")
     return found.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_name", "_hit")
 
 
 def prefilter(jobs: DataFrame, since: Column, history: DataFrame | None = None, excluded: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """Adds keep and reason: the first rule that fails names the reason. since: the oldest allowed date. excluded: names
-    (column name) as read_excluded gives them."""
+    (column name) as read_excluded gives them. With a history jobs are written once, as the names that they were given are
+    read twice: for the rows, and for what the history has of them."""
     staffing = [" ".join(n.split()) for n in config.staffing_companies]
     body, title = F.coalesce("description", F.lit("")), F.coalesce("title", F.lit(""))
-    out = jobs
+    out = jobs if history is None else written(jobs, "normalized")
+    given = out
     if excluded is not None:
-        out = is_excluded_company(out, excluded, "_excluded")
+        # as a table its size is known to Spark, which need not deal out all jobs for a short list
+        out = is_excluded_company(out, written(excluded.select("name").distinct(), "excluded"), "_excluded")
     else:
         out = out.withColumn("_excluded", F.lit(None).cast("boolean"))
     if history is not None:
-        seen = already_applied(out, history, config.fuzzy_cutoff).withColumn("_applied", F.lit(True))
+        seen = already_applied(given, history, config.fuzzy_cutoff).withColumn("_applied", F.lit(True))
         out = out.join(seen, ["company_norm", "title_norm"], "left")
     else:
         out = out.withColumn("_applied", F.lit(None).cast("boolean"))
@@ -119,7 +123,8 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, order: str = "seq") -> D
     first that would write does."""
     keys = store.filter("ats_job_id is not null").select("source", "ats_job_id").distinct().withColumn("_key", F.lit(True))
     ids = store.select("id", F.col("source").alias("_stored")).dropDuplicates(["id"])
-    out = batch.join(keys, ["source", "ats_job_id"], "left").join(ids, "id", "left")
+    # ids first: the turn is counted under the deal of the join by keys
+    out = batch.join(ids, "id", "left").join(keys, ["source", "ats_job_id"], "left")
     would = (
         F.when(F.col("_key"), "unchanged")
         .when(F.col("_stored").isNull(), "inserted")

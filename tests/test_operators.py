@@ -296,3 +296,21 @@ def test_only_undecided_texts_go_to_the_rule_on_years(spark):
     assert {r.seq: r.reason for r in out.collect()} == {1: "yoe_too_high", 2: "title_no_match", 3: None, 4: "no_posted_at"}
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "min_years_required(CASE WHEN (isnull(_early" in text
+
+
+def test_names_are_made_once_and_short_lists_deal_no_jobs(spark):
+    """With a history the rules read the normalized rows, not the regular expressions a second time."""
+    rows = jobs.normalize_jobs(spark.createDataFrame([], RAW_JOB))
+    history = spark.createDataFrame([("acme", "data scientist")], "company_norm string, title_norm string")
+    plan = jobs.prefilter(rows, since(), history, spark.createDataFrame([("other",)], "name string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "incorporated|inc" not in plan
+    # scans of files: the jobs, the list, and the names that the history is asked for; the history itself is the caller's
+    assert plan.count("LogicalRDD") == sum("LogicalRDD" in line and "company_norm" in line for line in plan.splitlines())
+
+
+def test_turns_are_counted_under_the_join_by_keys(spark):
+    batch = spark.createDataFrame([], "id string, source string, ats_job_id string, seq long").hint("merge")
+    found = jobs.upsert_outcomes(batch, spark.createDataFrame([], "id string, source string, ats_job_id string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("row_number") : plan.index("SortMergeJoin")]
+    assert "Exchange" not in above
