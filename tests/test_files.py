@@ -182,3 +182,20 @@ def test_scratch_tables_can_be_removed(spark):
     assert not os.path.exists(folder)
     remove_scratch(spark)
     assert written(spark.range(2), "two").count() == 2
+
+
+def test_a_run_writes_changed_rows_only(spark, tmp_path, monkeypatch):
+    """Rows of the buckets that it reads are not copied to the scratch folder, and the batch is written once."""
+    from rolespark.plans import store as plans
+
+    seen = {}
+    monkeypatch.setattr(plans, "written", lambda df, label, real=plans.written: seen.setdefault(label, real(df, label)))
+    columns = "company string, source string, ats_job_id string, title string, location string, url string, posted_at timestamp, undated boolean, is_remote boolean, description_text string, description_html string, seq long"
+    as_of, since = F.lit("2026-03-01").cast("timestamp"), F.lit("2026-02-01").cast("timestamp")
+    rows = [("Acme", "lever", str(k), f"Data Scientist {'ab'[k]}", "Austin, TX", "u", None, False, False, "", None, k) for k in range(2)]
+    for some, changed in ((rows[:1], 1), (rows, 1), (rows, 0)):
+        seen.clear()
+        plans.ingest_into(spark, str(tmp_path / "store"), spark.createDataFrame(some, columns), since, as_of, buckets=1)
+        assert "prepared" not in seen and "rows" not in seen
+        assert seen["changed"].count() == changed
+    assert sorted(r.ats_job_id for r in plans.table(spark, str(tmp_path / "store"), "jobs").collect()) == ["0", "1"]
