@@ -5,7 +5,8 @@ samples each of its shingles with probability 1 / (threshold * size), so sets as
 sampled shingle with good odds; sets that do, meet in a node. A node with more members than `small` is split again by
 the members' next sampled shingles, down to `depth`; small nodes are compared in full. Runs with new seeds repeat until
 the target recall. A pair that meets in several nodes counts in the first of them only, so links are counted without
-listing them: what leaves a node is a row for each member.
+listing them: what leaves a node is a row for each member. Members that are too short or too long for any other member
+of a small node leave it before texts are sent.
 
 Two things keep crowds linear. Shingles that very many documents have (a passage, a line) split nothing: where enough of
 a set is left, only its rarer shingles are sampled, so much oftener that the expected number of shared samples is no
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolespark.llm.common import materialize
@@ -260,11 +261,11 @@ def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, classes: DataFrame, rows: DataFrame, keys: list[str], words: int) -> DataFrame:
-    """rows (keys, sig and PLACE), with content: their shingles, from the classes or else from the texts."""
-    rows = materialize(rows.select(*keys, "sig", *PLACE), "rows")
-    known = classes.filter("content is not null").select("sig", "content")
-    held = rows.join(known, "sig").select(*keys, "sig", "content")
-    rest = rows.join(known, "sig", "left_anti")
+    """rows (keys and class_no), with content: their shingles, from the classes or else from the texts."""
+    rows = materialize(rows.select(*keys, "class_no").join(classes.select("class_no", "sig", *PLACE), "class_no"), "rows")
+    known = classes.filter("content is not null").select("class_no", "content")
+    held = rows.join(known, "class_no").select(*keys, "class_no", "content")
+    rest = rows.join(known, "class_no", "left_anti")
     if rest.isEmpty():
         return held
 
@@ -273,20 +274,20 @@ def with_sets(docs: DataFrame, classes: DataFrame, rows: DataFrame, keys: list[s
         for batch in batches:
             sets = list(shingler.batch(batch.column("text")))
             content = [x.tobytes() if signature(x) == sig else None for x, sig in zip(sets, batch.column("sig").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "sig")), pa.array(content, type=pa.binary())], names=[*keys, "sig", "content"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "class_no")), pa.array(content, type=pa.binary())], names=[*keys, "class_no", "content"])
 
-    texts = with_text(docs, rest).select(*keys, "sig", "text")
+    texts = with_text(docs, rest).select(*keys, "class_no", "sig", "text")
     return held.unionByName(texts.mapInArrow(read, held.schema).filter("content is not null"))
 
 
 def balls(docs: DataFrame, classes: DataFrame, crowd: DataFrame, threshold: float, words: int) -> DataFrame:
-    """sig, ball: sets within half the allowed distance of a centre; of several the one with the most sets.
+    """class_no, ball: sets within half the allowed distance of a centre; of several the one with the most sets.
 
-    crowd: node, n_members, sig, rep, text_hash, size of the members of large nodes. A node's centre is the set of
-    shingles that most of about CENTRE_OF members have, those with the least hashes, so that nodes of one dense group
-    have the same centre as a rule."""
+    crowd: node, n_members, class_no, size of the members of large nodes. A node's centre is the set of shingles that
+    most of about CENTRE_OF members have, those with the least hashes, so that nodes of one dense group have the same
+    centre as a rule."""
     at_least = (1 + threshold) / 2
-    some = crowd.filter(F.pmod(F.xxhash64("sig"), F.col("n_members")) < CENTRE_OF)
+    some = crowd.filter(F.pmod(F.xxhash64("class_no"), F.col("n_members")) < CENTRE_OF)
 
     def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(node: int, sets: list[bytes]) -> pa.RecordBatch:
@@ -310,74 +311,90 @@ def balls(docs: DataFrame, classes: DataFrame, crowd: DataFrame, threshold: floa
     near = (
         crowd.join(centres.select("node", "ball", "n"), "node")
         .filter((F.col("size") >= at_least * F.col("n")) & (F.col("n") >= at_least * F.col("size")))
-        .select("ball", "sig", *PLACE)
+        .select("ball", "class_no")
         .distinct()
     )
     near = materialize(near, "near")
     parts = near.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = with_sets(docs, classes, near.join(parts, "ball").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")), ["ball", "part"], words)
+    members = with_sets(docs, classes, near.join(parts, "ball").withColumn("part", F.pmod(F.xxhash64("class_no"), F.col("parts")).cast("int")), ["ball", "part"], words)
     heads = centres.select("ball", "centre").dropDuplicates(["ball"]).join(parts, "ball")
-    heads = heads.select("ball", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("sig"), F.col("centre").alias("content"))
+    heads = heads.select("ball", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("class_no"), F.col("centre").alias("content"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball, middle = None, None
         for batch in batches:
             out = []
-            for now, sig, content in zip(*(batch.column(c).to_pylist() for c in ("ball", "sig", "content")), strict=True):
+            for now, class_no, content in zip(*(batch.column(c).to_pylist() for c in ("ball", "class_no", "content")), strict=True):
                 s = np.frombuffer(content, dtype=np.uint64)
-                if sig is None:
+                if class_no is None:
                     ball, middle = now, s
                     continue
                 shared = len(np.intersect1d(s, middle, assume_unique=True))
                 if now == ball and shared >= at_least * (len(s) + len(middle) - shared) + 1e-9:
-                    out.append((sig, now))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.binary()), pa.array([x[1] for x in out], type=pa.int64())], names=["sig", "ball"])
+                    out.append((class_no, now))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.int64()), pa.array([x[1] for x in out], type=pa.int64())], names=["class_no", "ball"])
 
-    dealt = heads.unionByName(members).repartition("ball", "part").sortWithinPartitions("ball", "part", F.col("sig").asc_nulls_first())
-    held = materialize(dealt.mapInArrow(hold, "sig binary, ball long").distinct(), "held")
+    dealt = heads.unionByName(members).repartition("ball", "part").sortWithinPartitions("ball", "part", F.col("class_no").asc_nulls_first())
+    held = materialize(dealt.mapInArrow(hold, "class_no long, ball long").distinct(), "held")
     tally = held.groupBy("ball").agg(F.count("*").alias("n"))
-    return materialize(held.join(tally.filter("n > 1"), "ball").groupBy("sig").agg(F.min_by("ball", F.struct(-F.col("n"), "ball")).alias("ball")), "balls")
+    return materialize(held.join(tally.filter("n > 1"), "ball").groupBy("class_no").agg(F.min_by("ball", F.struct(-F.col("n"), "ball")).alias("ball")), "balls")
+
+
+def _with_partners(members: DataFrame, threshold: float) -> DataFrame:
+    """The members of small nodes (node, class_no, size) whose size lets them be linked with another member: a set of less
+    than threshold times another's size cannot be. The next smaller and the next larger member decide."""
+    by_size = Window.partitionBy("node").orderBy("size")
+    sizes = members.select("node", "class_no", "size", F.lag("size").over(by_size).alias("less"), F.lead("size").over(by_size).alias("more"))
+    able = (F.col("less") >= threshold * F.col("size") - 1e-6) | (F.col("size") >= threshold * F.col("more") - 1e-6)
+    return sizes.filter(able).select("node", "class_no", "size")
 
 
 def _leaves(docs: DataFrame, classes: DataFrame, threshold: float, small: int, depth: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """The members of every node that is compared (leaf, sig, rep, text_hash, n_copies, ball, inner: in the node's main
-    ball, n_outer, n_inner, shingles), and the balls.
+    """The members of every node that is compared (leaf, class_no, ball, inner: in the node's main ball, n_outer, n_inner,
+    shingles), and the balls.
 
     Level by level: a node is compared if at most `small` members are outside its main ball, or on the last level; below
-    it nothing is followed. Nodes with the same members are one leaf."""
-    own = ("sig", *PLACE, "n_copies", "size")
-    steps = classes.select(*own, F.explode("paths").alias("p")).select(*own, "p.level", "p.parent", "p.node")
-    spread = docs.sparkSession.createDataFrame([], "sig binary, ball long")
+    it nothing is followed. Nodes with the same members are one leaf. A level's steps are dealt twice, to count nodes and
+    to find their members; all that follows, for large nodes too, reads only the members of nodes that have several."""
+    steps = classes.select("class_no", "size", F.explode("paths").alias("p")).select("class_no", "size", "p.level", "p.parent", "p.node")
+    spread = classes.filter(F.lit(False)).select("class_no", F.lit(None).cast("long").alias("ball"))
     leaves, above = None, None
     for level in range(depth):
         here = steps.filter(F.col("level") == level)
         if above is not None:
-            here = here.join(above, here["parent"] == above["large"], "left_semi")
-        sizes = here.groupBy("node").agg(
-            F.count("*").alias("n_members"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("sig").bitwiseAND(0xFFFFFFFF)).alias("a"), F.sum(F.shiftrightunsigned(F.xxhash64("sig"), 32)).alias("b")
-        )
-        sizes = materialize(sizes.filter("n_members > 1"), "nodes")
-        large = sizes.filter(F.col("n_members") > small)
-        crowded = not large.isEmpty()
-        facts = sizes.filter(F.col("n_members") <= small).select("node", "n_members", "shingles", "a", "b", F.lit(None).cast("long").alias("main"), F.lit(0).cast("long").alias("n_inner"))
+            here = materialize(here.join(above, here["parent"] == above["large"], "left_semi").select("node", "class_no", "size"), "below")
+        here = here.select("node", "class_no", "size")
+        # the nodes grow with the documents, so they are never broadcast
+        nodes = materialize(here.groupBy("node").agg(F.count("*").alias("n_members")).filter("n_members > 1"), "nodes")
+        met = materialize(here.join(nodes.hint("merge"), "node"), "met")
+        members = materialize(_with_partners(met.filter(F.col("n_members") <= small), threshold), "partners")
+        crowd = met.filter(F.col("n_members") > small)
+        crowded = not crowd.isEmpty()
+
+        def facts_of(rows: DataFrame) -> DataFrame:
+            number = F.xxhash64("class_no")
+            return rows.groupBy("node").agg(
+                F.count("*").alias("n_members"), F.sum("size").alias("shingles"), F.sum(number.bitwiseAND(0xFFFFFFFF)).alias("a"), F.sum(F.shiftrightunsigned(number, 32)).alias("b")
+            )
+
+        facts = facts_of(members).select("*", F.lit(None).cast("long").alias("main"), F.lit(0).cast("long").alias("n_inner"))
         if crowded:
-            crowd = here.join(large, "node")
             if level == 0:
                 spread = balls(docs, classes, crowd, threshold, words)
-            inside = crowd.join(spread, "sig").groupBy("node", "ball").agg(F.count("*").alias("k"))
+            inside = crowd.join(spread, "class_no").groupBy("node", "ball").agg(F.count("*").alias("k"))
             inside = inside.groupBy("node").agg(F.max_by("ball", F.struct("k", "ball")).alias("main"), F.max("k").alias("n_inner"))
-            ruled = large.join(inside, "node", "left").withColumn("n_inner", F.coalesce("n_inner", F.lit(0).cast("long")))
+            ruled = facts_of(crowd).join(inside, "node", "left").withColumn("n_inner", F.coalesce("n_inner", F.lit(0).cast("long")))
             ruled = materialize(ruled, "ruled")
             ends = F.lit(level == depth - 1) | (F.col("n_members") - F.col("n_inner") <= small)
             facts = facts.unionByName(ruled.filter(ends))
             above = ruled.filter(~ends).select(F.col("node").alias("large"))
+            members = members.unionByName(crowd.select("node", "class_no", "size"))
         one = facts.groupBy("n_members", "shingles", "a", "b").agg(F.min(F.struct("node", "main", "n_inner")).alias("x")).select("x.*", "n_members", "shingles")
-        # the nodes grow with the documents, so they are never broadcast
-        found = here.join(one.filter("n_inner < n_members").hint("merge"), "node").select(F.col("node").alias("leaf"), *own, "main", "n_inner", (F.col("n_members") - F.col("n_inner")).alias("n_outer"), "shingles")
+        found = members.join(one.filter("n_inner < n_members").hint("merge"), "node").select(F.col("node").alias("leaf"), "class_no", "main", "n_inner", (F.col("n_members") - F.col("n_inner")).alias("n_outer"), "shingles")
         leaves = found if leaves is None else leaves.unionByName(found)
         if not crowded:
             break
-    leaves = leaves.join(spread, "sig", "left").withColumn("inner", F.coalesce(F.col("ball") == F.col("main"), F.lit(False))).drop("main", "size")
+    leaves = leaves.join(spread, "class_no", "left").withColumn("inner", F.coalesce(F.col("ball") == F.col("main"), F.lit(False))).drop("main")
     return leaves, spread
 
 
@@ -435,9 +452,10 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, dep
     as often as the leaf has outer blocks."""
     leaves, spread = _leaves(docs, classes, threshold, small, depth, words)
     leaves = materialize(leaves, "leaves")
-    members = leaves.groupBy("sig", *PLACE, "n_copies", "ball").agg(
+    members = leaves.groupBy("class_no", "ball").agg(
         F.sort_array(F.collect_set("leaf")).alias("leaves"), F.collect_set(F.struct("leaf", "inner", "n_outer", "n_inner", "shingles")).alias("nodes")
     )
+    members = members.join(classes.select("class_no", "sig", *PLACE, "n_copies"), "class_no").drop("class_no")
 
     def blocks(n: Column) -> Column:
         return F.greatest(F.ceil(n / block), F.ceil(F.col("node.shingles") * n / (F.col("node.n_outer") + F.col("node.n_inner")) / BLOCK_SHINGLES)).cast("int")
@@ -482,7 +500,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float, small: int, dep
 
     dealt = dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
     compared = dealt.mapInArrow(brute, "sig binary, root binary, n long")
-    held = spread.join(classes.select("sig", "n_copies"), "sig")
+    held = spread.join(classes.select("class_no", "sig", "n_copies"), "class_no")
     whole = held.groupBy("ball").agg(F.min("sig").alias("root"), F.sum("n_copies").alias("copies"))
     return compared.unionByName(held.join(whole, "ball").select("sig", "root", (F.col("copies") - F.col("n_copies")).alias("n")))
 
@@ -519,7 +537,7 @@ def _classified(docs: DataFrame, threshold: float, recall: float, words: int, sm
     rows = sketch(docs, common, threshold, runs_for(recall, depth), depth, words)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")  # null ids last
     groups = rows.filter("sig is not null").groupBy("sig").agg(first, F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("content").alias("content"))
-    classes = materialize(groups.select("sig", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n_copies", "size", "paths", "content"), "classes")
+    classes = materialize(groups.select(F.monotonically_increasing_id().alias("class_no"), "sig", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n_copies", "size", "paths", "content"), "classes")
     found = materialize(links(docs, classes, threshold, small, depth, words, block), "links")
     tally = found.groupBy("sig").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("sig").alias("u"), F.col("root").alias("v")))

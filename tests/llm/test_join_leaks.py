@@ -143,6 +143,45 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.class_id for r in rows.values()} == {0}
 
 
+def shuffled(spark, make):
+    """Bytes that the stages of make() shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before = written()
+    make()
+    return written() - before
+
+
+def test_a_crowd_does_not_deal_the_other_documents_again(spark):
+    """A node too large to be compared at once: what is done for it moves its own members, not all steps of all documents."""
+    rng = random.Random(13)
+    base = prose(rng, 60)
+    texts = [" ".join(prose(rng, 60)) for _ in range(6000)] + [" ".join(base + [f"e{k}"]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {}
+        size = {small: shuffled(spark, lambda n=small: found.update({n: ngram_join.near_duplicates(docs, small=n, depth=1).collect()})) for small in (512, 8)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+        docs.unpersist()
+    assert sorted(found[8]) == sorted(found[512]) and sum(r.n_links for r in found[8]) == 40 * 39
+    assert size[8] < 1.15 * size[512], size
+
+
+def test_members_without_a_partner_of_their_size_leave_a_node(spark):
+    sizes = {1: [100, 79], 2: [100, 80], 3: [10, 20, 30, 33], 4: [5, 5, 50], 5: [1, 2, 4], 6: [64, 80, 100, 126]}
+    rows = [(node, 10 * node + k, n) for node, found in sizes.items() for k, n in enumerate(found)]
+    kept = ngram_join._with_partners(spark.createDataFrame(rows, "node long, class_no long, size long"), 0.8).collect()
+    assert sorted(map(tuple, kept)) == [(2, 20, 100), (2, 21, 80), (3, 32, 30), (3, 33, 33), (4, 40, 5), (4, 41, 5), (6, 60, 64), (6, 61, 80), (6, 62, 100)]
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
