@@ -281,6 +281,35 @@ def test_substrings_of_names_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffled(spark) -> int:
+    """Bytes that this session has written into shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_substrings_are_dealt_out_as_hashes_of_pieces(spark):
+    """Names of 43 characters have some hundred substrings; with the names dealt out beside each they took 11 KB a name."""
+    rng = random.Random(13)
+    right = [f"large ring {rng.randrange(16**32):032x}" for _ in range(3000)]
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in (([x[:-2] for x in right], "left_name"), (right, "right_name"))]
+    before = shuffled(spark)
+    found = matching.fuzzy_match_topone(*frames)
+    assert {(r.left_name, r.right_name) for r in found.collect()} == {(x[:-2], x) for x in right}
+    assert shuffled(spark) - before < 5_000 * len(right)
+
+
+@pytest.mark.parametrize("sizes", [(40, 400), (400, 40)])
+def test_either_side_may_be_cut(spark, sizes):
+    rng = random.Random(14)
+    names = common_word_names(rng, max(sizes))
+    left, right = [edited(rng, x) for x in names[: sizes[0]]], [*names[: sizes[1] - 1], names[0].upper()]
+    frames = [spark.createDataFrame([(g, x) for g in ("a", "b", None) for x in xs], f"g string, {c} string") for xs, c in ((left, "left_name"), (right, "right_name"))]
+    want = {(g, x, y) for g in "ab" for x in left for y in right if helpers.sorted_ratio(x, y) >= 88}
+    assert {(r.g, r.left_name, r.right_name) for r in matching.fuzzy_pairs(*frames, 88.0, ["g"]).collect()} == want and len(want) > 70
+
+
 def test_employers_do_not_repeat_the_dedup(spark):
     rows = [filing("1"), filing("2", name="ACME, INC."), filing("3", name=None)]
     text = filings.employer_history(filings_frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
