@@ -7,12 +7,14 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from test_operators import shuffled
 
 from rolespark.operators import filings as operators_of_filings
 from rolespark.operators import review
 from rolespark.operators import scoring as operators
 from rolespark.queries import adapters, filings, payloads, scoring
 from rolespark.schemas import SCORE_BATCHES
+from rolespark.sources.payloads import read_landed
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +97,18 @@ def test_all_mappers_together_read_each_file_once(spark, small):
     assert len(wanted) == len(set(wanted)) >= 20 and all(len(w) == 2 for w in wanted)
 
 
+def test_responses_are_landed_where_they_are_made(spark, tmp_path):
+    """Only orders go through a shuffle, some 20 bytes each; all their responses took 900."""
+    spark.range(2000).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey", "CAST(id AS DOUBLE) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id AS c_custkey", "'Customer#' || id AS c_name", "0 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    before = shuffled(spark)
+    payloads._land_all(spark, str(tmp_path), f"{tmp_path}/landed")
+    assert shuffled(spark) - before < 100 * 2000
+    landed = read_landed(spark, f"{tmp_path}/landed").groupBy("ats", "kind").count().collect()
+    assert {(r.ats, r.kind): r["count"] for r in landed if r.ats in ("workday", "avature")} == {("workday", "list"): 4000, ("workday", "detail"): 2000, ("avature", "list"): 2000, ("avature", "detail"): 1000}
+    assert len(landed) == 21
+
+
 def test_references_without_a_semicolon_stay(spark, tmp_path):
     pages = [(1, "<p>a &amp;&amp</p><h1>b &lt; &lt</h1>"), (2, "x & y &#x27; &"), (3, None), (4, "&middot;&eacute;")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
