@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from rolespark import storage
 from rolespark.functions import helpers, places
 from rolespark.functions.helpers import sorted_ratio
 from rolespark.operators import boards, filings, jobs, matching, review, scoring
+from rolespark.plans import store, workloads
 from rolespark.plans.workloads import ingest
 from rolespark.schemas import JOB, LCA_COLUMNS, RAW_JOB
 from rolespark.sources import payloads, tables
@@ -337,6 +340,46 @@ def test_names_are_made_once_and_short_lists_deal_no_jobs(spark):
     assert plan.count("LogicalRDD") == sum("LogicalRDD" in line and "company_norm" in line for line in plan.splitlines())
 
 
+def test_dated_rows_are_not_dealt_out_for_the_undated(spark):
+    rng = random.Random(15)
+    rows = [("s", f"c{k % 5}", str(k), k < 10, None if k < 20 else datetime(2025, 1, 1), f"{rng.randrange(16**200):x}") for k in range(3000)]
+    raw = spark.createDataFrame(rows, "source string, company string, ats_job_id string, undated boolean, posted_at timestamp, description_text string")
+    known = spark.createDataFrame([("s", "c1", "1")], "source string, company string, ats_job_id string").hint("merge")
+    before = shuffled(spark)
+    found = jobs.date_at_first_sight(raw, known, known.select("source", "company").hint("merge"), F.lit(datetime(2025, 2, 2))).collect()
+    assert shuffled(spark) - before < 20_000
+    first = {"1": jobs.BASELINE, "6": datetime(2025, 2, 2)}  # of the boards only c1 was seen, and its number 1
+    want = {r[2]: first.get(r[2], jobs.BASELINE) if r[3] else r[4] for r in rows}
+    assert {r.ats_job_id: r.posted_at for r in found} == want and len(found) == len(rows)
+
+
+def test_duplicates_go_before_the_rules(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(jobs, "prefilter", lambda rows, *rest, f=jobs.prefilter: (given.append(rows.count()), f(rows, *rest))[1])
+    row = dict(company="Acme", title="Data Scientist", location="New York, NY", is_remote=False, posted_at=datetime(2025, 1, 2), description_text="x")
+    rows = [row | {"seq": k, "source": s, "ats_job_id": str(k)} for k, s in enumerate(("jobspy_indeed", "lever", "lever", "jobspy_indeed"))] + [row | {"seq": 4, "source": "lever", "ats_job_id": "4", "title": "Line Cook"}]
+    raw = spark.createDataFrame(rows, "seq long, source string, ats_job_id string, company string, title string, location string, is_remote boolean, posted_at timestamp, description_text string")
+    found = workloads.prepare(raw, F.lit(datetime(2025, 1, 1)))
+    assert {(r.ats_job_id, r.seq, r.status, r.exclude_reason) for r in found.collect()} == {("2", 0, "new", None), ("4", 4, "excluded", "title_no_match")}
+    assert given == [2]
+
+
+def test_a_run_leaves_no_shuffles_behind(spark, tmp_path):
+    def held() -> int:
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return sum(blocks.apply(k).isShuffle() for k in range(blocks.size()))
+
+    rows = spark.range(200).selectExpr("id AS seq", "'lever' AS source", "CAST(id AS STRING) AS ats_job_id", "'Acme ' || id AS company", "'Data Scientist' AS title", "'New York, NY' AS location", "false AS is_remote", "'u' AS url", "TIMESTAMP '2025-01-02' AS posted_at", "'x' AS description_text", "false AS undated")
+    before, setting = held(), spark.conf.get(storage._CLEANUP)
+    for _ in range(2):
+        run = store.ingest_into(spark, str(tmp_path / "store"), rows, F.lit(datetime(2025, 1, 1)), F.lit(datetime(2025, 1, 3)), buckets=4)
+        end = time.monotonic() + 10  # files go in the background
+        while held() > before and time.monotonic() < end:
+            time.sleep(0.1)
+        assert held() <= before and spark.conf.get(storage._CLEANUP) == setting
+    assert run.counts["unchanged"] == 200 and store.table(spark, str(tmp_path / "store"), "jobs").count() == 200
+
+
 def test_turns_are_counted_under_the_join_by_keys(spark):
     batch = spark.createDataFrame([], "id string, source string, ats_job_id string, seq long").hint("merge")
     found = jobs.upsert_outcomes(batch, spark.createDataFrame([], "id string, source string, ats_job_id string"))
